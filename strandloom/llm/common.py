@@ -37,6 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df dealt evenly, so that a join shuffles it anew by its key.
+
+    A join with the result of an aggregate on the same key would take over the
+    aggregate's partitions, and adaptive execution can't split a hot key's
+    partition of the other side then.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def text_batches(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, list[str]]]:
     """Slices of a batch with about BATCH_CHARS characters; null texts become empty."""
     start, held, out = 0, 0, []

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import apart, stored
 
 #: Magic numbers and the profile of a revisit by payload digest.
 DICTIONARY_FRAME, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -164,7 +164,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     key = F.concat(F.sha1("payload"), F.xxhash64("payload").cast("string"))
     first = own.select("page_id", key.alias("k")).groupBy("k").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     # payloads with one record need no partner, so only repeated ones are looked up
-    marked = own.withColumn("k", key).join(first, "k", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    marked = own.withColumn("k", key).join(apart(first), "k", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
     def run(batches):
         held, size = [], 0
