@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import map_texts, stored
+from strandloom.llm.common import apart, map_texts, stored
 
 WORDS = 3
 SEED = 42
@@ -235,9 +235,9 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(apart(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(apart(low), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = stored(small.distinct(), "components")
         after = seen(now)
         if after == before:
@@ -254,8 +254,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = root.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(root.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     linked = member.join(first, "fp")
     of_root = linked.groupBy("root").agg(F.min("first_id").alias("linked_id"))
-    by_fp = first.join(member.join(of_root, "root").select("fp", "linked_id"), "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
-    return own.join(by_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = first.join(member.join(apart(of_root), "root").select("fp", "linked_id"), "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
+    return own.join(apart(by_fp), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
