@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, decontamination, quality, secrets, simhash
 from strandloom.llm.common import stored
@@ -33,9 +32,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids, n_tokens and the digests of ids and decoded text."""
-    out = bpe.encode_documents(docs, public_tokenizers.path(WORD_BPE))
-    ids = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
-    return out.select("doc_id", "token_ids", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode_documents(docs, public_tokenizers.path(WORD_BPE))
 
 
 STAGES = [

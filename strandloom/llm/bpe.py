@@ -18,6 +18,7 @@ import hashlib
 import json
 import unicodedata
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from strandloom.llm.common import map_texts
 
 #: Entries of a worker's cache; the chunk cache keeps one older generation of as many.
-CACHE = 300_000
+CACHE = 120_000
 
 #: The pieces into which the tokenizer's file splits a normalised text.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -187,7 +188,7 @@ class PrefixBPE:
                     pair = last[end - length] << 20 | token
                     ok = fits.get(pair)
                     if ok is None:
-                        if len(fits) > 4 * CACHE:
+                        if len(fits) > 2 * CACHE:
                             fits.clear()
                         ok = fits[pair] = self.compatible(last[end - length], token)
                     if not ok:
@@ -250,38 +251,31 @@ def encoder(path: str) -> PrefixBPE:
     return PrefixBPE(path)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, token_ids (if asked for), n_tokens, ids_sha256, decoded_sha256 of every document."""
+    ids = [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * with_ids
+    schema = T.StructType([*ids, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def factory():
         bpe, sha = encoder(path), hashlib.sha256
 
         def work(texts):
-            n, a, b = [], [], []
+            arrays, n, a, b = [], [], [], []
             for t in texts:
                 s = bpe.spans(t)
+                told = " ".join([x[0] for x in s])
                 n.append(sum([x[1] for x in s]))
-                a.append(sha(" ".join([x[0] for x in s]).encode()).hexdigest())
+                a.append(sha(told.encode()).hexdigest())
                 b.append(sha(" ".join([x[2] for x in s]).encode()).hexdigest())
-            return [n, a, b]
+                if with_ids:  # four bytes an id, not a Python number each
+                    arrays.append(np.array(told.split(), dtype=np.int32))
+            return [arrays, n, a, b] if with_ids else [n, a, b]
 
         return work
 
     return map_texts(docs, factory, schema)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, token_ids, n_tokens, decoded of every document."""
-    schema = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
-
-    def factory():
-        bpe = encoder(path)
-
-        def work(texts):
-            ids = [bpe.encode(t) for t in texts]
-            return [ids, [len(i) for i in ids], [bpe.decode(i) for i in ids]]
-
-        return work
-
-    return map_texts(docs, factory, schema)
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    return encode_documents(docs, path, with_ids=False)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Characters of text that one Python call handles at once; a longer text is handled alone.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -18,7 +18,7 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +28,7 @@ from strandloom.llm.common import fold, labelled_sample, map_texts
 BUCKETS, DIM, NGRAMS = 1 << 17, 12, (3, 4)
 PER_CLASS, MAX_CHARS, EPOCHS, RATE = 1200, 12_000, 6, 0.4
 THRESHOLD = 0.3
-CACHE = 300_000
+CACHE = 150_000
 #: The bucket of a repeated word, and how often a repeat counts: about as much as the n-grams of a word.
 REPEAT, REPEAT_COUNT = 0, 8
 
@@ -134,12 +134,12 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
     part, offset = fit(docs, labels)
     model = docs.sparkSession.sparkContext.broadcast((part, offset))
-    held: list[Scorer] = []
+    at = docs.columns.index("text")
 
-    @F.pandas_udf(T.DoubleType())
-    def score(s: pd.Series) -> pd.Series:
-        if not held:
-            held.append(Scorer(*model.value))
-        return s.map(lambda t: held[0](t or ""))
+    def run(batches):
+        s = Scorer(*model.value)
+        for batch in batches:
+            texts = batch.column(at)
+            yield batch.filter(pa.array([s(texts[k].as_py() or "") >= THRESHOLD for k in range(len(texts))], pa.bool_()))
 
-    return docs.where(score("text") >= THRESHOLD)
+    return docs.mapInArrow(run, docs.schema)
