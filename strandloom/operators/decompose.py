@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +77,18 @@ def global_units(results: DataFrame, key: str = "read_id") -> DataFrame:
     return own.groupBy("canon").agg(F.count("*").alias("freq"))
 
 
+def with_library(reads: DataFrame, opts: Options = Options(), key: str = "read_id", least_reads: int = 2, most: int = 100) -> DataFrame:  # noqa: B008
+    """Decomposition with a library: the units of most reads in a first pass are candidates of every read in a second one.
+
+    The library is a top-k report: units of at least `least_reads` reads, the
+    `most` most frequent, ties by spelling. So it does not depend on the order
+    of the reads, and its size not on their number.
+    """
+    first = global_units(decompose(reads, opts, key), key).where(F.col("freq") >= least_reads)
+    found = [r.canon for r in first.orderBy(F.desc("freq"), "canon").limit(most).select("canon").collect()]
+    return decompose(reads, replace(opts, units=(*opts.units, *found)), key)
+
+
 def add_haplotypes(results: DataFrame, haps: DataFrame) -> DataFrame:
     """results (sample_id, read_name) with hap, the first line of haps for the sample and the read's number; null without one."""
     first = haps.groupBy("sample_id", "read_no").agg(F.min_by("pair_haps", "ord").alias("hap"))

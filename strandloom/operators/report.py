@@ -45,6 +45,42 @@ def write_fasta(results: DataFrame, freq: DataFrame, path: str, **options) -> No
     own.unionByName(units).orderBy("k", "o", "c").select("value").write.text(path)
 
 
+def write_table(results: DataFrame, path: str) -> None:
+    """Lines of the table in the order of the file."""
+    table_text(results).orderBy("read_ord").select("value").write.text(path)
+
+
+def pieces(results: DataFrame, body: Column) -> DataFrame:
+    """k, o, c, value: the count of reads, then a piece of text for each."""
+    head = results.agg(F.count("*").alias("n")).select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("o"), F.lit("").alias("c"), F.concat(F.lit(" #haplotypes="), F.col("n").cast("string")).alias("value"), "n")
+    own = results.select(F.lit(1).alias("k"), F.col("read_ord").cast("long").alias("o"), F.lit("").alias("c"), body.alias("value"))
+    return head.unionByName(own.withColumn("n", F.lit(1).cast("long")))
+
+
+def info(with_ids: bool, with_units: bool) -> Column:
+    """(sample,read,len,group,units,ratio), the ratio with two digits."""
+    names = [*(["sample_id", "read_name"] if with_ids else []), "seq_len", "group_size", *(["num_key_units"] if with_units else [])]
+    return F.concat(F.lit("("), F.concat_ws(",", *(F.col(c).cast("string") for c in names), dna.ratio_text(F.col("discrepancy_ratio"), 2)), F.lit(") "))
+
+
+def pattern_statistics(results: DataFrame, with_ids: bool = False) -> DataFrame:
+    """k, o, c, value: the count of reads and the pattern of each, in this order; no rows without reads."""
+    return pieces(results, F.concat(info(with_ids, False), "pattern")).where("n > 0").drop("n")
+
+
+def unit_summary(results: DataFrame, freq: DataFrame) -> DataFrame:
+    """k, o, c, value: the count of reads, the units of each, the count of units and each one's frequency, in this order."""
+    own = pieces(results, F.concat(info(True, True), units_text())).drop("n")
+    head = freq.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(2).alias("k"), F.lit(0).cast("long").alias("o"), F.lit("").alias("c"), F.concat(F.lit("#units="), F.col("n").cast("string")).alias("value"))
+    each = freq.select(F.lit(3).alias("k"), F.lit(0).cast("long").alias("o"), F.col("canon").alias("c"), F.concat(F.lit("("), "canon", F.lit(","), F.col("freq").cast("string"), F.lit(")")).alias("value"))
+    return own.unionByName(head).unionByName(each)
+
+
+def write_line(of: DataFrame, path: str) -> None:
+    """Pieces as one line, which runs on over the part files in order of their names: no task holds all of it."""
+    of.orderBy("k", "o", "c").select("value").write.option("lineSep", " ").text(path)
+
+
 def summary(results: DataFrame) -> DataFrame:
     """n_haplotypes, n_bases, n_tandem, mean_ratio over all reads with a decomposition: totals that no order of reads changes."""
     tandem = F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + u["tandem_bases"])

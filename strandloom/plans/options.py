@@ -12,8 +12,10 @@ class Options:
     max_ratio: share of uncovered bases that a run bears. smooth: vote over
     labels (off: more complex patterns with fewer mismatches). long_mode: also
     try the best units without the greedy choice and keep the better result.
-    units: further candidate units, of up to 30 bases. max_read: longer reads
-    are refused; None lifts the limit.
+    units: further candidate units, of 1 to 999 bases; those of 20 and more are
+    found with errors. max_unit: bases of automatic units, up to 30; from 20 on
+    they are compared by alignment, which takes far longer. max_read: longer
+    reads are refused; None lifts the limit.
     """
 
     max_ratio: float = 0.3
@@ -25,3 +27,8 @@ class Options:
     units: tuple[str, ...] = ()
     on_invalid: str = "fail"
     max_read: int | None = None
+
+    def __post_init__(self):
+        for u in self.units:
+            if not 1 <= len(u) <= 999 or set(u) - set("ACGT"):
+                raise ValueError(f"a unit has 1 to 999 of the letters A, C, G, T: {u!r}")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import dna
 from strandloom.operators import blocks, evaluate, report, units
-from strandloom.operators.decompose import add_haplotypes, decompose, global_units, unit_rows
+from strandloom.operators.decompose import add_haplotypes, decompose, global_units, unit_rows, with_library
 from strandloom.plans.options import Options
 from strandloom.sources import text as sources
 
@@ -91,6 +91,8 @@ def label_runs(spark, sf):
 PLACED = "ev AS (SELECT user_id AS read_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS pos, (list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1)::INTEGER AS label FROM events)"
 RUNS = f"{PLACED}, g AS (SELECT *, pos - row_number() OVER (PARTITION BY read_id, label ORDER BY pos) AS grp FROM ev), runs AS (SELECT read_id, label, min(pos) AS \"start\", max(pos) AS \"end\", count(*) AS len FROM g GROUP BY read_id, label, grp)"
 
+DECOMP = "u AS (SELECT read_id, i, j, '(' || 0 || ',' || CASE WHEN i >= j THEN 'AC,2,' || 2 * i || ',' || 2 * i ELSE 'AG,2,' || 2 * j || ',' || 2 * j END || ') (1,' || CASE WHEN i >= j THEN 'AG,2,' || 2 * j || ',' || 2 * j ELSE 'AC,2,' || 2 * i || ',' || 2 * i END || ')' AS t FROM mosaic)"
+
 
 def smoothed_sql(rounds: int) -> str:
     """The vote as a join of each place with its window, once per round."""
@@ -152,6 +154,16 @@ def noisy(spark, sf, error=0.05):
     return own.withColumn("seq", F.array_join(F.transform(F.split("seq", ""), lambda c, p: F.when(hit(p), F.translate(c, "ACGT", "CGTA")).otherwise(c)), ""))
 
 
+LONG_UNIT = "ACGGTTACCATGCAATCGGATTC"
+
+
+def long_reads(spark, sf):
+    """read_id, seq: 4 to 11 copies of a long unit, of which each has one base replaced."""
+    k = F.col("p_partkey")
+    one = F.transform(F.sequence(F.lit(1), (k % 8 + 4).cast("int")), lambda c: F.overlay(F.lit(LONG_UNIT), F.lit("A"), ((k + c * 5) % len(LONG_UNIT) + 1).cast("int")))
+    return table(spark, sf, "part").select(k.alias("read_id"), F.array_join(one, "").alias("seq"))
+
+
 def headers(spark, sf):
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
@@ -212,6 +224,11 @@ QUERIES = {
     "haplotype_count": lambda s, d: report.summary(results(s, d)),
     "report_table": lambda s, d: report.table_text(annotated(s, d)),
     "report_fasta": lambda s, d: report.fasta_text(annotated(s, d), with_ids=True, decomp=False),
+    "pattern_statistics": lambda s, d: report.pattern_statistics(annotated(s, d), with_ids=True),
+    "unit_summary": lambda s, d: report.unit_summary(annotated(s, d), global_units(results(s, d))),
+    "decompose_user_unit": lambda s, d: results(s, d, Options(units=("GTCA", "GATTACAGATTACCAGATTAG"))).select("read_id", "pattern"),
+    "decompose_library": lambda s, d: with_library(mosaic(s, d).select("read_id", "seq")).select("read_id", "pattern"),
+    "decompose_long_units": lambda s, d: decompose(long_reads(s, d), Options(units=(LONG_UNIT,))).select("read_id", "pattern", "discrepancy_ratio"),
     "haplotype_left_join": haplotype_left_join,
     "accuracy_with_allowance": lambda s, d: evaluate.accuracy(scored(s, d), ["dataset", "tool"], ALLOWANCES),
     "tool_comparison_pivot": lambda s, d: evaluate.compare_tools(evaluate.accuracy(scored(s, d), ["dataset", "tool"], ALLOWANCES), ["a", "b", "c"]),
@@ -254,8 +271,12 @@ ORACLES = {
     "decompose_blocks": f"WITH {MOSAIC} SELECT read_id, 'AC' AS unit, i AS copies, 0 AS \"start\", 2 * i AS \"end\", TRUE AS is_tandem FROM mosaic UNION ALL SELECT read_id, 'AG', j, 2 * i, 2 * (i + j), TRUE FROM mosaic",
     "global_units": "SELECT canon, count(*) AS freq FROM part, (VALUES ('AC'), ('AG')) u(canon) GROUP BY canon",
     "haplotype_count": f"WITH {MOSAIC} SELECT count(*) AS n_haplotypes, sum(2 * (i + j))::BIGINT AS n_bases, sum(2 * (i + j))::BIGINT AS n_tandem, 0.0::DOUBLE AS mean_ratio FROM mosaic",
-    "report_table": f"WITH {MOSAIC}, u AS (SELECT read_id, i, j, '(' || 0 || ',' || CASE WHEN i >= j THEN 'AC,2,' || 2 * i || ',' || 2 * i ELSE 'AG,2,' || 2 * j || ',' || 2 * j END || ') (1,' || CASE WHEN i >= j THEN 'AG,2,' || 2 * j || ',' || 2 * j ELSE 'AC,2,' || 2 * i || ',' || 2 * i END || ')' AS t FROM mosaic) SELECT read_id AS read_ord, 's' || (read_id % 7) || ',read' || read_id || ' (' || 2 * (i + j) || ',1,2,0.000) [2 ' || t || ']' AS value FROM u",
+    "report_table": f"WITH {MOSAIC}, {DECOMP} SELECT read_id AS read_ord, 's' || (read_id % 7) || ',read' || read_id || ' (' || 2 * (i + j) || ',1,2,0.000) [2 ' || t || ']' AS value FROM u",
     "report_fasta": f"WITH {MOSAIC} SELECT read_id AS read_ord, '> #Info (s' || (read_id % 7) || ',read' || read_id || ',' || 2 * (i + j) || ',1,2,0.000) #Pat <AC>' || i || '<AG>' || j || chr(10) || seq AS value FROM mosaic",
+    "pattern_statistics": f"WITH {MOSAIC} SELECT 0 AS k, 0::BIGINT AS o, '' AS c, ' #haplotypes=' || count(*) AS value FROM mosaic HAVING count(*) > 0 UNION ALL SELECT 1, read_id, '', '(s' || (read_id % 7) || ',read' || read_id || ',' || 2 * (i + j) || ',1,0.00) <AC>' || i || '<AG>' || j FROM mosaic",
+    "unit_summary": f"WITH {MOSAIC}, {DECOMP} SELECT 0 AS k, 0::BIGINT AS o, '' AS c, ' #haplotypes=' || count(*) AS value FROM mosaic UNION ALL SELECT 1, read_id, '', '(s' || (read_id % 7) || ',read' || read_id || ',' || 2 * (i + j) || ',1,2,0.00) [2 ' || t || ']' FROM u UNION ALL SELECT 2, 0, '', '#units=2' UNION ALL SELECT 3, 0, canon, '(' || canon || ',' || count(*) || ')' FROM mosaic, (VALUES ('AC'), ('AG')) v(canon) GROUP BY canon",
+    "decompose_user_unit": f"WITH {MOSAIC} SELECT read_id, '<AC>' || i || '<AG>' || j AS pattern FROM mosaic",
+    "decompose_library": f"WITH {MOSAIC} SELECT read_id, '<AC>' || i || '<AG>' || j AS pattern FROM mosaic",
     "haplotype_left_join": "WITH h AS (SELECT 's' || (s_suppkey % 7) AS sample_id, s_suppkey % 50 AS read_no, arg_min(s_suppkey || '|' || (s_suppkey + 100), s_suppkey) AS hap FROM supplier GROUP BY ALL) SELECT p_partkey AS read_id, 's' || (p_partkey % 7) AS sample_id, 'read' || p_partkey AS read_name, hap FROM part LEFT JOIN h ON h.sample_id = 's' || (p_partkey % 7) AND h.read_no = p_partkey",
     "accuracy_with_allowance": f"WITH {SCORES} SELECT * FROM scores",
     "tool_comparison_pivot": f"WITH {SCORES} SELECT dataset, allowance, sum(hits) FILTER (WHERE tool = 'a')::BIGINT AS a, sum(hits) FILTER (WHERE tool = 'b')::BIGINT AS b, sum(hits) FILTER (WHERE tool = 'c')::BIGINT AS c FROM scores GROUP BY ALL",
