@@ -6,6 +6,11 @@ at each position, longest first; a token is the last one of its prefix if it
 can stand by itself and is compatible with the last token of the prefix
 before it. Following the stored tokens back from the end gives the ids.
 
+Which characters are letters and how they are lowered follows the Unicode
+tables of this Python; a stretch with a character that they do not know, or
+with a combining mark, whose order depends on their version, is normalised
+and cut into pieces by the tokenizer's own tables instead.
+
 Texts: null counts as empty; an empty text has no ids and decodes to an empty
 text. Strings of added tokens inside a text become those tokens, as the
 library does by default. Repeated rows each get their row.
@@ -20,6 +25,7 @@ import unicodedata
 
 import numpy as np
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -33,6 +39,8 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spac
 #: Control characters that Python's split() takes for white space and the tokenizer does not.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"\p{White_Space}+")
+#: Categories of characters that Unicode versions treat differently: unassigned ones and marks.
+UNSURE = {"Cn", "Mn", "Mc", "Me"}
 END = "</w>"
 BASE = -1
 
@@ -57,6 +65,8 @@ class PrefixBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        own = tokenizers.Tokenizer.from_file(path)
+        self.normalizer, self.cutter = own.normalizer, own.pre_tokenizer
         self.symbols = byte_symbols()
         number = {s: b for b, s in enumerate(self.symbols)}
         self.text = {i: t for t, i in vocab.items()}
@@ -72,7 +82,7 @@ class PrefixBPE:
             self.merge[vocab[a], vocab[b]] = r, made
             if made not in self.rank:
                 self.rank[made], self.parts[made] = r, (vocab[a], vocab[b])
-        own = set(self.added.values())
+        special = set(self.added.values())
         # the trie of all vocabulary strings; symbols from 256 on end a word
         self.child: dict[int, int] = {}
         self.token: list[int] = [-1]
@@ -80,7 +90,7 @@ class PrefixBPE:
         self.symbol: list[int] = [0]
         self.parent: list[int] = [0]
         for t, i in vocab.items():
-            if i in own:
+            if i in special:
                 continue
             body, last = (t[: -len(END)], 256) if t.endswith(END) and len(t) > len(END) else (t, 0)
             if all(c in number for c in body):
@@ -201,12 +211,19 @@ class PrefixBPE:
             at -= size[at]
         return tuple(out[::-1])
 
+    def pieces(self, chunk: str) -> list[str]:
+        """The normalised pieces of a stretch without white space."""
+        if not chunk.isascii() and any(unicodedata.category(c) in UNSURE for c in chunk):
+            folded = self.normalizer.normalize_str(chunk)
+            return [folded[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(folded)]
+        # lower case goes character by character: the final sigma has no form of its own
+        folded = unicodedata.normalize("NFC", chunk)
+        return WORDS.findall(folded.lower() if "Σ" not in folded else "".join(c.lower() for c in folded))
+
     def chunk(self, chunk: str) -> tuple[str, int, str]:
         """Of a stretch without white space: ids as text, their number, decoded text."""
         ids: list[int] = []
-        # lower case goes character by character: the final sigma has no form of its own
-        folded = unicodedata.normalize("NFC", chunk)
-        for w in WORDS.findall(folded.lower() if "Σ" not in folded else "".join(c.lower() for c in folded)):
+        for w in self.pieces(chunk):
             got = self.words.get(w)
             if got is None:
                 got = self.word(w)

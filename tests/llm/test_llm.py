@@ -27,7 +27,8 @@ def edge(spark):
 def texts():
     r = random.Random(1)
     parts = ["the ", "don't ", "I'll", "é", "ΣΑΣ ", "İ", "🎉", "\x1c", "<|endoftext|>", "12 ", "!!", "nation ", "\n", "日本", "​", " "]
-    return ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(300)] + [t or "" for t in EDGE]
+    odd = ["\u0558", "\U0003ec11", "\U00018e26", "\U00010d60", "\U0001e9bb", "a\u0344\u1df6", "\u09ab\u0300", "\u1ac3\u0300", "\u0915\u093c\u08db\u0485", "\ufb1d", "A\u030a", "\u1100\u1161"]
+    return ["".join(r.choice(parts + odd) for _ in range(r.randint(0, 60))) for _ in range(600)] + [t or "" for t in EDGE]
 
 
 def test_bpe_matches_the_library():
