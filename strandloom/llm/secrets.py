@@ -170,9 +170,12 @@ def base64_layers(layer: Layer):
             data = base64.b64decode(core.replace("-", "+").replace("_", "/") + "=" * (-len(core) % 4), validate=True)
         except binascii.Error:
             continue
-        packed = data
-        while (inner := unpacked(packed)) is not None:  # every round takes a header off, so this ends
-            packed = inner
+        packed, met = data, {hashlib.blake2b(data).digest()}
+        while (inner := unpacked(packed)) is not None:
+            packed, known = inner, len(met)
+            met.add(hashlib.blake2b(packed).digest())
+            if len(met) == known:  # a stream may unpack to itself
+                break
         if packed is not data:
             s = readable(packed)
             if s:

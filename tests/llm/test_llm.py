@@ -217,6 +217,14 @@ def test_secrets_base_and_layers():
     assert secrets.all_spans("%25%25 100% \\u00 plain", []) == []
 
 
+def test_secrets_end_on_streams_that_unpack_to_themselves(monkeypatch):
+    import base64
+
+    turn = {b"A" * 30: b"B" * 30, b"B" * 30: b"A" * 30}
+    monkeypatch.setattr(secrets, "unpacked", turn.get)
+    assert secrets.all_spans("x " + base64.b64encode(b"A" * 30).decode() + " y", []) == []
+
+
 def test_secrets_documents(edge):
     assert len(secrets.scan(edge).collect()) == len(EDGE) + 2
     out = secrets.redact_documents(edge)
