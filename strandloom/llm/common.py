@@ -88,13 +88,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Ids are chosen by the order of a hash; only the chosen texts, at most
     max_chars long each, reach the driver, so its memory is bounded by
-    2 * per_class * max_chars characters whatever the corpus.
+    2 * per_class * max_chars characters whatever the corpus. Of rows that
+    share an id the least text is taken; an id labelled both ways counts for
+    each class.
     """
-    own = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold() != 0))
+    own = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold() != 0)).distinct()
     ids = None
     short = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
     for y in (0, 1):
         part = own.where(F.col("y") == y).select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(per_class).select("doc_id", "y")
         ids = part if ids is None else ids.unionByName(part)
-    rows = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.y, r.text))][: 4 * per_class]
+    rows = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.y))]

@@ -57,4 +57,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_decontamination, op4_toxicity, op5_token_counts, op6_media, op7_simhash, op8_warc, op9_quality, op10_secrets)}
-ORACLES = {"op2_sharding": sharding.oracle(SHARD_BYTES), "op3_decontamination": decontamination.oracle()}
+ORACLES = {"op2_sharding": sharding.oracle(SHARD_BYTES), "op3_decontamination": decontamination.oracle(), "op8_warc": warc.oracle()}

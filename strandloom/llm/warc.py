@@ -201,3 +201,13 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archives of all pages, written to the shared folder and read back."""
     return read_archives(stored(write_archives(pages), "warc"))
+
+
+def oracle() -> str:
+    """The same in DuckDB; base 32 has five bits a letter, so four letters for five hexadecimal digits."""
+    letters = "[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, j // 4 * 5 + 1, 5))::BIGINT >> (15 - j % 4 * 5)) & 31) + 1, 1) for j in range(32)]"
+    return f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    f AS (SELECT payload, min(page_id) AS first_id FROM p GROUP BY payload),
+    r AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS h, CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM p JOIN f USING (payload))
+    SELECT page_id, payload_bytes, array_to_string({letters}, '') AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r"""

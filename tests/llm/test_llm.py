@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import struct
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandloom.llm import bpe, decontamination, media, quality, secrets, sharding, simhash, token_counts, toxicity, warc
+from strandloom.llm import bpe, common, decontamination, media, quality, secrets, sharding, simhash, token_counts, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EDGE = ["", None, "a", " ", "\n\t ", "word " * 9000, "x" * 30000, "same text here now", "same text here now", "é日本語🎉 \x1c b\x00c"]
@@ -244,6 +245,32 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["op2_sharding", "op3_decontamination", "op8_warc"])
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from strandloom.llm import queries
+
+    where = "/root/testdata/sf0.001"
+    if not os.path.isdir(where):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, where)
+    cols = ", ".join(f'"{c}"' for c in got.columns)
+    want = con.execute(f"SELECT {cols} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+def test_sample_takes_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(k % 4, f"text {k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 4, k % 2) for k in range(8)], "doc_id long, quality int")
+    got = common.labelled_sample(docs, labels, "quality", 10, 100)
+    least = {min(f"text {k}" for k in range(i, 400, 4)): i % 2 for i in range(4)}
+    assert got and len(got) == len({t for t, _ in got}) and all(least[t] == y for t, y in got)
+
+
 def test_warc_rejects_damage():
     whole = warc.archive([warc.record(k, "u", b"payload %d" % k * 30, None) for k in range(40)])
     assert struct.unpack_from("<I", whole)[0] == warc.DICTIONARY_FRAME and len(list(warc.read(whole))) == 40
