@@ -1,7 +1,7 @@
 """Secret scans with a worklist of decoded layers.
 
-A text is scanned as it is. Stretches of it that hold URL escapes, Unicode
-escapes or base64 are unwrapped, base64 also through gzip, zlib, bz2 and xz;
+A text is scanned as it is. Its URL escapes are replaced, all together, and
+its Unicode escapes; base64 is unwrapped, also through gzip, zlib, bz2 and xz;
 each new layer is scanned and unwrapped in turn until nothing new appears.
 Every character of a layer knows the stretch of the text that it came from,
 so what is found in a layer is reported by its place in the text. A layer
@@ -19,6 +19,7 @@ import lzma
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,6 @@ PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+|[^%]+|%")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-SPACE = re.compile(r"\s")
 #: Bytes that one compressed layer may unpack to; a larger one is a decompression bomb and is scanned as far as that.
 MOST_UNPACKED = 16 << 20
 
@@ -56,84 +56,70 @@ def base_spans(text: str) -> list[Span]:
 class Layer:
     """A decoded text with the place in the root text that each of its characters came from."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
         self.text, self.starts, self.ends = text, starts, ends
 
     def place(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
+        return (a, b) if self.starts is None else (int(self.starts[a]), int(self.ends[b - 1]))
 
 
-def stretches(text: str, pattern: re.Pattern):
-    """The stretches between white space that hold a match."""
-    done = 0
-    for m in pattern.finditer(text):
-        if m.start() < done:
-            continue
-        a = m.start()
-        while a > done and not text[a - 1].isspace():
-            a -= 1
-        end = SPACE.search(text, m.end())
-        done = end.start() if end else len(text)
-        yield a, done
+def moved(layer: Layer, text: str, starts: np.ndarray, ends: np.ndarray) -> Layer:
+    """A layer of text whose characters came from these places of layer."""
+    return Layer(text, starts, ends) if layer.starts is None else Layer(text, layer.starts[starts], layer.ends[ends - 1])
 
 
 def build(layer: Layer, pieces: list[tuple[str, int, int]]) -> Layer:
     """A layer of (characters, start, end) in layer, each piece's characters from that stretch."""
-    text, starts, ends = [], [], []
-    for s, a, b in pieces:
-        text.append(s)
-        if len(s) == b - a:
-            places = [layer.place(k, k + 1) for k in range(a, b)]
-        else:
-            places = [layer.place(a, b)] * len(s)
-        starts += [p[0] for p in places]
-        ends += [p[1] for p in places]
-    return Layer("".join(text), starts, ends)
+    n, a, b = (np.array(x, np.int64) for x in ([len(s) for s, _, _ in pieces], [x for _, x, _ in pieces], [x for _, _, x in pieces]))
+    same = np.repeat(n == b - a, n)  # character by character
+    within = np.arange(len(same)) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(a, n) + np.where(same, within, 0)
+    return moved(layer, "".join([s for s, _, _ in pieces]), starts, np.where(same, starts + 1, np.repeat(b, n)))
 
 
 def url_layers(layer: Layer):
+    """The layer with all its URL escapes replaced: key and value of a secret may lie in different words."""
     text = layer.text
-    if "%" not in text:
+    if not PERCENT.search(text):
         return
-    for a, b in stretches(text, PERCENT):
-        pieces = []
-        for m in PERCENTS.finditer(text, a, b):
-            if len(m[0]) < 3 or m[0][0] != "%":
-                pieces.append((m[0], m.start(), m.end()))
-                continue
-            data = bytes.fromhex(m[0].replace("%", ""))
-            try:
-                at = m.start()
-                for c in data.decode("utf-8"):
-                    n = 3 * len(c.encode("utf-8"))
-                    pieces.append((c, at, at + n))
-                    at += n
-            except UnicodeDecodeError:
-                pieces += [(chr(x), m.start() + 3 * k, m.start() + 3 * k + 3) for k, x in enumerate(data)]
-        yield build(layer, pieces)
+    pieces = []
+    for m in PERCENTS.finditer(text):
+        if len(m[0]) < 3 or m[0][0] != "%":
+            pieces.append((m[0], m.start(), m.end()))
+            continue
+        data = bytes.fromhex(m[0].replace("%", ""))
+        try:
+            at = m.start()
+            for c in data.decode("utf-8"):
+                n = 3 * len(c.encode("utf-8"))
+                pieces.append((c, at, at + n))
+                at += n
+        except UnicodeDecodeError:
+            pieces += [(chr(x), m.start() + 3 * k, m.start() + 3 * k + 3) for k, x in enumerate(data)]
+    yield build(layer, pieces)
 
 
 def unicode_layers(layer: Layer):
+    """The layer with all its Unicode escapes replaced."""
     text = layer.text
-    if "\\" not in text and "&#" not in text:
+    pieces, at = [], 0
+    for m in ESCAPE.finditer(text):
+        if m.start() > at:
+            pieces.append((text[at : m.start()], at, m.start()))
+        s = m[0]
+        code = int(s[2:], 16) if s[0] == "\\" else int(s[3:-1], 16) if s[2] in "xX" else int(s[2:-1])
+        low = 0xDC00 <= code < 0xE000 and pieces and pieces[-1][2] == m.start() and len(pieces[-1][0]) == 1 and 0xD800 <= ord(pieces[-1][0]) < 0xDC00
+        if low:
+            high = pieces.pop()
+            pieces.append((chr(0x10000 + (ord(high[0]) - 0xD800 << 10) + code - 0xDC00), high[1], m.end()))
+        else:
+            pieces.append((chr(code) if code < 0x110000 else "�", m.start(), m.end()))
+        at = m.end()
+    if not at:
         return
-    for a, b in stretches(text, ESCAPE):
-        pieces, at = [], a
-        for m in ESCAPE.finditer(text, a, b):
-            if m.start() > at:
-                pieces.append((text[at : m.start()], at, m.start()))
-            s = m[0]
-            code = int(s[2:], 16) if s[0] == "\\" else int(s[3:-1], 16) if s[2] in "xX" else int(s[2:-1])
-            low = 0xDC00 <= code < 0xE000 and pieces and pieces[-1][2] == m.start() and len(pieces[-1][0]) == 1 and 0xD800 <= ord(pieces[-1][0]) < 0xDC00
-            if low:
-                high = pieces.pop()
-                pieces.append((chr(0x10000 + (ord(high[0]) - 0xD800 << 10) + code - 0xDC00), high[1], m.end()))
-            else:
-                pieces.append((chr(code) if code < 0x110000 else "�", m.start(), m.end()))
-            at = m.end()
-        if at < b:
-            pieces.append((text[at:b], at, b))
-        yield build(layer, [("�" if len(s) == 1 and 0xD800 <= ord(s) < 0xE000 else s, x, y) for s, x, y in pieces])
+    if at < len(text):
+        pieces.append((text[at:], at, len(text)))
+    yield build(layer, [("�" if len(s) == 1 and 0xD800 <= ord(s) < 0xE000 else s, x, y) for s, x, y in pieces])
 
 
 def unpacked(data: bytes) -> bytes | None:
@@ -200,7 +186,7 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
             for new in decode(layer):
                 if not new.text:
                     continue
-                key = (hashlib.blake2b(new.text.encode("utf-8", "replace"), digest_size=16).digest(), new.starts[0], new.ends[-1])
+                key = (hashlib.blake2b(new.text.encode("utf-8", "replace"), digest_size=16).digest(), *new.place(0, len(new.text)))
                 if key in seen:
                     continue
                 seen.add(key)

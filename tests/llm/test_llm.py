@@ -218,6 +218,11 @@ def test_secrets_base_and_layers():
     assert secrets.all_spans("%25%25 100% \\u00 plain", []) == []
 
 
+def test_secrets_with_key_and_value_apart():
+    for s, rest in (('{"pass\\u0077ord": "hunter2222"}', '{"[SECRET]"}'), ("x api%5Fkey: abcdef123", "x [SECRET]"), ("password = %68unter2222 y%20z", "[SECRET] y%20z"), ("token&#58; '%61bcdefg'", "[SECRET]'")):
+        assert secrets.redacted(s) == rest
+
+
 def test_secrets_end_on_streams_that_unpack_to_themselves(monkeypatch):
     import base64
 
