@@ -23,6 +23,7 @@ has others; a component of only null ids has a null component_id.
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -246,12 +247,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
+def members(distinct: DataFrame) -> DataFrame:
+    """(fp, root) for every fingerprint that has links; root is the least fingerprint of its component."""
+    root = components(links(distinct))
+    return root.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(root.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id (the smallest doc_id that links lead to) of every document."""
     own = stored(fingerprints(docs), "simhash-fingerprints")
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    root = components(links(first.select("fp")))
-    member = root.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(root.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
+    member = members(first.select("fp"))
     linked = member.join(first, "fp")
     of_root = linked.groupBy("root").agg(F.min("first_id").alias("linked_id"))
     by_fp = first.join(member.join(apart(of_root), "root").select("fp", "linked_id"), "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
@@ -259,19 +265,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that with the smallest doc_id, and all columns.
+    """docs with one row of each component of near-duplicates and all columns.
 
-    A row goes if its doc_id is not the smallest of its group; of rows that
-    share a doc_id one stays, that whose text has the smallest hash.
+    It is the row with the smallest doc_id, nulls last, then the smallest hash
+    of the text. Rows are told apart by both, so an id that several texts share,
+    or null, joins no components. Of rows equal in both one stays.
     """
-    own = near_duplicates(docs)
-    drop = stored(own.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "simhash-drop")
-    kept = docs.join(drop.select(F.col("doc_id").alias("__d")), F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
-    repeated = stored(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeated")
-    if repeated.isEmpty():
-        return kept
-    twice = repeated.select(F.col("doc_id").alias("__d"))
-    match = F.col("doc_id").eqNullSafe(F.col("__d"))
-    # few ids repeat; an aggregate that combines before the shuffle leaves one row of each
-    one = kept.join(twice, match, "left_semi").withColumn("__h", F.xxhash64("text")).groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "__h").alias("r")).select("r.*")
-    return kept.join(twice, match, "left_anti").unionByName(one)
+
+    def factory():
+        def work(texts):
+            return [np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64), [hashlib.md5(t.encode("utf-8")).hexdigest() for t in texts]]
+
+        return work
+
+    own = stored(map_texts(docs, factory, T.StructType([T.StructField("fp", T.LongType()), T.StructField("h", T.StringType())])), "simhash-rows")
+    rooted = stored(own.join(apart(members(own.select("fp").distinct())), "fp", "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m"))
+    keeps = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("h") == F.col("m.h"))
+    names = [F.col("doc_id").alias("__d"), F.col("h").alias("__t")]
+    match = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t"))
+    drop = stored(rooted.join(apart(least), "root").where(~keeps).select(*names).distinct(), "simhash-drop")
+    kept = docs.withColumn("__h", F.md5(F.coalesce("text", F.lit("")))).join(drop, match, "left_anti")
+    twice = stored(rooted.groupBy("doc_id", "h").count().where("count > 1").select(*names), "simhash-repeated")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    # few rows repeat as a whole; an aggregate that combines before the shuffle leaves one of each
+    row = F.struct(*docs.columns)
+    one = kept.join(twice, match, "left_semi").groupBy("doc_id", "__h").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("r")).select("r.*")
+    return kept.join(twice, match, "left_anti").select(*docs.columns).unionByName(one)

@@ -142,6 +142,14 @@ def test_near_duplicates_edge(edge):
     assert kept.columns == edge.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 2, 5, 6, 7, 9]
 
 
+def test_keep_first_goes_by_rows(spark):
+    far = [" ".join(hashlib.sha256(f"{k}-{n}".encode()).hexdigest()[:8] for n in range(40)) for k in range(6)]
+    # far[0] links a null id to 1; 5 is a later copy in one row and the only one of far[3] in another; far[4] has two rows of null alone
+    rows = [(1, far[0], "a"), (None, far[0], "b"), (None, far[1], "c"), (None, far[2], "d"), (3, far[5], "e"), (5, far[5], "f"), (5, far[3], "g"), (None, far[4], "h"), (None, far[4], "h"), (3, far[5], "e")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, tag string"))
+    assert sorted(r.tag for r in kept.collect()) == ["a", "c", "d", "e", "g", "h"]
+
+
 def test_near_duplicates_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
