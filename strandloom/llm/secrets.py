@@ -38,6 +38,7 @@ PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+|[^%]+|%")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+SURROGATE = re.compile("[\ud800-\udfff]")
 #: Bytes that one compressed layer may unpack to; a larger one is a decompression bomb and is scanned as far as that.
 MOST_UNPACKED = 16 << 20
 
@@ -138,12 +139,22 @@ def unpacked(data: bytes) -> bytes | None:
     return None
 
 
-def readable(data: bytes) -> str | None:
-    try:
-        s = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return s if s and all(c.isprintable() or c in "\t\n\r" for c in s) else None
+def readings(data: bytes):
+    """(text, byte that each character starts at, byte that it ends at) of data: as UTF-8, bytes that are not by themselves, and with zero bytes as UTF-16."""
+    s = data.decode("utf-8", "surrogateescape")
+    code = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
+    alone = (code >= 0xDC80) & (code < 0xDD00)
+    n = np.where(alone, 1, 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000))
+    ends = np.cumsum(n)
+    yield SURROGATE.sub("\ufffd", s), ends - n, ends
+    if b"\0" in data:
+        for skip in (0, 1):
+            size = (len(data) - skip) // 2
+            at = skip + 2 * np.arange(size)
+            for kind in ("<u2", ">u2"):
+                code = np.frombuffer(data, kind, size, skip).astype("<u4")
+                code = np.where((code >= 0xD800) & (code < 0xE000), 0xFFFD, code).astype("<u4")  # no pattern has them
+                yield code.tobytes().decode("utf-32-le"), at, at + 2
 
 
 def base64_layers(layer: Layer):
@@ -163,18 +174,10 @@ def base64_layers(layer: Layer):
             if len(met) == known:  # a stream may unpack to itself
                 break
         if packed is not data:
-            s = readable(packed)
-            if s:
-                yield build(layer, [(s, m.start(), m.end())] if len(s) != m.end() - m.start() else [(c, m.start(), m.end()) for c in s])
-            continue
-        s = readable(data)
-        if s:
-            pieces, at = [], 0
-            for c in s:
-                n = len(c.encode("utf-8"))
-                pieces.append((c, m.start() + at * 4 // 3, min(m.end(), m.start() + -(-(at + n) * 4 // 3))))
-                at += n
-            yield build(layer, pieces)
+            for s, starts, _ in readings(packed):
+                yield moved(layer, s, np.full(len(starts), m.start()), np.full(len(starts), m.end()))
+        for s, starts, ends in readings(data):
+            yield moved(layer, s, m.start() + starts * 4 // 3, np.minimum(m.end(), m.start() - (-ends * 4 // 3)))
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:

@@ -231,6 +231,20 @@ def test_secrets_with_key_and_value_apart():
         assert secrets.redacted(s) == rest
 
 
+@pytest.mark.parametrize("coding", ["utf-8", "utf-8-sig", "latin-1", "utf-16", "utf-16-le", "utf-16-be"])
+def test_secrets_in_layers_of_any_characters(coding):
+    import base64
+    import gzip
+
+    for around in ("é \xa0\x0c", "é\0 "):
+        data = (around + "password=hunter2222 " + around).encode(coding) + b"\xff"
+        for raw in (data, gzip.compress(data)):
+            assert secrets.redacted("x " + base64.b64encode(raw).decode()).startswith("x [SECRET]" if raw is not data else "x ")
+            assert "[SECRET]" in secrets.redacted("x " + base64.b64encode(raw).decode() + " y")
+    wide = base64.b64encode("　\u200b\u2028 token=abcdefgh".encode()).decode()
+    assert "[SECRET]" in secrets.redacted(wide)
+
+
 def test_secrets_end_on_streams_that_unpack_to_themselves(monkeypatch):
     import base64
 
