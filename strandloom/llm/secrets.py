@@ -12,7 +12,6 @@ row. Places are code points, the end exclusive.
 """
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -37,7 +36,14 @@ LEAST_VALUE = 6
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+|[^%]+|%")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]++(?:[\r\n]++[A-Za-z0-9+/_-]++)*+")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+PADDING = re.compile(r"={0,2}")
+LEAST_RUN = 16
+#: How a compressed stream starts.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0", re.DOTALL)
+#: Bytes without any of these hold nothing: no pattern, escape, run of base64 or UTF-16.
+TELLING = re.compile(rb"\0|AKIA|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#|[A-Za-z0-9+/_\r\n-]{16}")
 SURROGATE = re.compile("[\ud800-\udfff]")
 #: Bytes that one compressed layer may unpack to; a larger one is a decompression bomb and is scanned as far as that.
 MOST_UNPACKED = 16 << 20
@@ -157,27 +163,45 @@ def readings(data: bytes):
                 yield code.tobytes().decode("utf-32-le"), at, at + 2
 
 
-def base64_layers(layer: Layer):
-    text = layer.text
+def runs(text: str):
+    """Places of the characters of each stretch that may hold base64: lines joined over line breaks, and each line by itself."""
     for m in BASE64.finditer(text):
-        core = m[0].rstrip("=")
-        if len(core) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(core.replace("-", "+").replace("_", "/") + "=" * (-len(core) % 4), validate=True)
-        except binascii.Error:
+        if m.end() - m.start() < LEAST_RUN:
             continue
-        packed, met = data, {hashlib.blake2b(data).digest()}
-        while (inner := unpacked(packed)) is not None:
-            packed, known = inner, len(met)
-            met.add(hashlib.blake2b(packed).digest())
-            if len(met) == known:  # a stream may unpack to itself
-                break
-        if packed is not data:
-            for s, starts, _ in readings(packed):
-                yield moved(layer, s, np.full(len(starts), m.start()), np.full(len(starts), m.end()))
-        for s, starts, ends in readings(data):
-            yield moved(layer, s, m.start() + starts * 4 // 3, np.minimum(m.end(), m.start() - (-ends * 4 // 3)))
+        lines = [x.span() for x in LINE.finditer(text, m.start(), m.end())]
+        if sum(b - a for a, b in lines) >= LEAST_RUN:
+            yield np.concatenate([np.arange(a, b) for a, b in lines])
+        if len(lines) > 1:
+            yield from (np.arange(a, b) for a, b in lines if b - a >= LEAST_RUN)
+
+
+def base64_layers(layer: Layer):
+    """What base64 holds: a blob may follow other characters of its alphabet, so all four ways to group a stretch are tried, and a compressed stream is looked for at every group."""
+    text = layer.text
+    for at in runs(text):
+        core = "".join([text[k] for k in at]) if at[-1] - at[0] >= len(at) else text[at[0] : at[-1] + 1]
+        core = core.replace("-", "+").replace("_", "/")
+        last = PADDING.match(text, int(at[-1]) + 1).end()
+        for skip in range(4):
+            own = core[skip:]
+            own = own[:-1] if len(own) % 4 == 1 else own
+            data = base64.b64decode(own + "=" * (-len(own) % 4))
+            for start in sorted({0} | {x.start() for x in MAGIC.finditer(data) if x.start() % 3 == 0}):
+                packed = data[start:]
+                met = {hashlib.blake2b(packed).digest()}
+                first = packed
+                while (inner := unpacked(packed)) is not None:
+                    packed, known = inner, len(met)
+                    met.add(hashlib.blake2b(packed).digest())
+                    if len(met) == known:  # a stream may unpack to itself
+                        break
+                if packed is not first:
+                    x = int(at[skip + start // 3 * 4])
+                    for s, starts, _ in readings(packed):
+                        yield moved(layer, s, np.full(len(starts), x), np.full(len(starts), last))
+            if TELLING.search(data):
+                for s, starts, ends in readings(data):
+                    yield moved(layer, s, at[skip + starts * 4 // 3], at[skip - 1 - (-ends * 4 // 3)] + 1)
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:

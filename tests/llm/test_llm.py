@@ -1,8 +1,10 @@
+import bz2
 import hashlib
 import os
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -245,6 +247,26 @@ def test_secrets_in_layers_of_any_characters(coding):
     assert "[SECRET]" in secrets.redacted(wide)
 
 
+def test_secrets_in_base64_after_other_characters_and_over_lines():
+    import base64
+    import gzip
+
+    plain = b"some words before it, password=hunter2222 and after"
+    noise = " ".join(hashlib.sha256(bytes([k])).hexdigest()[:9] for k in range(40)).encode()
+    for raw in (plain, gzip.compress(noise + plain), bz2.compress(plain), zlib.compress(plain)):
+        blob = base64.b64encode(raw).decode()
+        for before in ("https://h.example/cb/", "a/", "ab_", "abc-", "x", "https://h.example/c_b/d-e/"):
+            assert secrets.redacted(f"see {before}{blob}").count("[SECRET]") == 1, before
+        for ends in ("\n", "\r\n"):
+            for width in (76, 30):
+                lines = ends.join(blob[k : k + width] for k in range(0, len(blob), width))
+                assert secrets.redacted(f"data:{ends}{lines}{ends}bye now").count("[SECRET]") == 1
+                assert secrets.redacted(f"word{ends}{lines}{ends}{ends}bye now").count("[SECRET]") == 1
+    t = "/cb/" + base64.b64encode(b"123456789012 token=abcdef").decode() + "/zz"
+    x, kind, y = secrets.all_spans(t, [])[0]
+    assert (x, kind) == (4 + 13 * 4 // 3, 0) and len(t) - 7 <= y <= len(t)
+
+
 def test_secrets_end_on_streams_that_unpack_to_themselves(monkeypatch):
     import base64
 
