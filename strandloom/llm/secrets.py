@@ -16,7 +16,9 @@ import bz2
 import hashlib
 import lzma
 import re
+import tempfile
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,8 +47,12 @@ MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0",
 #: Bytes without any of these hold nothing: no pattern, escape, run of base64 or UTF-16.
 TELLING = re.compile(rb"\0|AKIA|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#|[A-Za-z0-9+/_\r\n-]{16}")
 SURROGATE = re.compile("[\ud800-\udfff]")
-#: Bytes that one compressed layer may unpack to; a larger one is a decompression bomb and is scanned as far as that.
+#: Bytes of an unpacked layer that are held in memory and scanned at once; a larger one lies in a temporary file and is scanned whole, piece by piece.
 MOST_UNPACKED = 16 << 20
+#: Bytes that a decompressor takes or gives at a time.
+READ = 1 << 16
+#: Characters that no pattern, escape or run of base64 holds.
+BREAKS = [bytes([c]) for c in b",(){}[]<>!?|*~@$^`"]
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -129,20 +135,114 @@ def unicode_layers(layer: Layer):
     yield build(layer, [("�" if len(s) == 1 and 0xD800 <= ord(s) < 0xE000 else s, x, y) for s, x, y in pieces])
 
 
-def unpacked(data: bytes) -> bytes | None:
-    """What a compressed stream holds, or None if it isn't one."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MOST_UNPACKED)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, MOST_UNPACKED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MOST_UNPACKED)
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(data, MOST_UNPACKED)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        pass
-    return None
+def opened(head: bytes):
+    """A decompressor for a stream that starts so, or None."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\0" else None
+
+
+def inflated(source: Iterator[bytes]):
+    """(number of the member, bytes) in bounded pieces: all members of a stream, as far as they can be read."""
+    rest, number = b"", 0
+    while True:
+        while len(rest) < 6 and (more := next(source, b"")):
+            rest = (rest + more).lstrip(b"\0") if number else rest + more  # zero bytes may pad members
+        d = opened(rest)
+        if d is None:
+            return
+        try:
+            while not d.eof:
+                out = d.decompress(rest, READ)
+                if out:
+                    yield number, out
+                if isinstance(d, bz2.BZ2Decompressor | lzma.LZMADecompressor):
+                    rest, hungry = b"", d.needs_input
+                else:
+                    rest = d.unconsumed_tail
+                    hungry = not rest and len(out) < READ
+                if not d.eof and hungry:
+                    rest = next(source, b"")
+                    if not rest:
+                        return
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            return
+        rest, number = d.unused_data.lstrip(b"\0"), number + 1
+
+
+def pieces_read(data) -> Iterator[bytes]:
+    """The bytes of data, a buffer or a file, in pieces."""
+    if hasattr(data, "read"):
+        data.seek(0)
+        yield from iter(lambda: data.read(READ), b"")
+    else:
+        for k in range(0, len(data), READ):
+            yield bytes(data[k : k + READ])
+
+
+def unpacked(data):
+    """What all members of a compressed stream hold, as a temporary file that lies in memory up to MOST_UNPACKED bytes; None if it isn't one.
+
+    Both may be bytes or files. The file's members are the digests of what each member holds.
+    """
+    out, digests, last = None, [], None
+    for number, piece in inflated(pieces_read(data)):
+        if out is None:
+            out = tempfile.SpooledTemporaryFile(MOST_UNPACKED)
+        if number != last:
+            digests.append(hashlib.blake2b())
+            last = number
+        digests[-1].update(piece)
+        out.write(piece)
+    if out is not None:
+        out.members = {d.digest() for d in digests}
+    return out
+
+
+def digest(data) -> bytes:
+    h = hashlib.blake2b()
+    for piece in pieces_read(data):
+        h.update(piece)
+    return h.digest()
+
+
+def innermost(data):
+    """What the compressed streams inside one another hold in the end, or None if data is no stream."""
+    packed = unpacked(data)
+    if packed is None:
+        return None
+    met = {digest(data)}
+    while True:
+        own, members = digest(packed), getattr(packed, "members", set())
+        if own in met or members and members <= met:  # a stream may unpack to itself
+            return packed
+        met |= {own, *members}
+        inner = unpacked(packed)
+        if inner is None:
+            return packed
+        if hasattr(packed, "close"):
+            packed.close()
+        packed = inner
+
+
+def cuts(data) -> Iterator[bytes]:
+    """data in pieces of MOST_UNPACKED bytes and more, cut only where no pattern, escape or run of base64 can go on, so nothing is lost at a cut."""
+    held = bytearray()
+    for piece in pieces_read(data):
+        new = max(0, len(held) - 2)
+        held += piece
+        if len(held) < MOST_UNPACKED:
+            continue
+        cut = max(held.rfind(b"\0\0\0", new) + 2 if b"\0\0\0" in held[new:] else 0, *(held.rfind(c, new) + 1 for c in BREAKS))
+        if cut:
+            yield bytes(held[:cut])
+            del held[:cut]
+    if held:
+        yield bytes(held)
 
 
 def readings(data: bytes):
@@ -187,18 +287,16 @@ def base64_layers(layer: Layer):
             own = own[:-1] if len(own) % 4 == 1 else own
             data = base64.b64decode(own + "=" * (-len(own) % 4))
             for start in sorted({0} | {x.start() for x in MAGIC.finditer(data) if x.start() % 3 == 0}):
-                packed = data[start:]
-                met = {hashlib.blake2b(packed).digest()}
-                first = packed
-                while (inner := unpacked(packed)) is not None:
-                    packed, known = inner, len(met)
-                    met.add(hashlib.blake2b(packed).digest())
-                    if len(met) == known:  # a stream may unpack to itself
-                        break
-                if packed is not first:
-                    x = int(at[skip + start // 3 * 4])
-                    for s, starts, _ in readings(packed):
-                        yield moved(layer, s, np.full(len(starts), x), np.full(len(starts), last))
+                packed = innermost(memoryview(data)[start:] if start else data)
+                if packed is None:
+                    continue
+                x = int(at[skip + start // 3 * 4])
+                for piece in cuts(packed):
+                    if TELLING.search(piece):
+                        for s, _, _ in readings(piece):
+                            yield moved(layer, s, np.broadcast_to(np.int64(x), len(s)), np.broadcast_to(np.int64(last), len(s)))
+                if hasattr(packed, "close"):
+                    packed.close()
             if TELLING.search(data):
                 for s, starts, ends in readings(data):
                     yield moved(layer, s, at[skip + starts * 4 // 3], at[skip - 1 - (-ends * 4 // 3)] + 1)

@@ -1,5 +1,6 @@
 import bz2
 import hashlib
+import lzma
 import os
 import random
 import re
@@ -267,6 +268,22 @@ def test_secrets_in_base64_after_other_characters_and_over_lines():
     assert (x, kind) == (4 + 13 * 4 // 3, 0) and len(t) - 7 <= y <= len(t)
 
 
+@pytest.mark.parametrize("most", [16 << 20, 1 << 16])
+def test_secrets_in_all_of_a_compressed_layer(monkeypatch, most):
+    import base64
+    import gzip
+
+    monkeypatch.setattr(secrets, "MOST_UNPACKED", most)
+    hidden = b"password" + b" " * 70_000 + b"=hunter2222 "
+    filler = b"plain words, \xe6\x97\xa5 " * 9000
+    for pack in (gzip.compress, bz2.compress, lzma.compress, lambda x: gzip.compress(gzip.compress(x))):
+        for raw in (pack(filler) + pack(filler + hidden), pack(filler + hidden[:40]) + b"\0" * 9 + pack(hidden[40:]), pack(b"hello one ") + pack(hidden), pack(filler + base64.b64encode(hidden) + filler)):
+            s = "x " + base64.b64encode(raw).decode().rstrip("=") + " y"
+            assert secrets.redacted(s) == "x [SECRET] y"
+    s = base64.b64encode(gzip.compress(b"\0" * (17 << 20) + b"token=abcdefgh")[:-9]).decode().rstrip("=")
+    assert secrets.redacted(s) == "[SECRET]"
+
+
 def test_secrets_end_on_streams_that_unpack_to_themselves(monkeypatch):
     import base64
 
