@@ -34,12 +34,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-t", dest="time", action="store_true", help="tell the seconds taken")
     p.add_argument("-y", dest="raw", action="store_true", help="no smoothing")
     p.add_argument("-z", dest="long", action="store_true", help="also try long units")
+    p.add_argument("-m", dest="max_unit", type=int, choices=range(2, 31), default=Options.max_unit, metavar="2-30", help="bases of automatic units")
     return p
 
 
 def annotated(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Results with all that the text forms need; the reads' own columns go through the decomposition as part of its key."""
-    opts = Options(max_ratio=a.ratio, smooth=not a.raw, long_mode=a.long, units=tuple(u.upper() for u in a.unit))
+    opts = Options(max_ratio=a.ratio, smooth=not a.raw, long_mode=a.long, max_unit=a.max_unit, units=tuple(u.upper() for u in a.unit))
     reads = sources.numbered(sources.read_fasta(spark, a.fasta))
     keyed = reads.select(F.struct("read_ord", "header", "seq").alias("read"), "seq")
     own = decompose(keyed, opts, key="read").select("read.*", "*").drop("read")

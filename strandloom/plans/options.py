@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Options:
-    """Defaults are the published tool's values.
+    """Defaults are the published tool's values, but for max_unit, which is 20 there (see README).
 
     max_ratio: share of uncovered bases that a run bears. smooth: vote over
     labels (off: more complex patterns with fewer mismatches). long_mode: also

@@ -32,6 +32,14 @@ def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOSAIC = "mosaic AS (SELECT p_partkey AS read_id, (15 + p_partkey % 20)::INTEGER AS i, (15 + p_size)::INTEGER AS j, repeat('AC', (15 + p_partkey % 20)::INTEGER) || repeat('AG', (15 + p_size)::INTEGER) AS seq FROM part)"
 
 
+TWENTY = "ACGTTGCATTAGGCATCCGA"
+
+
+def twenty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, seq: copies of one unit of 20 bases."""
+    return mosaic(spark, sf_dir).select("read_id", F.expr(f"repeat('{TWENTY}', i div 3)").alias("seq"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, pair, i, j, u, v, seq: every part with each of six unit pairs."""
     each = F.explode(F.array(*(F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v in PAIRS))).alias("p")
@@ -229,6 +237,7 @@ QUERIES = {
     "decompose_user_unit": lambda s, d: results(s, d, Options(units=("GTCA", "GATTACAGATTACCAGATTAG"))).select("read_id", "pattern"),
     "decompose_library": lambda s, d: with_library(mosaic(s, d).select("read_id", "seq")).select("read_id", "pattern"),
     "decompose_long_units": lambda s, d: decompose(long_reads(s, d), Options(units=(LONG_UNIT,))).select("read_id", "pattern", "discrepancy_ratio"),
+    "decompose_twenty": lambda s, d: decompose(twenty(s, d).select("read_id", "seq"), Options(max_unit=20)).select("read_id", "pattern"),
     "haplotype_left_join": haplotype_left_join,
     "accuracy_with_allowance": lambda s, d: evaluate.accuracy(scored(s, d), ["dataset", "tool"], ALLOWANCES),
     "tool_comparison_pivot": lambda s, d: evaluate.compare_tools(evaluate.accuracy(scored(s, d), ["dataset", "tool"], ALLOWANCES), ["a", "b", "c"]),
@@ -277,6 +286,7 @@ ORACLES = {
     "unit_summary": f"WITH {MOSAIC}, {DECOMP} SELECT 0 AS k, 0::BIGINT AS o, '' AS c, ' #haplotypes=' || count(*) AS value FROM mosaic UNION ALL SELECT 1, read_id, '', '(s' || (read_id % 7) || ',read' || read_id || ',' || 2 * (i + j) || ',1,2,0.00) [2 ' || t || ']' FROM u UNION ALL SELECT 2, 0, '', '#units=2' UNION ALL SELECT 3, 0, canon, '(' || canon || ',' || count(*) || ')' FROM mosaic, (VALUES ('AC'), ('AG')) v(canon) GROUP BY canon",
     "decompose_user_unit": f"WITH {MOSAIC} SELECT read_id, '<AC>' || i || '<AG>' || j AS pattern FROM mosaic",
     "decompose_library": f"WITH {MOSAIC} SELECT read_id, '<AC>' || i || '<AG>' || j AS pattern FROM mosaic",
+    "decompose_twenty": f"WITH {MOSAIC} SELECT read_id, '<{TWENTY}>' || (i // 3) AS pattern FROM mosaic",
     "haplotype_left_join": "WITH h AS (SELECT 's' || (s_suppkey % 7) AS sample_id, s_suppkey % 50 AS read_no, arg_min(s_suppkey || '|' || (s_suppkey + 100), s_suppkey) AS hap FROM supplier GROUP BY ALL) SELECT p_partkey AS read_id, 's' || (p_partkey % 7) AS sample_id, 'read' || p_partkey AS read_name, hap FROM part LEFT JOIN h ON h.sample_id = 's' || (p_partkey % 7) AND h.read_no = p_partkey",
     "accuracy_with_allowance": f"WITH {SCORES} SELECT * FROM scores",
     "tool_comparison_pivot": f"WITH {SCORES} SELECT dataset, allowance, sum(hits) FILTER (WHERE tool = 'a')::BIGINT AS a, sum(hits) FILTER (WHERE tool = 'b')::BIGINT AS b, sum(hits) FILTER (WHERE tool = 'c')::BIGINT AS c FROM scores GROUP BY ALL",
