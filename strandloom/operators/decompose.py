@@ -77,15 +77,14 @@ def global_units(results: DataFrame, key: str = "read_id") -> DataFrame:
     return own.groupBy("canon").agg(F.count("*").alias("freq"))
 
 
-def with_library(reads: DataFrame, opts: Options = Options(), key: str = "read_id", least_reads: int = 2, most: int = 100) -> DataFrame:  # noqa: B008
-    """Decomposition with a library: the units of most reads in a first pass are candidates of every read in a second one.
+def with_library(reads: DataFrame, opts: Options = Options(), key: str = "read_id", least_reads: int = 2) -> DataFrame:  # noqa: B008
+    """Decomposition with a library: the units that a first pass finds in at least `least_reads` reads are candidates of every read in a second one.
 
-    The library is a top-k report: units of at least `least_reads` reads, the
-    `most` most frequent, ties by spelling. So it does not depend on the order
-    of the reads, and its size not on their number.
+    All such units are, so the result does not depend on the order of the
+    reads. The library reaches every task as a whole.
     """
     first = global_units(decompose(reads, opts, key), key).where(F.col("freq") >= least_reads)
-    found = [r.canon for r in first.orderBy(F.desc("freq"), "canon").limit(most).select("canon").collect()]
+    found = [r.canon for r in first.orderBy(F.desc("freq"), "canon").select("canon").collect()]
     return decompose(reads, replace(opts, units=(*opts.units, *found)), key)
 
 

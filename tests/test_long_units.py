@@ -87,6 +87,20 @@ def test_library(spark):
     assert with_library(reads.where("read_id > 9")).collect() == []
 
 
+def test_library_has_no_limit(spark, monkeypatch):
+    import itertools
+
+    from strandloom.operators import decompose as module
+
+    units = [u for u in map("".join, itertools.product("ACGT", repeat=4)) if u == min(u[k:] + u[:k] for k in range(4)) and u[:2] != u[2:]]
+    units += [u for u in map("".join, itertools.product("ACGT", repeat=5)) if u == min(u[k:] + u[:k] for k in range(5)) and len(set(u)) > 1]
+    reads = spark.createDataFrame([(2 * k + n, u * 8) for k, u in enumerate(units[:140]) for n in (0, 1)], "read_id long, seq string")
+    real, given = module.decompose, []
+    monkeypatch.setattr(module, "decompose", lambda r, opts, key: given.append(opts.units) or real(r, opts, key))
+    with_library(reads)
+    assert given[0] == () and len(given[1]) > 100 and set(given[1]) == {r.canon for r in global_units(real(reads)).where("freq > 1").collect()}
+
+
 def test_lines(spark, tmp_path):
     reads = spark.createDataFrame([(1, 0, "s", "read7", "AC" * 20, 1)], "read_id long, read_ord long, sample_id string, read_name string, seq string, group_size int")
     own = decompose(reads).join(reads, "read_id")
