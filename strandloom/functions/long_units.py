@@ -55,6 +55,12 @@ def coverage(codes: np.ndarray, unit: np.ndarray, reps: int, ratio: float) -> np
     return out if at else None
 
 
+def repeats_a_part(unit: np.ndarray, ratio: float) -> bool:
+    """Whether a unit turned by no more than half its length is itself but for tolerance() bases: then a shorter unit stands for it."""
+    most = tolerance(len(unit), ratio)
+    return any(int((unit != np.roll(unit, k)).sum()) <= most for k in range(1, len(unit) // 2 + 1))
+
+
 def similar(a: np.ndarray, b: np.ndarray, ratio: float) -> bool:
     """Whether some rotation of the shorter unit aligns with the longer one.
 

@@ -21,7 +21,7 @@ class Options:
     max_ratio: float = 0.3
     top_units: int = 5
     min_coverage: float = 0.95
-    max_unit: int = 19
+    max_unit: int = 20
     smooth: bool = True
     long_mode: bool = False
     units: tuple[str, ...] = ()
