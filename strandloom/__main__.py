@@ -14,6 +14,7 @@ from strandloom.operators import report
 from strandloom.operators.decompose import add_haplotypes, decompose, global_units
 from strandloom.plans.options import Options
 from strandloom.sources import text as sources
+from strandloom.sources.shared import stored
 
 
 def parser() -> argparse.ArgumentParser:
@@ -53,7 +54,7 @@ def main(argv: list[str] | None = None) -> None:
     began = time.time()
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
     own = annotated(spark, a)
-    held = own.persist() if sum(map(bool, (a.out, a.table, a.patterns, a.summary))) else own
+    held = stored(own, "results")  # every text form reads the results again
     freq = global_units(held, "read_ord")
     if a.out:
         report.write_fasta(held, freq, a.out, locus=a.locus, with_ids=a.ids, decomp=not a.no_decomp, annotation=a.annotation)
@@ -63,7 +64,6 @@ def main(argv: list[str] | None = None) -> None:
         report.write_line(report.pattern_statistics(held, a.ids), a.patterns)
     if a.summary:
         report.write_line(report.unit_summary(held, freq), a.summary)
-    held.unpersist()
     if a.time:
         print(f"{a.fasta}\t{time.time() - began:.6f} sec", file=sys.stderr)
 

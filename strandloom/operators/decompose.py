@@ -22,10 +22,12 @@ FIELDS = [
 ]
 
 
-def spread(reads: DataFrame, key: str) -> DataFrame:
-    """reads over at least as many partitions as there are cores: a read costs far more to align than to move."""
-    n = reads.sparkSession.sparkContext.defaultParallelism
-    return reads if reads.isStreaming or reads.rdd.getNumPartitions() >= n else reads.repartition(n, key)
+def spread(reads: DataFrame) -> DataFrame:
+    """reads dealt evenly over at least as many partitions as there are cores: a read costs far more to align than to move."""
+    if reads.isStreaming:
+        return reads
+    spark = reads.sparkSession
+    return reads.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def decompose(reads: DataFrame, opts: Options = Options(), key: str = "read_id") -> DataFrame:  # noqa: B008
@@ -33,18 +35,20 @@ def decompose(reads: DataFrame, opts: Options = Options(), key: str = "read_id")
 
     Null and empty reads give no row. Letters other than ACGT fail or are
     dropped by opts.on_invalid. clipped_ratio is the share of bases that no
-    alignment touches.
+    alignment touches. opts.labels adds labels: the prio of the unit at each
+    base, -1 where it has none.
     """
-    schema = T.StructType([T.StructField(key, reads.schema[key].dataType), *(T.StructField(n, t) for n, t in FIELDS)])
+    fields = FIELDS + [("labels", T.ArrayType(T.IntegerType()))] * opts.labels
+    schema = T.StructType([T.StructField(key, reads.schema[key].dataType), *(T.StructField(n, t) for n, t in fields)])
     seq = F.upper("seq")
     good = dna.valid(seq) & (F.lit(True) if opts.max_read is None else F.length(seq) <= opts.max_read)
-    own = spread(reads.select(key, "seq"), key).where(F.length("seq") > 0).select(F.col(key), seq.alias("seq"))
+    own = spread(reads.select(key, "seq")).where(F.length("seq") > 0).select(F.col(key), seq.alias("seq"))
     own = own.where(good) if opts.on_invalid == "drop" else own.withColumn("seq", F.when(good, F.col("seq")).otherwise(F.raise_error(F.lit("a read has letters other than A, C, G, T, or is too long")).cast("string")))
 
     def run(found):
         from strandloom.functions.kernel import decompose as kernel
 
-        types = [to_arrow_type(t) for _, t in FIELDS]
+        types = [to_arrow_type(t) for _, t in fields]
         for batch in found:
             ids, seqs = batch.column(0), batch.column(1).to_pylist()
             rows, at = [], []
@@ -58,6 +62,7 @@ def decompose(reads: DataFrame, opts: Options = Options(), key: str = "read_id")
                     n, r.min_reps, r.mode, len(r.units), r.mismatch / n, r.deletion / n, r.insertion / n, r.wrong / n, (n - touched) / n, r.pattern,
                     [dict(zip(BLOCK.fieldNames(), b, strict=True)) for b in r.blocks],
                     [dict(zip(UNIT.fieldNames(), (p, u.text, len(u.text), u.bases, u.tandem), strict=True)) for p, u in enumerate(r.units)],
+                    *([r.labels.tolist()] if opts.labels else []),
                 ))
             if rows:
                 cols = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]

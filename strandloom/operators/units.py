@@ -6,17 +6,18 @@ reads go through the kernel instead: an explode has up to 19 rows a base.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions import dna
+from strandloom.functions import dna, kernel, long_units
 from strandloom.operators.decompose import spread
 
 
 def substrings(reads: DataFrame, low: int = 2, high: int = 20) -> DataFrame:
     """read_id, pos (from 1), unit: every substring of low to high bases."""
     n = F.length("seq")
-    sized = spread(reads, "read_id").where(n >= low).select("read_id", "seq", F.explode(F.sequence(F.lit(low), F.least(n, F.lit(high)))).alias("len"))
+    sized = spread(reads).where(n >= low).select("read_id", "seq", F.explode(F.sequence(F.lit(low), F.least(n, F.lit(high)))).alias("len"))
     placed = sized.select("read_id", "seq", "len", F.explode(F.sequence(F.lit(1), F.length("seq") - F.col("len") + 1)).alias("pos"))
     return placed.select("read_id", "pos", F.substring("seq", F.col("pos"), F.col("len")).alias("unit"))
 
@@ -80,3 +81,37 @@ def prune(units: DataFrame, share: float = 0.95) -> DataFrame:
     """read_id, unit, bases: the fewest most frequent units with over `share` of the read's bases (column n)."""
     w = Window.partitionBy("read_id").orderBy(F.desc("bases"), "unit").rowsBetween(Window.unboundedPreceding, -1)
     return units.withColumn("before", F.coalesce(F.sum("bases").over(w), F.lit(0))).where(F.col("before") <= F.col("n") * share).select("read_id", "unit", "bases")
+
+
+def explained_bases(reads: DataFrame, units: DataFrame, reps: int = 2, ratio: float = 0.3) -> DataFrame:
+    """read_id, unit, covered, explained: bases in runs of reps copies of the unit, and those that remain when a run may bear some uncovered ones.
+
+    Units of 20 bases and more are found with errors, shorter ones exactly.
+    """
+
+    @F.pandas_udf("struct<covered: int, explained: int>")
+    def scan(seqs: pd.Series, own: pd.Series) -> pd.DataFrame:
+        rows = []
+        for seq, unit in zip(seqs, own, strict=True):
+            codes, size = kernel.encode(seq), len(unit)
+            cov = next(kernel.coverage(codes, [(size, kernel.code_of(unit))], reps, ratio))
+            rows.append((0, 0) if cov is None else (int(cov.sum()), kernel.run_scan(cov, size, reps, ratio, None, False)))
+        return pd.DataFrame(rows, columns=["covered", "explained"])
+
+    both = units.join(reads, "read_id").select("read_id", "unit", scan("seq", "unit").alias("s"))
+    return both.select("read_id", "unit", "s.covered", "s.explained")
+
+
+def similar_units(pairs: DataFrame, ratio: float = 0.3) -> DataFrame:
+    """pairs (a, b) with similar: whether some rotation of the shorter unit aligns with the longer one."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([long_units.similar(kernel.encode(x), kernel.encode(y), ratio) for x, y in zip(a, b, strict=True)])
+
+    return pairs.withColumn("similar", near("a", "b"))
+
+
+def base_labels(results: DataFrame, key: str = "read_id") -> DataFrame:
+    """key, pos, prio of every base of results that were asked for with labels."""
+    return results.select(key, F.posexplode("labels").alias("pos", "prio"))

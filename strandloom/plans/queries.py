@@ -7,14 +7,16 @@ and size, so the true pattern is known) and from the letters A, C, G, T of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
 from strandloom.operators import blocks, evaluate, report, units
 from strandloom.operators.decompose import add_haplotypes, decompose, global_units, unit_rows, with_library
 from strandloom.plans.options import Options
+from strandloom.plans import published
 from strandloom.sources import text as sources
+from strandloom.sources.shared import stored
 
 PAIRS = [("AC", "AG"), ("ACC", "GTT"), ("CAG", "CCG"), ("AAAG", "AG"), ("AAG", "AGG"), ("AAAAT", "AG")]
 
@@ -87,13 +89,13 @@ def labels(spark, sf):
 
 
 def placed(spark, sf):
-    """Events with their number in the user's order."""
-    own = labels(spark, sf).groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("labels"))
-    return own
+    """Labels of each user in order."""
+    return labels(spark, sf).groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("labels"))
 
 
 def label_runs(spark, sf):
-    return blocks.runs(placed(spark, sf).select("read_id", F.posexplode("labels").alias("pos", "label")))
+    w = Window.partitionBy("read_id").orderBy("pos")
+    return blocks.runs(labels(spark, sf).withColumn("pos", F.row_number().over(w) - 1))
 
 
 PLACED = "ev AS (SELECT user_id AS read_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS pos, (list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1)::INTEGER AS label FROM events)"
@@ -128,6 +130,16 @@ def annotated(spark, sf):
     return results(spark, sf).join(more, "read_id").withColumn("header", F.col("read_name"))
 
 
+def held(spark, sf):
+    """The same from a table, for text forms that read results more than once."""
+    return stored(annotated(spark, sf), "annotated")
+
+
+def unit_summary(spark, sf):
+    own = held(spark, sf)
+    return report.unit_summary(own, global_units(own))
+
+
 def haplotypes(spark, sf):
     s = table(spark, sf, "supplier")
     return s.select(F.concat(F.lit("s"), (F.col("s_suppkey") % 7).cast("string")).alias("sample_id"), (F.col("s_suppkey") % 50).cast("int").alias("read_no"), F.concat_ws("|", F.col("s_suppkey").cast("string"), (F.col("s_suppkey") + 100).cast("string")).alias("pair_haps"), F.col("s_suppkey").alias("ord"))
@@ -172,6 +184,72 @@ def long_reads(spark, sf):
     return table(spark, sf, "part").select(k.alias("read_id"), F.array_join(one, "").alias("seq"))
 
 
+def long_exact(spark, sf):
+    """read_id, seq: 4 to 11 exact copies of the long unit; a seed of three bases and the whole copies after it are covered."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("read_id"), F.expr(f"repeat('{LONG_UNIT}', cast(p_partkey % 8 + 4 AS int))").alias("seq"))
+
+
+def some_clean(spark, sf):
+    """read_id, seq: copies of one unit of 20 bases; in every other read each copy has one base replaced."""
+    k = F.col("read_id")
+    one = F.transform(F.sequence(F.lit(1), (F.col("i") / 3).cast("int")), lambda c: F.overlay(F.lit(TWENTY), F.lit("A"), ((k + c * 7) % 20 + 1).cast("int")))
+    return mosaic(spark, sf).select("read_id", F.when(k % 2 == 0, F.expr(f"repeat('{TWENTY}', i div 3)")).otherwise(F.array_join(one, "")).alias("seq"))
+
+
+def one_error(spark, sf):
+    """read_id, seq: a T for a base, a T before it, or the base after it left out, in the middle of the first unit's copies."""
+    cut = "i div 2 * 2"
+    seq = F.expr(f"CASE read_id % 3 WHEN 0 THEN overlay(seq placing 'T' from {cut} + 1) WHEN 1 THEN concat(left(seq, {cut}), 'T', substring(seq, {cut} + 1)) ELSE concat(left(seq, {cut} + 1), substring(seq, {cut} + 3)) END")
+    return mosaic(spark, sf).select("read_id", seq.alias("seq"))
+
+
+def qualification(spark, sf):
+    """read_id, seq: reads without a unit, with a unit that occurs twice but not in a row, and with one in a row."""
+    seq = F.expr("CASE read_id % 3 WHEN 0 THEN repeat('A', i) WHEN 1 THEN 'ACGTGGCCACGT' ELSE repeat('AC', i) END")
+    return mosaic(spark, sf).select("read_id", seq.alias("seq"))
+
+
+def two_units(spark, sf):
+    return mosaic(spark, sf).select("read_id", F.explode(F.array(F.lit("AC"), F.lit("AG"))).alias("unit"))
+
+
+def unit_pairs(spark, sf):
+    """read_id, kind, a, b: a unit with a rotation of it, with one that has a base replaced, lost, and with another unit."""
+    k = (F.col("p_partkey") % 19 + 1).cast("int")
+    turned = F.concat(F.expr(f"substring('{TWENTY}', p_partkey % 19 + 2)"), F.expr(f"left('{TWENTY}', p_partkey % 19 + 1)"))
+    kinds = {"turned": turned, "replaced": F.overlay(turned, F.lit("T"), k), "lost": F.concat(F.lit(TWENTY[:7]), F.lit(TWENTY[8:])), "other": F.lit("A" * 20), "longer": F.lit(TWENTY * 2)}
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), c.alias("b")) for n, c in kinds.items())))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("read_id"), F.lit(TWENTY).alias("a"), each.alias("x")).select("read_id", "x.kind", "a", "x.b")
+
+
+def haplotype_lines(spark, sf):
+    k = F.col("s_suppkey")
+    line = F.when(k % 5 == 0, F.concat(F.lit("s"), k.cast("string"))).when(k % 5 == 1, F.lit(" ")).otherwise(F.concat(F.lit("  s"), k.cast("string"), F.lit("\t "), (k % 50).cast("string"), F.lit("  "), k.cast("string"), F.lit("|1")))
+    return table(spark, sf, "supplier").select(line.alias("value"), k.alias("ord"))
+
+
+def annotated_headers(spark, sf):
+    """Headers as the annotated FASTA has them; the second block is off by the key modulo 4, and records of units follow."""
+    text = F.format_string("#Info (%d,1,0.000) #Pat <CA>%d<AG>%d #Annotation (AC)%d(AG)%d", F.length("seq"), "i", F.col("j") + (F.col("read_id") % 4).cast("int"), "i", "j")
+    return mosaic(spark, sf).select(F.when(F.col("read_id") % 9 == 0, F.lit("frequent unit. freq. = 3")).otherwise(F.concat(F.col("read_id").cast("string"), F.lit(" "), text)).alias("header"))
+
+
+def repeatmasker_hits(spark, sf):
+    """Hits of reads that are named by their pattern: two of each, in any order; the second is off by the key modulo 7, and missing where that is 6."""
+    name = F.format_string("(AC)%d(AG)%d_%d", "i", "j", "read_id")
+    off = (F.col("read_id") % 7).cast("int")
+    hits = F.array(F.struct((2 * F.col("i") + 1).alias("begin"), F.lit("GA").alias("unit"), (2 * (F.col("j") + off)).alias("len")), F.struct(F.lit(1).alias("begin"), F.lit("AC").alias("unit"), (2 * F.col("i") + 1).alias("len")))
+    return mosaic(spark, sf).select(name.alias("id"), off.alias("off"), F.inline(hits)).where("off != 6 or unit = 'AC'")
+
+
+def trf_texts(spark, sf):
+    """Records of TRF's compact output: no hits, one hit, two, or two with a long consensus."""
+    hit = "concat('\n1 90 2 ', {n}, '.7 {c} 95 0 100 50 50 0 0 1.0 {u} {u}{u}')"
+    ac, ag, far = hit.format(n="i", c=2, u="AC"), hit.format(n="j + read_id % 7", c=2, u="GA"), hit.format(n="j", c=200, u="AG")
+    text = F.expr(f"concat(' (AC)', i, '(AG)', j, CASE read_id % 4 WHEN 0 THEN '' WHEN 1 THEN {ac} WHEN 2 THEN concat({ac}, {far}) ELSE concat({ac}, {far}, {ag}, '\n') END)")
+    return mosaic(spark, sf).select(F.col("read_id").alias("record"), text.alias("value"))
+
+
 def headers(spark, sf):
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
@@ -182,8 +260,8 @@ def headers(spark, sf):
 def fasta_lines(spark, sf):
     """Records in the text form that the reader gets, built from documents."""
     d = table(spark, sf, "documents")
-    letters = F.regexp_replace("text", "[^ACGTacgt]", "")
-    return d.select(F.concat(F.lit("> doc "), F.col("doc_id").cast("string"), F.lit(" pattern=<A>1\r\n"), F.substring(letters, F.lit(1), F.floor(F.length(letters) / 2).cast("int")), F.lit("\n"), F.substring(letters, (F.floor(F.length(letters) / 2) + 1).cast("int"), F.length(letters)), F.lit("\n")).alias("value"))
+    letters = d.select("doc_id", F.explode(F.array(F.regexp_replace("text", "[^ACGTacgt]", ""))).alias("s"))
+    return letters.select(F.expr("concat('> doc ', doc_id, ' pattern=<A>1\r\n', left(s, length(s) div 2), '\n', substring(s, length(s) div 2 + 1), '\n')").alias("value"))
 
 
 def repeatmasker_lines(spark, sf):
@@ -199,6 +277,23 @@ def trf_lines(spark, sf):
     return table(spark, sf, "part").select((k % 16).alias("file"), F.inline(lines))
 
 
+def draw_sql(x: str, what: int) -> str:
+    """The simulator's draw in DuckDB."""
+    y = f"(({x}) % {sources.PRIME} + {what * 15_485_863}) % {sources.PRIME}"
+    for _ in range(2):
+        y = f"list_transform([{y}], lambda y: (y * y % {sources.PRIME} * 48271 + y + 12345) % {sources.PRIME})[1]"
+    return y
+
+
+def errors_sql(error: float) -> str:
+    """The simulator's errors on seq in DuckDB."""
+    at = "read_id * 1000003 + (p - 1) * 7919 + 42"
+    other = f"substr(replace('ACGT', c, ''), {draw_sql(at, 102)} % 3 + 1, 1)"
+    new = f"substr('ACGT', {draw_sql(at, 103)} % 4 + 1, 1)"
+    one = f"CASE WHEN {draw_sql(at, 100)} % 1000000 >= {round(error * 1_000_000)} THEN c WHEN {draw_sql(at, 101)} % 3 = 0 THEN c || {new} WHEN {draw_sql(at, 101)} % 3 = 1 THEN '' ELSE {other} END"
+    return f"array_to_string(list_transform(string_split(seq, ''), lambda c, p: {one}), '')"
+
+
 QUERIES = {
     "canon_rotation": lambda s, d: small_units(s, d).select("read_id", "unit", dna.canon(F.col("unit")).alias("canon")),
     "rotate_k": lambda s, d: small_units(s, d).select("read_id", dna.rotate(F.col("unit"), F.col("k")).alias("rotated")),
@@ -232,12 +327,23 @@ QUERIES = {
     "haplotype_count": lambda s, d: report.summary(results(s, d)),
     "report_table": lambda s, d: report.table_text(annotated(s, d)),
     "report_fasta": lambda s, d: report.fasta_text(annotated(s, d), with_ids=True, decomp=False),
-    "pattern_statistics": lambda s, d: report.pattern_statistics(annotated(s, d), with_ids=True),
-    "unit_summary": lambda s, d: report.unit_summary(annotated(s, d), global_units(results(s, d))),
-    "decompose_user_unit": lambda s, d: results(s, d, Options(units=("GTCA", "GATTACAGATTACCAGATTAG"))).select("read_id", "pattern"),
-    "decompose_library": lambda s, d: with_library(mosaic(s, d).select("read_id", "seq")).select("read_id", "pattern"),
-    "decompose_long_units": lambda s, d: decompose(long_reads(s, d), Options(units=(LONG_UNIT,))).select("read_id", "pattern", "discrepancy_ratio"),
-    "decompose_twenty": lambda s, d: decompose(twenty(s, d).select("read_id", "seq"), Options(max_unit=20)).select("read_id", "pattern"),
+    "pattern_statistics": lambda s, d: report.pattern_statistics(held(s, d), with_ids=True),
+    "unit_summary": unit_summary,
+    "unit_records": lambda s, d: report.unit_records(global_units(results(s, d)), "chr1"),
+    "decompose_user_unit": lambda s, d: decompose(long_reads(s, d), Options(units=(LONG_UNIT,))).select("read_id", "pattern", "num_key_units"),
+    "decompose_library": lambda s, d: with_library(some_clean(s, d)).select("read_id", "pattern"),
+    "decompose_one_error": lambda s, d: decompose(one_error(s, d)).select("read_id", "pattern", "mismatch_ratio", "insertion_ratio", "deletion_ratio"),
+    "decompose_twenty": lambda s, d: decompose(twenty(s, d).select("read_id", "seq")).select("read_id", "pattern"),
+    "fallback_reps1": lambda s, d: decompose(qualification(s, d)).select("read_id", "min_reps", "pattern"),
+    "base_labels": lambda s, d: units.base_labels(results(s, d, Options(labels=True))),
+    "explained_bases": lambda s, d: units.explained_bases(mosaic(s, d).select("read_id", "seq"), two_units(s, d)),
+    "long_unit_coverage": lambda s, d: units.explained_bases(long_exact(s, d), table(s, d, "part").select(F.col("p_partkey").alias("read_id"), F.lit(LONG_UNIT).alias("unit"))),
+    "banded_align_match": lambda s, d: units.similar_units(unit_pairs(s, d)).select("read_id", "kind", "similar"),
+    "haplotype_lines": lambda s, d: sources.parse_haplotypes(haplotype_lines(s, d)),
+    "annotated_score": lambda s, d: evaluate.verdicts(evaluate.annotated_patterns(annotated_headers(s, d)), 0.0).select("header", "verdict"),
+    "repeatmasker_score": lambda s, d: evaluate.verdict_lines(evaluate.verdicts(evaluate.named_patterns(repeatmasker_hits(s, d)), 0.1, "truth")),
+    "trf_score": lambda s, d: evaluate.totals(evaluate.verdicts(evaluate.record_patterns(sources.trf_records(trf_texts(s, d))), 0.1, "truth")),
+    "noisy_reads": lambda s, d: sources.with_errors(mosaic(s, d).select("read_id", "seq"), 0.15),
     "haplotype_left_join": haplotype_left_join,
     "accuracy_with_allowance": lambda s, d: evaluate.accuracy(scored(s, d), ["dataset", "tool"], ALLOWANCES),
     "tool_comparison_pivot": lambda s, d: evaluate.compare_tools(evaluate.accuracy(scored(s, d), ["dataset", "tool"], ALLOWANCES), ["a", "b", "c"]),
@@ -246,7 +352,8 @@ QUERIES = {
     "decompose_noisy": lambda s, d: decompose(noisy(s, d)).select("read_id", "pattern", "discrepancy_ratio"),
     "decompose_complex": lambda s, d: decompose(noisy(s, d), Options(smooth=False)).select("read_id", "pattern", "discrepancy_ratio"),
     "decompose_long": lambda s, d: decompose(noisy(s, d), Options(long_mode=True)).select("read_id", "pattern", "mode", "discrepancy_ratio"),
-    "simulate_copies": lambda s, d: sources.simulate(s, ["AC", "AG"], 1000, error=0.05),
+    "simulate_copies": lambda s, d: sources.simulate(s, ["AC", "AGG"], 1000, error=0.05),
+    **published.QUERIES,
 }
 
 ORACLES = {
@@ -284,8 +391,22 @@ ORACLES = {
     "report_fasta": f"WITH {MOSAIC} SELECT read_id AS read_ord, '> #Info (s' || (read_id % 7) || ',read' || read_id || ',' || 2 * (i + j) || ',1,2,0.000) #Pat <AC>' || i || '<AG>' || j || chr(10) || seq AS value FROM mosaic",
     "pattern_statistics": f"WITH {MOSAIC} SELECT 0 AS k, 0::BIGINT AS o, '' AS c, ' #haplotypes=' || count(*) AS value FROM mosaic HAVING count(*) > 0 UNION ALL SELECT 1, read_id, '', '(s' || (read_id % 7) || ',read' || read_id || ',' || 2 * (i + j) || ',1,0.00) <AC>' || i || '<AG>' || j FROM mosaic",
     "unit_summary": f"WITH {MOSAIC}, {DECOMP} SELECT 0 AS k, 0::BIGINT AS o, '' AS c, ' #haplotypes=' || count(*) AS value FROM mosaic UNION ALL SELECT 1, read_id, '', '(s' || (read_id % 7) || ',read' || read_id || ',' || 2 * (i + j) || ',1,2,0.00) [2 ' || t || ']' FROM u UNION ALL SELECT 2, 0, '', '#units=2' UNION ALL SELECT 3, 0, canon, '(' || canon || ',' || count(*) || ')' FROM mosaic, (VALUES ('AC'), ('AG')) v(canon) GROUP BY canon",
-    "decompose_user_unit": f"WITH {MOSAIC} SELECT read_id, '<AC>' || i || '<AG>' || j AS pattern FROM mosaic",
-    "decompose_library": f"WITH {MOSAIC} SELECT read_id, '<AC>' || i || '<AG>' || j AS pattern FROM mosaic",
+    "unit_records": "SELECT canon, '> #Locus chr1 frequent unit. freq. = ' || count(*) || chr(10) || canon AS value FROM part, (VALUES ('AC'), ('AG')) u(canon) GROUP BY canon",
+    "decompose_user_unit": f"SELECT p_partkey AS read_id, CASE WHEN p_partkey % 23 = 19 THEN '<{LONG_UNIT[2:] + LONG_UNIT[:2]}>' ELSE '<{LONG_UNIT}>' END || (p_partkey % 8 + 4) AS pattern, 1 AS num_key_units FROM part",
+    "decompose_library": f"WITH {MOSAIC} SELECT read_id, '<{TWENTY}>' || (i // 3) AS pattern FROM mosaic",
+    "decompose_one_error": f"WITH {MOSAIC} SELECT read_id, '<AC>' || CASE WHEN k = 2 THEN i - 1 ELSE i END || '<AG>' || j AS pattern, CASE WHEN k = 0 THEN 1 / n ELSE 0 END::DOUBLE AS mismatch_ratio, CASE WHEN k = 1 THEN 1 / (n + 1) ELSE 0 END::DOUBLE AS insertion_ratio, CASE WHEN k = 2 THEN 1 / (n - 1) ELSE 0 END::DOUBLE AS deletion_ratio FROM (SELECT *, read_id % 3 AS k, length(seq) AS n FROM mosaic)",
+    "fallback_reps1": f"WITH {MOSAIC} SELECT read_id, CASE read_id % 3 WHEN 1 THEN 1 ELSE 2 END AS min_reps, CASE read_id % 3 WHEN 1 THEN '<ACGT>3' ELSE '<AC>' || i END AS pattern FROM mosaic WHERE read_id % 3 <> 0",
+    "base_labels": f"WITH {MOSAIC} SELECT read_id, p::INTEGER AS pos, CASE WHEN (p < 2 * i) = (i >= j) THEN 0 ELSE 1 END AS prio FROM (SELECT *, unnest(range(0, length(seq))) AS p FROM mosaic)",
+    "explained_bases": f"WITH {MOSAIC} SELECT read_id, 'AC' AS unit, 2 * i AS covered, 2 * i AS explained FROM mosaic UNION ALL SELECT read_id, 'AG', 2 * j, 2 * j FROM mosaic",
+    "long_unit_coverage": f"SELECT p_partkey AS read_id, '{LONG_UNIT}' AS unit, (23 * (p_partkey % 8 + 3) + 3)::INTEGER AS covered, (23 * (p_partkey % 8 + 3) + 3)::INTEGER AS explained FROM part",
+    "banded_align_match": "SELECT p_partkey AS read_id, kind, kind IN ('turned', 'replaced', 'lost') AS similar FROM part, (VALUES ('turned'), ('replaced'), ('lost'), ('other'), ('longer')) v(kind)",
+    "haplotype_lines": "SELECT 's' || k AS sample_id, CASE WHEN k % 5 = 0 THEN NULL ELSE k % 50 END::INTEGER AS read_no, CASE WHEN k % 5 = 0 THEN NULL ELSE k || '|1' END AS pair_haps, k AS ord FROM (SELECT s_suppkey AS k FROM supplier) WHERE k % 5 <> 1",
+    "annotated_score": f"WITH {MOSAIC} SELECT read_id || ' #Info (' || length(seq) || ',1,0.000) #Pat <CA>' || i || '<AG>' || (j + read_id % 4) || ' #Annotation (AC)' || i || '(AG)' || j AS header, CASE WHEN read_id % 4 <= 1 THEN 'Yes' ELSE 'No' END AS verdict FROM mosaic WHERE read_id % 9 <> 0",
+    "repeatmasker_score": f"WITH {MOSAIC} SELECT CASE WHEN read_id % 7 <> 6 AND read_id % 7 <= ceil(j * 0.1) + 1 THEN 'Yes' ELSE 'No' END || chr(9) || 'AC ' || i || ' AG ' || j || chr(9) || 'AC ' || i || CASE WHEN read_id % 7 = 6 THEN '' ELSE ' GA ' || (j + read_id % 7) END AS value FROM mosaic",
+    "trf_score": f"WITH {MOSAIC} SELECT count(*) FILTER (WHERE read_id % 4 = 3 AND read_id % 7 <= ceil(j * 0.1) + 1) AS hits, count(*) AS total FROM mosaic",
+    "noisy_reads": f"WITH {MOSAIC} SELECT read_id, {errors_sql(0.15)} AS seq FROM mosaic",
+    "simulate_copies": f"SELECT read_id, '(AC)' || a || '(AGG)' || b AS header, {errors_sql(0.05)} AS seq FROM (SELECT read_id, a, b, repeat('AC', a::INTEGER) || repeat('AGG', b::INTEGER) AS seq FROM (SELECT read_id, 10 + {draw_sql('read_id * 1009 + 42', 0)} % 190 AS a, 10 + {draw_sql('read_id * 1009 + 42', 1)} % 190 AS b FROM (SELECT unnest(range(0, 1000)) AS read_id)))",
+    **published.ORACLES,
     "decompose_twenty": f"WITH {MOSAIC} SELECT read_id, '<{TWENTY}>' || (i // 3) AS pattern FROM mosaic",
     "haplotype_left_join": "WITH h AS (SELECT 's' || (s_suppkey % 7) AS sample_id, s_suppkey % 50 AS read_no, arg_min(s_suppkey || '|' || (s_suppkey + 100), s_suppkey) AS hap FROM supplier GROUP BY ALL) SELECT p_partkey AS read_id, 's' || (p_partkey % 7) AS sample_id, 'read' || p_partkey AS read_name, hap FROM part LEFT JOIN h ON h.sample_id = 's' || (p_partkey % 7) AND h.read_no = p_partkey",
     "accuracy_with_allowance": f"WITH {SCORES} SELECT * FROM scores",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
 
+SPACES = " \t\n\x0b\f\r"
 
 def read_fasta(spark: SparkSession, path: str, on_invalid: str = "fail", max_read: int | None = None) -> DataFrame:
     """header, seq of every record with bases. on_invalid: fail or drop, for other letters and reads over max_read.
@@ -19,11 +20,12 @@ def read_fasta(spark: SparkSession, path: str, on_invalid: str = "fail", max_rea
 
 def records(raw: DataFrame, on_invalid: str = "fail", max_read: int | None = None) -> DataFrame:
     """header, seq from the `value` of records that still may hold their first `>`."""
-    body = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
-    cut = F.instr(body, "\n")
-    header = F.regexp_replace(F.when(cut > 0, F.substring(body, F.lit(1), cut - 1)).otherwise(body), "^ ", "")
-    seq = F.upper(F.regexp_replace(F.when(cut > 0, F.substring(body, cut + 1, F.length(body))).otherwise(F.lit("")), r"\s", ""))
-    out = raw.select(header.alias("header"), seq.alias("seq")).where(F.length("seq") > 0)
+    # a generator is a border that projections aren't merged over: each record is cut up once
+    body = raw.select(F.explode(F.array(F.translate("value", "\r", ""))).alias("body"))
+    at = F.instr("body", "\n")
+    head = F.regexp_replace(F.when(at > 0, F.expr("left(body, instr(body, '\n') - 1)")).otherwise(F.col("body")), "^>? ?", "")
+    seq = F.when(at > 0, F.upper(F.translate(F.expr("substring(body, instr(body, '\n') + 1)"), SPACES, "")))
+    out = body.select(F.inline(F.array(F.struct(head.alias("header"), F.coalesce(seq, F.lit("")).alias("seq"))))).where("seq != ''")
     good = dna.valid(F.col("seq")) & (F.lit(True) if max_read is None else F.length("seq") <= max_read)
     if on_invalid == "drop":
         return out.where(good)
@@ -38,9 +40,13 @@ def numbered(reads: DataFrame) -> DataFrame:
 
 def read_haplotypes(spark: SparkSession, path: str) -> DataFrame:
     """sample_id, read_no, pair_haps, and ord, the order of the lines."""
-    f = F.split(F.trim("value"), r"\s+")
-    raw = spark.read.text(path).where(F.trim("value") != "")
-    return raw.select(f[0].alias("sample_id"), f[1].cast("int").alias("read_no"), f[2].alias("pair_haps"), F.monotonically_increasing_id().alias("ord"))
+    return parse_haplotypes(spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()))
+
+
+def parse_haplotypes(lines: DataFrame) -> DataFrame:
+    """sample_id, read_no, pair_haps, ord from `value` and `ord`; what a short line lacks is null, blank lines go."""
+    f = F.split(F.trim(F.translate("value", "\t", " ")), r"\s+")
+    return lines.where(F.trim(F.translate("value", "\t", " ")) != "").select(F.get(f, F.lit(0)).alias("sample_id"), F.get(f, F.lit(1)).try_cast("int").alias("read_no"), F.get(f, F.lit(2)).alias("pair_haps"), "ord")
 
 
 def parse_repeatmasker(lines: DataFrame, keep_homopolymers: bool = False) -> DataFrame:
@@ -54,37 +60,71 @@ def parse_repeatmasker(lines: DataFrame, keep_homopolymers: bool = False) -> Dat
     return hits if keep_homopolymers else hits.where((F.col("class") != "Simple_repeat") | (F.length("unit") != 1))
 
 
-def parse_trf(lines: DataFrame, order: str = "ord", part: str | None = None, longest: int = 200) -> DataFrame:
+def trf_hit(line: Column) -> Column:
+    """The fields of a line of TRF's compact output; null if it has fewer than 15."""
+    f = F.split(F.trim(line), r"\s+")
+    kinds = {"begin": "int", "end": "int", "period": "int", "copies": "int", "consensus": "int"}
+    own = [F.get(f, F.lit(k)).try_cast("double").cast(t).alias(n) for k, (n, t) in enumerate(kinds.items())]
+    return F.when(F.size(f) >= 15, F.struct(*own, F.get(f, F.lit(13)).alias("unit")))
+
+
+def parse_trf(lines: DataFrame, part: str, order: str = "ord", longest: int = 200) -> DataFrame:
     """Hits of TRF's compact output, each with the header line above it; consensus of `longest` bases and more go.
 
     part: a column that splits the lines into independent files, so that no
-    window runs over more than one of them.
+    window runs over more than one of them. For large files take
+    read_trf, which cuts them at headers without a window.
     """
-    w = Window.partitionBy(*([part] if part else [])).orderBy(order)
-    truth = F.last(F.when(F.col("value").startswith("@"), F.trim(F.substring("value", 2, 1_000_000))), ignorenulls=True).over(w)
-    f = F.split(F.trim("value"), r"\s+")
-    return (
-        lines.withColumn("truth", truth).where(~F.col("value").startswith("@") & (F.size(f) >= 15))
-        .select("truth", f[0].cast("int").alias("begin"), f[1].cast("int").alias("end"), f[2].cast("int").alias("period"), f[3].cast("double").cast("int").alias("copies"), f[4].cast("int").alias("consensus"), f[13].alias("unit"))
-        .where(F.col("consensus") < longest)
-    )
+    w = Window.partitionBy(part).orderBy(order)
+    head = F.col("value").startswith("@")
+    truth = F.last(F.when(head, F.trim(F.expr("substring(value, 2)"))), ignorenulls=True).over(w)
+    own = lines.withColumn("truth", truth).where(~head).select("truth", trf_hit(F.col("value")).alias("hit"))
+    return own.select("truth", "hit.*").where(F.col("consensus") < longest)
+
+
+def read_trf(spark: SparkSession, path: str, longest: int = 200) -> DataFrame:
+    """record, truth, hits of every header of TRF's compact output, also of those without hits."""
+    raw = spark.read.option("lineSep", "\n@").text(path).withColumn("record", F.monotonically_increasing_id())
+    return trf_records(raw, longest)
+
+
+def trf_records(raw: DataFrame, longest: int = 200) -> DataFrame:
+    """record, truth, hits from the `value` of records that still may hold their first `@`; hits are in the order of the lines."""
+    lines = raw.select("record", F.explode(F.array(F.split(F.translate("value", "\r", ""), "\n"))).alias("lines"))
+    hits = F.filter(F.transform(F.expr("slice(lines, 2, size(lines))"), trf_hit), lambda h: h["consensus"] < longest)
+    return lines.select("record", F.trim(F.regexp_replace(F.col("lines")[0], "^@", "")).alias("truth"), hits.alias("hits")).where("truth != ''")
+
+
+#: A prime; draws are numbers below it.
+PRIME = 2_147_483_647
+
+
+def draw(x: Column, what: int) -> Column:
+    """A number below PRIME that x, not negative, and `what` decide, by arithmetic that any engine repeats."""
+    y = (x % PRIME + what * 15_485_863) % PRIME
+    for _ in range(2):
+        y = (y * y % PRIME * 48_271 + y + 12_345) % PRIME
+    return y
 
 
 def simulate(spark: SparkSession, units: list[str], n: int, low: int = 10, high: int = 200, error: float = 0.0, seed: int = 42) -> DataFrame:
     """n mosaic reads: read_id, header `(U)i(V)j`, seq. Copies are uniform in [low, high); each base errs with probability `error`: a third each inserted after, deleted, replaced."""
-    draw = lambda k: (low + F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), F.lit(high - low))).cast("int")
-    own = spark.range(n).select("id", *(draw(k).alias(f"n{k}") for k in range(len(units))))
+    own = spark.range(n).select(F.col("id").alias("read_id"), *((low + draw(F.col("id") * 1_009 + seed, k) % (high - low)).cast("int").alias(f"n{k}") for k in range(len(units))))
     header = F.concat(*(F.concat(F.lit(f"({u})"), F.col(f"n{k}").cast("string")) for k, u in enumerate(units)))
     clean = F.concat(*(F.repeat(F.lit(u), F.col(f"n{k}")) for k, u in enumerate(units)))
-    out = own.select(F.col("id").alias("read_id"), header.alias("header"), clean.alias("seq"))
-    if error <= 0:
-        return out
-    row = lambda what, p: F.pmod(F.xxhash64(F.col("read_id"), F.lit(seed), F.lit(what), p), F.lit(1_000_000))
+    out = own.select("read_id", header.alias("header"), clean.alias("seq"))
+    return with_errors(out, error, seed) if error > 0 else out
+
+
+def with_errors(reads: DataFrame, error: Column | float, seed: int = 42) -> DataFrame:
+    """reads (read_id, not negative, and seq of ACGT) with errors at a share of the bases."""
+    share = F.round((F.lit(error) if isinstance(error, float) else error) * 1_000_000)
 
     def err(c, p):
-        other = F.substring(F.replace(F.lit("ACGT"), c, F.lit("")), (row("base", p) % 3 + 1).cast("int"), F.lit(1))
-        new = F.substring(F.lit("ACGT"), (row("new", p) % 4 + 1).cast("int"), F.lit(1))
-        kind = row("kind", p) % 3
-        return F.when(row("hit", p) >= int(error * 1_000_000), c).when(kind == 0, F.concat(c, new)).when(kind == 1, F.lit("")).otherwise(other)
+        at = F.col("read_id") * 1_000_003 + p * 7_919 + seed
+        kind = draw(at, 101) % 3
+        other = F.substring(F.replace(F.lit("ACGT"), c, F.lit("")), (draw(at, 102) % 3 + 1).cast("int"), F.lit(1))
+        new = F.substring(F.lit("ACGT"), (draw(at, 103) % 4 + 1).cast("int"), F.lit(1))
+        return F.when(draw(at, 100) % 1_000_000 >= share, c).when(kind == 0, F.concat(c, new)).when(kind == 1, F.lit("")).otherwise(other)
 
-    return out.withColumn("seq", F.array_join(F.transform(F.split("seq", ""), err), ""))
+    return reads.withColumn("seq", F.array_join(F.transform(F.split("seq", ""), err), ""))

@@ -69,6 +69,13 @@ def test_automatic_long_units_are_distinct():
     assert got.count(20) == 1
 
 
+def test_automatic_long_units_stand_twice_in_a_row_and_repeat_no_part():
+    far = "ACGTTGCATTAGGCATCCGG"
+    lengths = lambda s: {n for n, _ in kernel.candidates(kernel.encode(s), Options())}
+    assert 20 in lengths(far * 3) and 20 not in lengths(far + "TTTTT" + far)
+    assert 20 not in lengths(("AC" * 9 + "AG") * 4)
+
+
 def test_automatic_unit_of_20_bases(spark, tmp_path):
     from strandloom.__main__ import annotated, parser
     from strandloom.plans import queries
@@ -77,7 +84,7 @@ def test_automatic_unit_of_20_bases(spark, tmp_path):
     spark.createDataFrame([(k, 20) for k in range(3)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     assert {r.pattern for r in queries.QUERIES["decompose_twenty"](spark, str(tmp_path)).collect()} == {f"<{unit}>5"}
     (tmp_path / "a.fa").write_text("> r\n" + unit * 6 + "\n")
-    assert [r.pattern for r in annotated(spark, parser().parse_args(["-f", str(tmp_path / "a.fa"), "-m", "20"])).collect()] == [f"<{unit}>6"]
+    assert [r.pattern for r in annotated(spark, parser().parse_args(["-f", str(tmp_path / "a.fa"), "-m", "21"])).collect()] == [f"<{unit}>6"]
 
 
 def test_library(spark):

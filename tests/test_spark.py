@@ -46,6 +46,8 @@ def test_decompose(spark):
     own = decompose(reads)
     assert sorted((r.read_id, r.pattern) for r in own.collect()) == [(1, "<AC>20<AG>18"), (1, "<AC>20<AG>18"), (5, "<CAG>30")]
     assert {(r.canon, r.freq) for r in global_units(own).collect()} == {("AC", 1), ("AG", 1), ("AGC", 1)}
+    marked = units.base_labels(decompose(reads.where("read_id = 5"), Options(labels=True))).collect()
+    assert len(marked) == 90 and {r.prio for r in marked} == {0}
     with pytest.raises(Exception, match="letters other"):
         decompose(frame(spark, [(1, "ACN")], "read_id long, seq string")).collect()
 
@@ -67,6 +69,27 @@ def test_smoothing_matches_the_kernel(spark):
         assert r.labels == smooth(smooth(x, 3), 3).tolist()
 
 
+def test_haplotype_file_with_short_lines(spark, tmp_path):
+    (tmp_path / "h").write_text("s1\t7  1|2\n\n s2 x 3|4 rest\ns3\n")
+    assert [(r.sample_id, r.read_no, r.pair_haps) for r in sources.read_haplotypes(spark, str(tmp_path / "h")).orderBy("ord").collect()] == [("s1", 7, "1|2"), ("s2", None, "3|4"), ("s3", None, None)]
+
+
+def test_trf_file(spark, tmp_path):
+    hit = "1 90 2 12.7 {} 95 0 100 50 50 0 0 1.0 {} ACAC"
+    (tmp_path / "t").write_text("@ (AC)12(AG)3\n" + hit.format(2, "CA") + "\n" + hit.format(200, "AG") + "\nshort line\n@ (A)1\n@(AC)11\r\n" + hit.format(2, "AC") + "\r\n")
+    got = sources.read_trf(spark, str(tmp_path / "t")).orderBy("record")
+    assert [(r.truth, [(h.unit, h.copies) for h in r.hits]) for r in got.collect()] == [("(AC)12(AG)3", [("CA", 12)]), ("(A)1", []), ("(AC)11", [("AC", 12)])]
+    judged = evaluate.verdicts(evaluate.record_patterns(got), 0.0, "truth")
+    assert [r.value for r in evaluate.verdict_lines(judged).collect()] == ["No\tAC 12 AG 3\tCA 12", "No\tA 1\t", "Yes\tAC 11\tAC 12"]
+    assert tuple(evaluate.totals(judged).first()) == (1, 3)
+
+
+def test_repeatmasker_scores(spark):
+    hits = frame(spark, [("(AC)20(AG)9_1", 41, "GA", 20), ("(AC)20(AG)9_1", 1, "AC", 46), ("(AC)5", 1, "AC", 10), ("(AC)5", 12, "AC", 10)], "id string, begin int, unit string, len int")
+    got = {r.id: r.verdict for r in evaluate.verdicts(evaluate.named_patterns(hits), 0.1, "truth").collect()}
+    assert got == {"(AC)20(AG)9_1": "Yes", "(AC)5": "No"}
+
+
 def test_accuracy_tolerance(spark):
     block = "array<struct<unit string, copies int>>"
     d = frame(spark, [([("AC", 10)], [("CA", 11)]), ([("AC", 10)], [("CA", 12)]), ([("AC", 10)], [("AC", 10), ("AG", 3)])], f"truth {block}, pred {block}")
