@@ -1,17 +1,18 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
 Test items are cut into windows of WINDOW consecutive words (a shorter item is
-one window). Occurrences of the test terms in the training texts are counted;
-each window is looked up by its rarest term, at that term's offset. A posting
-of a term is the document, its place and the words around it; a posting less
-the term's offset is where a window would begin, and the lists of the window's
-other terms are intersected there, the second rarest first, until all words
-agree. Proximity matches ask only that the window's rarest terms stand close
-together, in any order.
-
-The table of windows is broadcast only if counted to be at most BROADCAST_WINDOWS
-rows; beyond that postings of the wanted terms are shuffled by term and
-joined, with the words in reach alone.
+one window). The training texts are split into words once and the postings of
+all test terms written: term, document, place. The lengths of the lists come
+from these. The list of a window's rarest term, less the term's offset, holds
+the places where the window might begin; it is intersected with the list of
+the second rarest term, adjusted likewise, and then with those of all other
+terms, read only for documents that are left. What is left are exact phrases.
+Proximity matches come from the same lists: the two rarest terms of a window
+within NEAR words of each other, in any order.
+
+Nothing is broadcast by hint: Spark broadcasts a side whose written size it
+knows to be small and shuffles it otherwise. Joins on places are dealt by
+document, place and term, so no document and no term is one task's.
 
 Null texts have no words, an item without words has no window, documents
 without matches get zeros. Equal items each count. Rows that repeat an id and
@@ -23,130 +24,134 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import free, stored
 
 WINDOW = 10
-#: Windows of at most WINDOW words each that may be broadcast; some 200 bytes each.
-BROADCAST_WINDOWS = 50_000
+#: Words that the two terms of a proximity match may be apart.
+NEAR = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: The term of the posting that each document has at the place after its last word.
+END = " "
 
 
-def words(text: str = "text") -> Column:
-    """The words of a text: A-Z lowered, runs of digits, letters and all that isn't ASCII."""
-    parts = F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), GAPS)
-    return F.filter(parts, lambda w: w != "")
+def pieces(text: Column) -> Column:
+    """A text cut at gaps, A-Z lowered: its words, and an empty piece where it begins or ends with a gap or is empty."""
+    return F.split(F.translate(text, UPPER, LOWER), GAP + "+")
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """item_id, win: the windows of every item."""
-    own = benchmark.select("item_id", words().alias("w")).where(F.size("w") > 0)
+    w = F.filter(pieces(F.coalesce("text", F.lit(""))), lambda w: w != "")
+    own = benchmark.select("item_id", w.alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))
     return own.select("item_id", F.explode(F.transform(starts, lambda k: F.slice("w", k, size))).alias("win")).distinct()
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """Documents as (doc_id, h, w): id, hash of the text, words."""
-    return docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("h"), words().alias("w"))
-
-
-def postings(toks: DataFrame, reach: int) -> DataFrame:
-    """The index: term, doc_id, h, at, first, near. near: the words from place `first` on, `reach` to either side of the posting."""
-    each = toks.select("doc_id", "h", "w", F.posexplode("w").alias("at", "term"))
-    first = F.greatest(F.col("at") - reach, F.lit(0))
-    return each.select("term", "doc_id", "h", "at", first.alias("first"), F.slice("w", first + 1, 2 * reach + 1).alias("near"))
-
-
-def frequencies(toks: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
-    """term, n: occurrences of the wanted terms in all texts; 0 if there are none."""
-    each = toks.select(F.explode("w").alias("term"))
-    if small:
-        found = each.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    else:  # sums by term first: a row per term and task is all that is shuffled
-        found = each.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term", "left_semi")
-    return wanted.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def plan(win: DataFrame, freq: DataFrame) -> DataFrame:
-    """win, len, term, off, term2, off2: each distinct window with its two rarest terms and their offsets, ties to the first."""
-    each = win.select("win").distinct().select("win", F.posexplode("win").alias("off", "term")).join(freq, "term")
-    order = F.sort_array(F.collect_list(F.struct("n", "off", "term")))
-    two = each.groupBy("win").agg(order.alias("o"), F.min("n").alias("least")).where("least > 0")  # a term without postings rules a window out
-    second = F.when(F.size("o") > 1, F.element_at("o", 2)).otherwise(F.element_at("o", 1))
-    return two.select("win", F.size("win").alias("len"), F.col("o")[0]["term"].alias("term"), F.col("o")[0]["off"].alias("off"), second["term"].alias("term2"), second["off"].alias("off2"))
-
-
-def matches(docs: DataFrame, win: DataFrame, size: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, h, start, len, win: every occurrence of every window. win: the table of windows()."""
-    win = stored(win, "decontamination-windows")
-    small = win.limit(most + 1).count() <= most
-    toks = tokens(docs)
-    wanted = stored(win.select(F.explode("win").alias("term")).distinct(), "decontamination-terms")
-    looked = stored(plan(win, stored(frequencies(toks, wanted, small), "decontamination-frequencies")), "decontamination-plan")
-    start = F.col("at") - F.col("off")
-    if small:
-        each = toks.select("doc_id", "h", "w", F.posexplode("w").alias("at", "term"))
-        met = each.join(F.broadcast(looked), "term")
-        other = (start >= 0) & (start + F.col("len") <= F.size("w")) & (F.try_element_at("w", start + F.col("off2") + 1) == F.col("term2"))
-        found = met.where(other).where(F.slice("w", start + 1, F.col("len")) == F.col("win"))
-    else:
-        index = postings(toks, size - 1)
-        met = index.join(looked, "term")
-        inner = start - F.col("first")
-        other = (inner >= 0) & (inner + F.col("len") <= F.size("near")) & (F.try_element_at("near", inner + F.col("off2") + 1) == F.col("term2"))
-        found = met.where(other).where(F.slice("near", inner + 1, F.col("len")) == F.col("win"))
-    return found.select("doc_id", "h", start.alias("start"), "len", "win")
-
-
-def proximity(docs: DataFrame, benchmark: DataFrame, width: int = 20, size: int = WINDOW) -> DataFrame:
-    """doc_id, h, item_id, at: places where the two rarest terms of a window, in either order, stand at most `width` words apart.
-
-    Postings of either term are cut into stretches of `width` words; the second
-    is looked for in its own stretch and both neighbours.
-    """
-    win = stored(windows(benchmark, size), "proximity-windows")
-    toks = tokens(docs)
-    wanted = win.select(F.explode("win").alias("term")).distinct()
-    small = win.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    two = stored(plan(win, frequencies(toks, wanted, small)), "proximity-plan")
-    pairs = win.join(two, "win").where("off2 != off").select("item_id", "term", "term2").distinct()
-    index = postings(toks, 0).select("term", "doc_id", "h", "at")
-    a = index.join(pairs, "term").withColumn("cut", F.explode(F.array(*((F.col("at") / width).cast("int") + k for k in (-1, 0, 1)))))
-    b = index.join(pairs.select(F.col("term2").alias("term")).distinct(), "term", "left_semi").select(F.col("term").alias("t2"), F.col("doc_id").alias("d2"), F.col("h").alias("h2"), F.col("at").alias("at2"), (F.col("at") / width).cast("int").alias("cut2"))
-    near = (F.abs(F.col("at") - F.col("at2")) <= width) & (F.col("at") != F.col("at2"))
-    met = a.join(b, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")) & (F.col("cut") == F.col("cut2")) & (F.col("term2") == F.col("t2")) & near)
-    return met.select("doc_id", "h", "item_id", "at").distinct()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    win = stored(windows(benchmark, size), "decontamination-items")
-    found = stored(matches(docs, win, size, most).distinct(), "decontamination-matches")
+def text_hash(text: str = "text") -> Column:
+    """What tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.coalesce(F.length(text), F.lit(0)))
+
+
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, doc_id, h, at: the places (from 0) of the terms in all texts, and an END at the number of words of each text."""
+    text = F.coalesce("text", F.lit(""))
+    gap = lambda c: F.translate(c, UPPER, LOWER).rlike(GAP)
+    before, after = (text == "") | gap(F.left(text, F.lit(1))), gap(F.right(text, F.lit(1)))
+    own = docs.select("doc_id", text_hash().alias("h"), before.cast("int").alias("before"), after.cast("int").alias("after"), F.concat(pieces(text), F.array(F.lit(END))).alias("w"))
+    each = own.select("doc_id", "h", "before", "after", F.posexplode("w").alias("at", "term"))
+    wanted = terms.unionByName(terms.sparkSession.range(1).select(F.lit(END).alias("term")))
+    at = F.col("at") - F.col("before") - F.when(F.col("term") == END, F.col("after")).otherwise(0)
+    return each.join(wanted, "term", "left_semi").select("term", "doc_id", "h", at.alias("at"))
+
+
+class Index:
+    """The written postings of the terms of a benchmark in a corpus, with its windows."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW):
+        self.items = stored(windows(benchmark, size), "decontamination-items")
+        terms = stored(self.items.select(F.explode("win").alias("term")).distinct(), "decontamination-terms")
+        self.postings = stored(postings(docs, terms), "decontamination-index")
+        lengths = stored(self.lists().groupBy("term").agg(F.count("*").alias("n")), "decontamination-lengths")
+        # a term without postings rules its windows out
+        each = self.items.select("win").distinct().select("win", F.posexplode("win").alias("off", "term")).join(lengths, "term")
+        rare = each.groupBy("win").agg(F.sort_array(F.collect_list(F.struct("n", "off", "term"))).alias("terms")).where("size(terms) = size(win)")
+        self.windows = stored(rare.withColumn("win_id", F.monotonically_increasing_id()), "decontamination-windows")
+
+    def lists(self) -> DataFrame:
+        return self.postings.where(F.col("term") != END)
+
+    def sizes(self) -> DataFrame:
+        """doc_id, h, n_words of every row."""
+        return self.postings.where(F.col("term") == END).select("doc_id", "h", F.col("at").cast("long").alias("n_words"))
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """The lists of some terms, named for a join: d, g, place, word."""
+        return self.lists().join(terms.distinct(), "term", "left_semi").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("at").alias("place"), F.col("term").alias("word"))
+
+    def phrases(self) -> DataFrame:
+        """win_id, doc_id, h, start, len: every occurrence of every window."""
+        term = lambda k, what: F.try_element_at("terms", F.lit(k))[what]
+        rarest = self.windows.select("win_id", F.size("win").alias("len"), term(1, "term").alias("term"), term(1, "off").alias("off"), term(2, "term").alias("term2"), term(2, "off").alias("off2"))
+        begun = self.lists().join(rarest, "term").select("win_id", "doc_id", "h", (F.col("at") - F.col("off")).alias("start"), "len", "term2", "off2").where("start >= 0")
+        second = self.of(rarest.where("len > 1").select(F.col("term2").alias("term")))
+        here = lambda word, off: F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col(word) == F.col("word")) & (F.col("start") + F.col(off) == F.col("place"))
+        met = begun.where("len > 1").join(second, here("term2", "off2"), "left_semi").unionByName(begun.where("len = 1"))
+        two = stored(met.select("win_id", "doc_id", "h", "start", "len").distinct(), "decontamination-two-terms")
+        others = self.windows.select("win_id", F.explode(F.expr("slice(terms, 3, size(terms))")).alias("t")).select("win_id", "t.off", "t.term")
+        left = two.select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct()
+        lists = self.lists().join(left, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left_semi").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("at").alias("place"), F.col("term").alias("word"))
+        more = two.where("len > 2").join(others, "win_id").join(lists, here("term", "off"), "left_semi")
+        whole = more.groupBy("win_id", "doc_id", "h", "start", "len").agg(F.count("*").alias("n")).where("n = len - 2").drop("n")
+        return whole.unionByName(two.where("len <= 2"))
+
+    def near(self, width: int = NEAR) -> DataFrame:
+        """doc_id, h, item_id: items of which some window's two rarest terms, unlike each other, stand at most `width` words apart.
+
+        Places are cut into stretches of `width` words; the second term is
+        looked for in the first one's stretch and both neighbours.
+        """
+        two = self.windows.where("size(terms) > 1").select("win", F.col("terms")[0]["term"].alias("term"), F.col("terms")[1]["term"].alias("term2")).where("term != term2")
+        pairs = stored(two.join(self.items, "win").select("item_id", "term", "term2").distinct(), "decontamination-pairs")
+        only = pairs.select("term", "term2").distinct()
+        cut = lambda c: F.floor(F.col(c) / width).cast("int")
+        a = self.lists().join(only, "term").withColumn("cut", F.explode(F.array(*(cut("at") + k for k in (-1, 0, 1)))))
+        b = self.of(pairs.select(F.col("term2").alias("term"))).withColumn("cut2", cut("place"))
+        on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("cut") == F.col("cut2")) & (F.col("term2") == F.col("word")) & (F.abs(F.col("at") - F.col("place")) <= width)
+        met = a.join(b, on, "left_semi").select("doc_id", "h", "term", "term2").distinct()
+        return met.join(pairs, ["term", "term2"]).select("doc_id", "h", "item_id").distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match) of every document."""
+    index = Index(docs, benchmark, size)
+    found = stored(index.phrases(), "decontamination-phrases")
     # the words hit are the union of [start, start + len): ordered by start, each adds what reaches past those before
     spans = F.array_sort(F.collect_set(F.struct("start", F.expr("start + len").alias("end"))))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     union = F.aggregate("spans", zero, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["to"]))).alias("n"), F.greatest(s["to"], x["end"]).alias("to")))
     hit = found.groupBy("doc_id", "h").agg(spans.alias("spans")).select("doc_id", "h", union["n"].alias("n_hit"))
-    items = found.select("doc_id", "h", "win").distinct().join(win, "win").groupBy("doc_id", "h").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    both = hit.join(items, hit.doc_id.eqNullSafe(items.doc_id) & (hit.h == items.h), "left").select(hit.doc_id.alias("d"), hit.h.alias("g"), "n_hit", "items")
-    own = tokens(docs).select("doc_id", "h", F.size("w").cast("long").alias("n_words"))
-    none = F.array().cast("array<string>")
-    out = own.join(both, own.doc_id.eqNullSafe(both.d) & (own.h == both.g), "left")
-    listed = F.coalesce("items", none)
-    return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array(listed), ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")
-    )
+    named = index.windows.select("win_id", "win").join(index.items, "win").select("win_id", "item_id")
+    listed = found.select("win_id", "doc_id", "h").distinct().join(named, "win_id").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    close = index.near().groupBy("doc_id", "h").agg(F.count("*").alias("n_near"))
+    out = index.sizes()
+    for part in (hit, listed, close):
+        part = part.withColumnsRenamed({"doc_id": "d", "h": "g"})
+        out = out.join(part, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select("doc_id", "n_words", zero("n_hit").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (zero("n_hit") > 0).alias("contaminated"), zero("n_near").alias("n_near"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any window of the benchmark, with all their columns."""
-    win = windows(benchmark)
-    found = stored(matches(docs, win).select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct(), "decontamination-found")
-    keyed = docs.withColumn("__h", F.xxhash64("text", F.length("text")))
-    return keyed.join(found, keyed.doc_id.eqNullSafe(found.d) & (F.col("__h") == F.col("g")), "left_anti").select(*docs.columns)
+    found = Index(docs, benchmark).phrases().select("doc_id", "h").distinct()
+    d, g = free(docs, "d"), free(docs, "g")
+    found = stored(found.toDF(d, g), "decontamination-found")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[d]) & (text_hash() == found[g]), "left_anti")
 
 
-def oracle(size: int = WINDOW) -> str:
+def oracle(size: int = WINDOW, near: int = NEAR) -> str:
     """The same in DuckDB."""
     cut = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""
@@ -157,6 +162,13 @@ def oracle(size: int = WINDOW) -> str:
     grams AS (SELECT doc_id, n, k, w[k : k + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes)),
     found AS (SELECT doc_id, n, k, item_id FROM grams JOIN win USING (win)),
     hit AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id),
-    items AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS listed FROM found GROUP BY doc_id)
-    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+    items AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS listed FROM found GROUP BY doc_id),
+    terms AS (SELECT DISTINCT unnest(win) AS term FROM win),
+    post AS (SELECT doc_id, term, p FROM (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS p FROM d) SEMI JOIN terms USING (term)),
+    freq AS (SELECT term, count(*) AS n FROM post GROUP BY term),
+    rare AS (SELECT win, list(term ORDER BY n, p) AS t FROM (SELECT win, unnest(win) AS term, unnest(range(0, len(win))) AS p FROM (SELECT DISTINCT win FROM win)) JOIN freq USING (term) GROUP BY win HAVING count(*) = len(win)),
+    pairs AS (SELECT DISTINCT item_id, t[1] AS t1, t[2] AS t2 FROM rare JOIN win USING (win) WHERE len(t) > 1 AND t[1] <> t[2]),
+    met AS (SELECT DISTINCT x.doc_id, t1, t2 FROM (SELECT DISTINCT t1, t2 FROM pairs) JOIN post x ON x.term = t1 JOIN post y ON y.term = t2 AND y.doc_id = x.doc_id AND abs(x.p - y.p) <= {near}),
+    close AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_near FROM met JOIN pairs USING (t1, t2) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN close USING (doc_id)"""

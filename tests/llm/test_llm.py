@@ -25,7 +25,7 @@ EDGE = ["", None, "a", " ", "\n\t ", "word " * 9000, "x" * 30000, "same text her
 def edge(spark):
     rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(EDGE)] + [(None, "no id at all", None, None, None), (7, EDGE[7], "en", "s", 1)]
     # columns whose names clash with what operators make
-    return spark.createDataFrame(rows, DOCS).withColumns({"h": F.lit(1), "fp": F.lit("x"), "score": F.lit(2.0), "k": F.lit(3), "w": F.lit("q")})
+    return spark.createDataFrame(rows, DOCS).withColumns({"h": F.lit(1), "fp": F.lit("x"), "score": F.lit(2.0), "k": F.lit(3), "w": F.lit("q"), "g": F.lit(1), "d": F.lit(2), "__d": F.lit(3), "__h": F.lit("z"), "__t": F.lit("z"), "__text": F.lit("y"), "Root": F.lit(5)})
 
 
 def texts():
@@ -172,16 +172,46 @@ def brute_contamination(docs, items, size=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most", [50_000, 0])
-def test_contamination_matches_brute_force(spark, most):
+def brute_near(docs, items, size=10, width=20):
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    count = {}
+    for _, t in docs:
+        for w in cut(t):
+            count[w] = count.get(w, 0) + 1
+    pairs = set()
+    for i, t in items:
+        w = cut(t)
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            x = w[k : k + size]
+            order = sorted((count.get(v, 0), p, v) for p, v in enumerate(x))
+            if order[0][0] and len(x) > 1 and order[0][2] != order[1][2]:
+                pairs.add((i, order[0][2], order[1][2]))
+    out = []
+    for d, t in docs:
+        at = {}
+        for p, w in enumerate(cut(t)):
+            at.setdefault(w, []).append(p)
+        out.append((d, len({i for i, a, b in pairs if any(abs(x - y) <= width for x in at.get(a, []) for y in at.get(b, []))})))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("many", [0, 60])
+def test_contamination_matches_brute_force(spark, many):
     r = random.Random(7)
     word = lambda: r.choice("a b c the Of é x1".split())
-    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([14, 10, 9, 3, 1, 12])] + [(6, ""), (7, None), (8, "zz yy"), (19, "A b")]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([14, 10, 9, 3, 1, 12])] + [(6, ""), (7, None), (8, "zz yy"), (19, "A b"), (20, "qa qb"), (21, "-qc; qd qa")]
     docs = [(k, " ".join(word() for _ in range(r.randint(0, 60)))) for k in range(20)]
-    docs += [(30, f"{items[0][1]}, {items[0][1]}"), (31, "b A b a"), (32, None), (33, ""), (33, ""), (None, items[1][1].upper())]
+    docs += [(30, f"{items[0][1]}, {items[0][1]}"), (31, "b A b a"), (32, None), (33, ""), (33, ""), (None, items[1][1].upper()), (34, " ;"), (35, "A."), (36, ".a"), (37, "qa " + "w " * 15 + "Qb"), (38, "QB " + "w " * many + "qa qc")]
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), b, most=most).collect()
-    assert sorted((tuple(x) for x in got), key=str) == brute_contamination(docs, items)
+    got = decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()
+    assert sorted((tuple(x)[:6] for x in got), key=str) == brute_contamination(docs, items)
+    assert sorted(((x.doc_id, x.n_near) for x in got), key=str) == brute_near(docs, items)
+
+
+def test_contamination_plan_has_no_python_and_no_hint(spark, edge):
+    one = spark.createDataFrame([(1, "SAME text here")], "item_id long, text string")
+    plan = decontamination.contamination(edge, one)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "strategy=broadcast" not in plan
 
 
 def test_contamination_edge(spark, edge):
@@ -192,12 +222,6 @@ def test_contamination_edge(spark, edge):
     assert kept.columns == edge.columns and kept.count() == len(EDGE) + 2 - 3
 
 
-def test_proximity(spark):
-    d = spark.createDataFrame([(1, "q alpha w w beta q"), (2, "alpha " + "w " * 50 + "beta")], "doc_id long, text string")
-    b = spark.createDataFrame([(5, "beta alpha")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontamination.proximity(d, b, width=5).collect()} == {(1, 5)}
-
-
 @pytest.mark.parametrize("limit", [50, 400, 10**9])
 def test_shards_fit(spark, limit):
     rows = [(k, "x" * (k % 37)) for k in range(300)] + [(7, "y" * 20)] * 40 + [(None, "z" * 9), (1000, None)]
