@@ -10,7 +10,8 @@ terms, read only for documents that are left. What is left are exact phrases.
 Proximity matches come from the same lists: the two rarest terms of a window
 within NEAR words of each other, in any order.
 
-Nothing is broadcast by hint: Spark broadcasts a side whose written size it
+The lists of terms that are among the two rarest of some window are short and
+written once more by themselves. Nothing is broadcast by hint: Spark broadcasts a side whose written size it
 knows to be small and shuffles it otherwise. Joins on places are dealt by
 document, place and term, so no document and no term is one task's.
 
@@ -65,6 +66,11 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return each.join(wanted, "term", "left_semi").select("term", "doc_id", "h", at.alias("at"))
 
 
+def named(lists: DataFrame) -> DataFrame:
+    """Postings with names for the other side of a join: d, g, place, word."""
+    return lists.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("at").alias("place"), F.col("term").alias("word"))
+
+
 class Index:
     """The written postings of the terms of a benchmark in a corpus, with its windows."""
 
@@ -77,6 +83,9 @@ class Index:
         each = self.items.select("win").distinct().select("win", F.posexplode("win").alias("off", "term")).join(lengths, "term")
         rare = each.groupBy("win").agg(F.sort_array(F.collect_list(F.struct("n", "off", "term"))).alias("terms")).where("size(terms) = size(win)")
         self.windows = stored(rare.withColumn("win_id", F.monotonically_increasing_id()), "decontamination-windows")
+        # the lists of the two rarest terms of any window are short; they are written apart, so no search reads or moves all lists
+        rarest = self.windows.select(F.explode(F.expr("slice(terms, 1, 2)")).alias("t")).select("t.term").distinct()
+        self.short = stored(self.lists().join(stored(rarest, "decontamination-rarest"), "term", "left_semi"), "decontamination-short")
 
     def lists(self) -> DataFrame:
         return self.postings.where(F.col("term") != END)
@@ -85,22 +94,18 @@ class Index:
         """doc_id, h, n_words of every row."""
         return self.postings.where(F.col("term") == END).select("doc_id", "h", F.col("at").cast("long").alias("n_words"))
 
-    def of(self, terms: DataFrame) -> DataFrame:
-        """The lists of some terms, named for a join: d, g, place, word."""
-        return self.lists().join(terms.distinct(), "term", "left_semi").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("at").alias("place"), F.col("term").alias("word"))
-
     def phrases(self) -> DataFrame:
         """win_id, doc_id, h, start, len: every occurrence of every window."""
         term = lambda k, what: F.try_element_at("terms", F.lit(k))[what]
         rarest = self.windows.select("win_id", F.size("win").alias("len"), term(1, "term").alias("term"), term(1, "off").alias("off"), term(2, "term").alias("term2"), term(2, "off").alias("off2"))
-        begun = self.lists().join(rarest, "term").select("win_id", "doc_id", "h", (F.col("at") - F.col("off")).alias("start"), "len", "term2", "off2").where("start >= 0")
-        second = self.of(rarest.where("len > 1").select(F.col("term2").alias("term")))
+        begun = self.short.join(rarest, "term").select("win_id", "doc_id", "h", (F.col("at") - F.col("off")).alias("start"), "len", "term2", "off2").where("start >= 0")
+        second = named(self.short)
         here = lambda word, off: F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col(word) == F.col("word")) & (F.col("start") + F.col(off) == F.col("place"))
         met = begun.where("len > 1").join(second, here("term2", "off2"), "left_semi").unionByName(begun.where("len = 1"))
         two = stored(met.select("win_id", "doc_id", "h", "start", "len").distinct(), "decontamination-two-terms")
         others = self.windows.select("win_id", F.explode(F.expr("slice(terms, 3, size(terms))")).alias("t")).select("win_id", "t.off", "t.term")
-        left = two.select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct()
-        lists = self.lists().join(left, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left_semi").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("at").alias("place"), F.col("term").alias("word"))
+        left = stored(two.select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct(), "decontamination-left")
+        lists = named(self.lists().join(left, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left_semi"))
         more = two.where("len > 2").join(others, "win_id").join(lists, here("term", "off"), "left_semi")
         whole = more.groupBy("win_id", "doc_id", "h", "start", "len").agg(F.count("*").alias("n")).where("n = len - 2").drop("n")
         return whole.unionByName(two.where("len <= 2"))
@@ -115,8 +120,8 @@ class Index:
         pairs = stored(two.join(self.items, "win").select("item_id", "term", "term2").distinct(), "decontamination-pairs")
         only = pairs.select("term", "term2").distinct()
         cut = lambda c: F.floor(F.col(c) / width).cast("int")
-        a = self.lists().join(only, "term").withColumn("cut", F.explode(F.array(*(cut("at") + k for k in (-1, 0, 1)))))
-        b = self.of(pairs.select(F.col("term2").alias("term"))).withColumn("cut2", cut("place"))
+        a = self.short.join(only, "term").withColumn("cut", F.explode(F.array(*(cut("at") + k for k in (-1, 0, 1)))))
+        b = named(self.short).withColumn("cut2", cut("place"))
         on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("cut") == F.col("cut2")) & (F.col("term2") == F.col("word")) & (F.abs(F.col("at") - F.col("place")) <= width)
         met = a.join(b, on, "left_semi").select("doc_id", "h", "term", "term2").distinct()
         return met.join(pairs, ["term", "term2"]).select("doc_id", "h", "item_id").distinct()
