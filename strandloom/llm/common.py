@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandloom.sources.shared import stored
 
-__all__ = ["apart", "fold", "free", "labelled_sample", "map_texts", "stored"]
+__all__ = ["apart", "fold", "free", "labelled_sample", "map_texts", "pieces", "stored"]
 
 #: Characters of text that one Python call handles at once; a longer text is handled alone.
 BATCH_CHARS = 1_000_000
@@ -37,6 +38,18 @@ def apart(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def pieces(text: str, border: re.Pattern, size: int = BATCH_CHARS) -> Iterator[tuple[int, str]]:
+    """(start, piece) of a text, cut before the first border after so many characters; without a border it goes on."""
+    at = 0
+    while len(text) - at > size:
+        m = border.search(text, at + size)
+        if m is None:
+            break
+        yield at, text[at : m.start()]
+        at = m.start()
+    yield at, text[at:] if at else text
+
+
 def text_batches(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, list[str]]]:
     """Slices of a batch with about BATCH_CHARS characters; null texts become empty."""
     start, held, out = 0, 0, []

@@ -1,8 +1,9 @@
 """A quality classifier by supervised subword embeddings.
 
-A document is the average of learned vectors of its words and their character
-n-grams, each hashed to a bucket, and of one more feature for every word that
-repeats the one before it; a softmax over the average gives the classes.
+A document is the average of learned vectors of its words, of the character
+n-grams of words and of pairs of neighbouring words, each hashed to a bucket;
+a softmax over the average gives the classes. Most pairs of words are rare, so
+a pair is hashed by the lengths and first letters of its two words.
 Vectors and weights are trained by stochastic gradient descent in numpy on a
 bounded, class-balanced sample of labelled documents (PER_CLASS of each class,
 at most MAX_CHARS characters each); the classes' shares among all labels that
@@ -11,10 +12,11 @@ each bucket's part of it is worked out once, and scoring sums over words.
 
 Null and empty texts have no words and get the score of the classes' shares.
 Without labels of both classes the score is 0.5 for all. Repeated rows each
-get their row.
+get their row. A word of any length is cut into n-grams whole.
 """
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -23,25 +25,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import fold, labelled_sample, map_texts
+from strandloom.llm.common import fold, labelled_sample, map_texts, pieces
 
 BUCKETS, DIM, NGRAMS = 1 << 17, 12, (3, 4)
-PER_CLASS, MAX_CHARS, EPOCHS, RATE = 1200, 12_000, 6, 0.4
+PER_CLASS, MAX_CHARS, EPOCHS, RATE = 1200, 12_000, 12, 1.2
 THRESHOLD = 0.3
 CACHE = 150_000
-#: The bucket of a repeated word, and how often a repeat counts: about as much as the n-grams of a word.
-REPEAT, REPEAT_COUNT = 0, 8
+MASK = BUCKETS - 1
+SPACE = re.compile(r"\s")
+#: How often a pair of words counts beside the n-grams of its words.
+PAIR_COUNT = 24
 
 
 def buckets(word: str) -> list[int]:
     """Buckets of a word and of the character n-grams of <word>."""
-    w, crc, mask = f"<{word}>", zlib.crc32, BUCKETS - 1
+    w, crc, mask = f"<{word}>", zlib.crc32, MASK
     out = [crc(w.encode("utf-8", "replace")) & mask]
     for n in NGRAMS:
         out += [crc(w[k : k + n].encode("utf-8", "replace"), n) & mask for k in range(len(w) - n + 1)]
     return out
 
 
+def kind(word: str) -> int:
+    """A number for a word's length, up to 31, and its first letter."""
+    return min(len(word), 31) << 7 ^ zlib.crc32(word[:1].encode("utf-8", "replace")) & 0xFFF
+
+
+def pair(a: int, b: int) -> int:
+    """The bucket of two neighbouring words of these kinds."""
+    return (a * 40_503 + b * 30_011 + 7) & MASK
+
+
 def train(sample: list[tuple[str, int]], share: float | None, seed: int = 7) -> tuple[np.ndarray, float]:
     """(part of the logit by bucket, offset). share: the share of class 1 among all labels."""
     if share is None or len({y for _, y in sample}) < 2:
@@ -52,13 +66,13 @@ def train(sample: list[tuple[str, int]], share: float | None, seed: int = 7) ->
         ids: list[int] = []
         last = None
         for w in text.split():
-            if w == last:
-                ids += [REPEAT] * REPEAT_COUNT
-            last = w
             b = held.get(w)
             if b is None:
                 b = held[w] = buckets(w)
             ids += b
+            if last is not None:
+                ids += [pair(kind(last), kind(w))] * PAIR_COUNT
+            last = w
         if ids:
             u, n = np.unique(np.array(ids, np.int32), return_counts=True)
             docs.append((u, (n / len(ids)).astype(np.float32), y))
@@ -98,22 +112,25 @@ class Scorer:
         self.part, self.offset, self.words = part.tolist(), offset, {}
 
     def __call__(self, text: str) -> float:
-        total, n, words, last, repeats = 0.0, 0, self.words, None, 0
-        for w in text.split():
-            if w == last:
-                repeats += REPEAT_COUNT
-            last = w
-            got = words.get(w)
-            if got is None:
-                b = buckets(w)
-                got = sum([self.part[k] for k in b]), len(b)
-                if len(w) <= 64:
-                    if len(words) >= CACHE:
-                        words.clear()
-                    words[w] = got
-            total += got[0]
-            n += got[1]
-        z = self.offset + ((total + repeats * self.part[REPEAT]) / (n + repeats) if n else 0.0)
+        words, part, last = self.words, self.part, None
+        total, n, pairs, count = 0.0, 0, 0.0, 0
+        for _, piece in pieces(text, SPACE):
+            for w in piece.split():
+                got = words.get(w)
+                if got is None:
+                    b = buckets(w)
+                    got = sum([part[k] for k in b]), len(b), kind(w) * 30_011 + 7, kind(w) * 40_503
+                    if len(w) <= 64:
+                        if len(words) >= CACHE:
+                            words.clear()
+                        words[w] = got
+                total += got[0]
+                n += got[1]
+                if last is not None:
+                    pairs += part[last + got[2] & MASK]
+                    count += PAIR_COUNT
+                last = got[3]
+        z = self.offset + ((total + PAIR_COUNT * pairs) / (n + count) if n else 0.0)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 

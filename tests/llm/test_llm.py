@@ -399,7 +399,7 @@ def test_quality_learns_and_holds_out(spark):
 
 def test_toxicity_learns_and_points(spark):
     docs, labels = labelled(spark, ["nice"], ["zorg", "blarg"], "toxic")
-    out = toxicity.classify(docs, labels, with_spans=True)
+    out = toxicity.classify(docs, labels)
     held = out.where("held_out").join(labels, "doc_id").join(docs, "doc_id").collect()
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.95
     found = [r.text[a:b] for r in held for a, b in r.toxic_spans]
@@ -407,6 +407,67 @@ def test_toxicity_learns_and_points(spark):
     assert out.count() == 303
 
 
+def plain_probabilities(model, text):
+    """P(toxic) of each token by two passes over the text, in exact order."""
+    words = [w.lower() for w in re.findall(r"\w+", text)]
+    e = [float(model.word[model.vocabulary.get(w, 0)] + sum(model.form[k] for k in toxicity.forms(w))) for w in words]
+    ahead, behind = [], [np.ones(2)]
+    for k, x in enumerate(e):
+        step = np.exp(model.start) if k == 0 else ahead[-1] @ np.exp(model.trans)
+        step = step * [1, np.exp(x)]
+        ahead.append(step / step.sum())
+    for x in e[:0:-1]:
+        step = np.exp(model.trans) @ (behind[-1] * [1, np.exp(x)])
+        behind.append(step / step.sum())
+    both = np.array(ahead) * np.array(behind[::-1])
+    return both[:, 1] / both.sum(axis=1)
+
+
+def test_toxicity_matches_two_plain_passes(monkeypatch):
+    r = random.Random(4)
+    bad = ["zorg", "blargen", "blargig"]
+    sample = [(" ".join(r.choice(["alpha", "beta", "of"] + bad * (k % 2)) for _ in range(30)), k % 2) for k in range(60)]
+    model = toxicity.train(sample, 0.3)
+    texts = ["in İstanbul a ZORG b", "a zorg", "", "blargova " * 3 + "alpha", " ".join(r.choice(["alpha", "zorg", "x", "İİ"]) for _ in range(700))]
+    for stretch, size in ((1 << 18, 1 << 20), (64, 50)):
+        monkeypatch.setattr(toxicity, "STRETCH", stretch)
+        monkeypatch.setattr(toxicity, "pieces", lambda t, b, size=size: common.pieces(t, b, size))
+        tagger = toxicity.Tagger(model)
+        p, n, score = tagger.tag(texts)
+        want = [plain_probabilities(model, t) if t else np.zeros(0) for t in texts]
+        assert np.allclose(p, np.concatenate(want)) and n.tolist() == [len(w) for w in want]
+        x = [model.score(np.array([w.max() if len(w) else 0.0]), np.array([w.sum()]))[0] for w in want]
+        assert np.allclose(score, x)
+        spans = tagger.spans(texts, p, n)
+        assert [texts[0][a:b] for a, b in spans[0]] == ["ZORG"] and texts[1][slice(*spans[1][0])] == "zorg" and spans[2] == []
+        marked = [k for a, b in spans[4] for k, m in enumerate(re.finditer(r"\w+", texts[4])) if a <= m.start() < b]
+        assert marked == np.flatnonzero(want[4] > 0.5).tolist()
+
+
+@pytest.mark.parametrize("operator, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers_at_the_edges(spark, edge, operator, label):
+    labels = spark.createDataFrame([(k, k % 2 if k else None) for k in range(9)] + [(None, 1), (7, 0), (7, 1)], f"doc_id long, {label} int")
+    rows = operator.classify(edge, labels).collect()
+    assert len(rows) == len(EDGE) + 2 and all(0 <= r.score <= 1 for r in rows)
+    assert {r.held_out for r in rows if r.doc_id is not None} == {True, False} and [r.held_out for r in rows if r.doc_id is None] == [False]
+    by = {r.doc_id: r.score for r in rows}
+    assert by[0] == by[1] and by[7] == by[8]
+    none = spark.createDataFrame([], DOCS)
+    assert operator.classify(none, labels).collect() == []
+    assert {r.score for r in operator.classify(edge, labels.limit(0)).collect()} == {0.5}
+
+
+def test_quality_matches_a_plain_average():
+    r = random.Random(6)
+    sample = [(" ".join(w for x in [r.choice(["alpha", "beta", "gamma", "of"])] for w in ([x] if k % 2 else [x, x]) for _ in range(1)) + " " + " ".join(r.choice("one two three four".split()) for _ in range(9)), k % 2) for k in range(80)]
+    part, offset = quality.train(sample, 0.4)
+    for t in ["", "alpha", "alpha alpha beta", "x" * 5000 + " of\tof ", " ".join(r.choice(["one", "ñ", "zwei"]) for _ in range(500))]:
+        w = t.split()
+        ids = [b for x in w for b in quality.buckets(x)] + [quality.pair(quality.kind(a), quality.kind(b)) for a, b in zip(w, w[1:], strict=False) for _ in range(quality.PAIR_COUNT)]
+        z = offset + (float(np.mean(part[ids])) if ids else 0.0)
+        assert abs(quality.Scorer(part, offset)(t) - 1 / (1 + np.exp(-z))) < 1e-6
+
+
 def test_marginals_match_one_pass():
     r = np.random.default_rng(3)
     emit, first = r.normal(0, 2, 300), np.zeros(300, bool)
