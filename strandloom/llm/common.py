@@ -14,8 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandloom.sources.shared import stored
 
-__all__ = ["apart", "fold", "free", "labelled_sample", "map_texts", "pieces", "stored"]
+__all__ = ["apart", "fold", "free", "join_hot", "labelled_sample", "map_texts", "pieces", "stored"]
 
+#: A key is hot if it has more than this part of the rows.
+HOT = 10_000
 #: Characters of text that one Python call handles at once; a longer text is handled alone.
 BATCH_CHARS = 1_000_000
 
@@ -38,6 +40,19 @@ def apart(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def join_hot(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """rows joined with other, which has one row a key; how: left or inner.
+
+    A key of more than a HOT-th of the rows is joined by broadcast: there are
+    fewer than HOT such keys, whatever the tables' sizes. All others are
+    shuffled. Both tables are read more than once, so they should be written.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n_"))
+    hot = stored(counts.where(F.col("n_") * HOT > F.lit(rows.count())).select(*keys), "hot-keys")
+    often = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(other.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    return often.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(apart(other), keys, how))
+
+
 def pieces(text: str, border: re.Pattern, size: int = BATCH_CHARS) -> Iterator[tuple[int, str]]:
     """(start, piece) of a text, cut before the first border after so many characters; without a border it goes on."""
     at = 0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import apart, map_texts, stored
+from strandloom.llm.common import apart, free, join_hot, map_texts, stored
 
 WORDS = 3
 SEED = 42
@@ -256,12 +256,12 @@ def members(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id (the smallest doc_id that links lead to) of every document."""
     own = stored(fingerprints(docs), "simhash-fingerprints")
-    first = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    member = members(first.select("fp"))
-    linked = member.join(first, "fp")
-    of_root = linked.groupBy("root").agg(F.min("first_id").alias("linked_id"))
-    by_fp = first.join(member.join(apart(of_root), "root").select("fp", "linked_id"), "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
-    return own.join(apart(by_fp), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    first = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-first")
+    member = stored(members(first.select("fp")), "simhash-members")
+    of_root = stored(member.join(first, "fp").groupBy("root").agg(F.min("first_id").alias("linked_id")), "simhash-roots")
+    linked = stored(join_hot(member, of_root, ["root"]).select("fp", "linked_id"), "simhash-linked")
+    by_fp = stored(first.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id")), "simhash-by-fingerprint")
+    return join_hot(own, by_fp, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -279,17 +279,19 @@ def keep_first(docs: DataFrame) -> DataFrame:
         return work
 
     own = stored(map_texts(docs, factory, T.StructType([T.StructField("fp", T.LongType()), T.StructField("h", T.StringType())])), "simhash-rows")
-    rooted = stored(own.join(apart(members(own.select("fp").distinct())), "fp", "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m"))
+    member = stored(members(own.select("fp").distinct()), "simhash-members")
+    rooted = stored(join_hot(own, member, ["fp"]).select("doc_id", "h", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    least = stored(rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m")), "simhash-least")
     keeps = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("h") == F.col("m.h"))
-    names = [F.col("doc_id").alias("__d"), F.col("h").alias("__t")]
-    match = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t"))
-    drop = stored(rooted.join(apart(least), "root").where(~keeps).select(*names).distinct(), "simhash-drop")
-    kept = docs.withColumn("__h", F.md5(F.coalesce("text", F.lit("")))).join(drop, match, "left_anti")
+    d, t, h = free(docs, "d"), free(docs, "t"), free(docs, "h")
+    names = [F.col("doc_id").alias(d), F.col("h").alias(t)]
+    match = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t))
+    drop = stored(join_hot(rooted, least, ["root"]).where(~keeps).select(*names).distinct(), "simhash-drop")
+    kept = docs.withColumn(h, F.md5(F.coalesce("text", F.lit("")))).join(drop, match, "left_anti")
     twice = stored(rooted.groupBy("doc_id", "h").count().where("count > 1").select(*names), "simhash-repeated")
     if twice.isEmpty():
         return kept.select(*docs.columns)
     # few rows repeat as a whole; an aggregate that combines before the shuffle leaves one of each
     row = F.struct(*docs.columns)
-    one = kept.join(twice, match, "left_semi").groupBy("doc_id", "__h").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("r")).select("r.*")
+    one = kept.join(twice, match, "left_semi").groupBy("doc_id", h).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("r")).select("r.*")
     return kept.join(twice, match, "left_anti").select(*docs.columns).unionByName(one)

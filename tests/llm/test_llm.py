@@ -224,14 +224,20 @@ def test_contamination_edge(spark, edge):
 
 @pytest.mark.parametrize("limit", [50, 400, 10**9])
 def test_shards_fit(spark, limit):
-    rows = [(k, "x" * (k % 37)) for k in range(300)] + [(7, "y" * 20)] * 40 + [(None, "z" * 9), (1000, None)]
+    rows = [(k, "x" * (k % 37)) for k in range(300)] + [(7, "y" * 20)] * 40 + [(None, "z" * 9), (1000, None)] + [(None, "")] * 120
     out = sharding.shard_report(spark.createDataFrame(rows, "doc_id long, text string"), limit).collect()
     assert len(out) == len(rows)
     total = {}
     for r in out:
         total.setdefault((r.depth, r.bucket, r.page), []).append(r.n_bytes)
         assert r.shard_bytes <= limit
-    assert all(sum(v) <= limit for v in total.values())
+    assert all(sum(max(1, n) for n in v) <= limit for v in total.values())
+    # every bucket at its first depth within the limit
+    key = lambda d: int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16) if d is not None else 0
+    weight = lambda depth, bucket: sum(max(1, len(t or "")) for d, t in rows if key(d) >> (60 - depth) == bucket)
+    for depth, bucket, page in list(total)[:40]:
+        if page == 0:
+            assert weight(depth, bucket) <= limit and (depth == 0 or weight(depth - 1, bucket >> 1) > limit)
     if limit == 10**9:
         assert len(total) == 1
     assert sharding.shard_report(spark.createDataFrame([], "doc_id long, text string"), limit).collect() == []
