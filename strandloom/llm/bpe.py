@@ -34,6 +34,9 @@ from strandloom.llm.common import map_texts
 #: Entries of a worker's cache; the chunk cache keeps one older generation of as many.
 CACHE = 120_000
 
+#: Bytes of the prefix of a word whose tokens are kept.
+HEAD = 5
+
 #: The pieces into which the tokenizer's file splits a normalised text.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: Control characters that Python's split() takes for white space and the tokenizer does not.
@@ -42,6 +45,8 @@ SPACE = regex.compile(r"\p{White_Space}+")
 #: Categories of characters that Unicode versions treat differently: unassigned ones and marks.
 UNSURE = {"Cn", "Mn", "Mc", "Me"}
 END = "</w>"
+#: A stretch of nothing but what the normaliser removes.
+EMPTY = ("", 0, "")
 BASE = -1
 
 
@@ -102,7 +107,12 @@ class PrefixBPE:
         self.ends: dict[int, list[tuple[int, int]]] = {}
         self.alone: dict[int, bool] = {}
         self.fits: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[str, int, str]] = {}
+        self.heads: dict[bytes | None, tuple[int, tuple[int, ...], tuple[int, ...]]] = {}
+        self.blank = [0] * 64
+        #: Characters met that all Unicode versions treat alike.
+        self.sure: set[str] = set()
+        self.number = {i: str(i) for i in self.text}
         self.chunks: dict[str, tuple[str, int, str]] = {}
         self.older: dict[str, tuple[str, int, str]] = {}
 
@@ -183,56 +193,90 @@ class PrefixBPE:
             self.alone[token] = held
         return held
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> list[int]:
         """Ids of one normalised piece."""
         data = word.encode("utf-8")
         n = len(data)
-        last, size, fits, go, ends, state = [0] * n, [0] * n, self.fits, self.go, self.ends, 0
-        for end, symbol in enumerate(data):
-            if end == n - 1:
-                symbol += 256
+        fits, go, ends, head = self.fits, self.go, self.ends, data[:HEAD] if n > HEAD else None
+        held = self.heads.get(head)
+        if held is None:
+            state, last, size, end = 0, [0] * n, [0] * n, 0
+        else:  # a prefix has the same tokens whatever follows it
+            state, last, size = held
+            last, size, end = [*last, *self.blank[: n - HEAD]], [*size, *self.blank[: n - HEAD]], HEAD
+            if n - HEAD > len(self.blank):
+                last, size = last + [0] * (n - len(last)), size + [0] * (n - len(size))
+        for symbol in data[end:-1]:
             to = go.get(state << 9 | symbol)
             state = self._step(state, symbol) if to is None else to
             for token, length in ends[state] if state in ends else self._ending(state):
-                if end >= length:
-                    pair = last[end - length] << 20 | token
-                    ok = fits.get(pair)
-                    if ok is None:
-                        if len(fits) > 2 * CACHE:
-                            fits.clear()
-                        ok = fits[pair] = self.compatible(last[end - length], token)
-                    if not ok:
-                        continue
-                last[end], size[end] = token, length
+                if end < length:
+                    break
+                ok = fits.get(last[end - length] << 20 | token)
+                if ok is None:
+                    ok = self.fit(last[end - length], token)
+                if ok:
+                    break
+            last[end], size[end] = token, length
+            end += 1
+            if end == HEAD and head is not None:
+                if len(self.heads) >= CACHE:
+                    self.heads.clear()
+                self.heads[head] = state, tuple(last[:HEAD]), tuple(size[:HEAD])
+        symbol = data[-1] + 256
+        to = go.get(state << 9 | symbol)
+        state = self._step(state, symbol) if to is None else to
+        for token, length in ends[state] if state in ends else self._ending(state):
+            if end < length or self.fit(last[end - length], token):
                 break
+        last[end], size[end] = token, length
         out, at = [], n - 1
         while at >= 0:
             out.append(last[at])
             at -= size[at]
-        return tuple(out[::-1])
+        out.reverse()
+        return out
+
+    def fit(self, left: int, right: int) -> bool:
+        """What compatible says, kept."""
+        pair = left << 20 | right
+        ok = self.fits.get(pair)
+        if ok is None:
+            if len(self.fits) > 2 * CACHE:
+                self.fits.clear()
+            ok = self.fits[pair] = self.compatible(left, right)
+        return ok
 
     def pieces(self, chunk: str) -> list[str]:
         """The normalised pieces of a stretch without white space."""
-        if not chunk.isascii() and any(unicodedata.category(c) in UNSURE for c in chunk):
-            folded = self.normalizer.normalize_str(chunk)
-            return [folded[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(folded)]
+        if chunk.isascii():
+            return WORDS.findall(chunk.lower())
+        if not self.sure.issuperset(chunk):
+            fresh = {c for c in chunk if unicodedata.category(c) not in UNSURE}
+            if not fresh.issuperset(chunk):
+                folded = self.normalizer.normalize_str(chunk)
+                return [folded[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(folded)]
+            self.sure |= fresh
         # lower case goes character by character: the final sigma has no form of its own
         folded = unicodedata.normalize("NFC", chunk)
         return WORDS.findall(folded.lower() if "Σ" not in folded else "".join(c.lower() for c in folded))
 
     def chunk(self, chunk: str) -> tuple[str, int, str]:
         """Of a stretch without white space: ids as text, their number, decoded text."""
-        ids: list[int] = []
+        out = []
         for w in self.pieces(chunk):
             got = self.words.get(w)
             if got is None:
-                got = self.word(w)
+                ids = self.word(w)
+                got = " ".join([self.number[i] for i in ids]), len(ids), self.decode(ids)
                 if len(w) <= 64:
                     if len(self.words) >= CACHE:
                         self.words.clear()
                     self.words[w] = got
-            ids.extend(got)
-        return " ".join(map(str, ids)), len(ids), self.decode(ids)
+            out.append(got)
+        if len(out) == 1:
+            return out[0]
+        return " ".join([x[0] for x in out]), sum([x[1] for x in out]), " ".join([x[2] for x in out])
 
     def spans(self, text: str) -> list[tuple[str, int, str]]:
         out, chunks = [], self.chunks
@@ -241,17 +285,20 @@ class PrefixBPE:
                 i = self.added[part]
                 out.append((str(i), 1, part))
                 continue
-            for c in SPACE.split(part) if NOT_SPACE.search(part) else part.split():
-                got = chunks.get(c)
-                if got is None:
-                    got = self.older.get(c) or self.chunk(c)
-                    if len(c) <= 64:
-                        if len(chunks) >= CACHE:
-                            self.older, self.chunks = chunks, {}
-                            chunks = self.chunks
-                        chunks[c] = got
-                if got[1]:
-                    out.append(got)
+            own = SPACE.split(part) if NOT_SPACE.search(part) else part.split()
+            found = list(map(chunks.get, own))
+            if None in found:
+                for k2, got in enumerate(found):
+                    if got is None:
+                        c = own[k2]
+                        got = chunks.get(c) or self.older.get(c) or self.chunk(c)
+                        found[k2] = got
+                        if len(c) <= 64:
+                            if len(chunks) >= CACHE:
+                                self.older, self.chunks = chunks, {}
+                                chunks = self.chunks
+                            chunks[c] = got
+            out += [x for x in found if x[1]] if len(own) and EMPTY in found else found
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -87,7 +87,8 @@ def map_texts(docs: DataFrame, factory: Callable[[], Callable[[list[str]], list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = factory()
-        gc.freeze()  # models stay for good: the collector need not walk them
+        gc.freeze()  # models stay for good, and caches of strings hold no cycles: the collector need not walk them often
+        gc.set_threshold(200_000, 20, 20)
         types = [f.type for f in to_arrow_schema(full)]
         for batch in batches:
             for ids, texts in text_batches(batch.column(0), batch.column(1)):
