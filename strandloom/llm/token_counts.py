@@ -2,10 +2,12 @@
 
 A text longer than a chunk is encoded in chunks that overlap. Two encodings
 are spliced at a position in the overlap where both have a token border and
-where the border is proven stable: no piece of the vocabulary holds another
-character followed by a space, so no merge ever crosses a place where a space
-follows another character, whatever stands around it. If the overlap has no
-such place, it is widened, up to the whole text.
+where the border is proven stable: no piece of the vocabulary holds the
+characters to its left and right side by side, so no merge ever crosses it,
+whatever stands around. In most vocabularies that is so before a space, around
+line breaks and between most characters of scripts written without spaces. If
+the overlap has no such place, as in a long run of one letter, it is widened,
+up to the whole text.
 
 Null counts as an empty text and has 0 tokens. Repeated rows each get their row.
 """
@@ -37,8 +39,10 @@ class SplicedCounter:
         n = self.model.get_piece_size()
         pieces = [self.model.id_to_piece(i) for i in range(n)]
         self.size = np.array([1 if self.model.is_byte(i) else len(p.encode("utf-8")) for i, p in enumerate(pieces)], dtype=np.int64)
-        #: The proof that the splice needs; a vocabulary without it is always encoded whole.
-        self.stable = not any(BAR in p.lstrip(BAR) for i, p in enumerate(pieces) if not (self.model.is_control(i) or self.model.is_byte(i) or self.model.is_unknown(i)))
+        #: The proof that the splice needs: pairs of characters that some piece holds side by side.
+        self.joined = {p[k : k + 2] for i, p in enumerate(pieces) if not (self.model.is_control(i) or self.model.is_byte(i) or self.model.is_unknown(i)) for k in range(len(p) - 1)}
+        #: Without bytes for unknown characters neighbouring ones become one token; such a vocabulary is always encoded whole.
+        self.stable = any(self.model.is_byte(i) for i in range(n))
 
     def borders(self, text: str) -> np.ndarray | None:
         """Byte offsets of the token ends in the text with its leading space; None if offsets don't add up."""
@@ -55,7 +59,7 @@ class SplicedCounter:
         """The last stable place in text[start:b] that is a border of left (encoded from a) and of right (encoded from start)."""
         at = b - 1
         while at > start + 1:
-            if text[at] in " ▁" and text[at - 1] not in " ▁":
+            if text[at - 1 : at + 1].replace(" ", BAR) not in self.joined:
                 for ends, base in ((left, a), (right, start)):
                     x = self.offset(text[base:at])
                     k = np.searchsorted(ends, x)

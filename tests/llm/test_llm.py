@@ -61,6 +61,37 @@ def test_spliced_counts_match_whole_texts(chunk, overlap):
         assert own.count(t) == len(lib.encode(t))
 
 
+def test_texts_without_spaces_are_spliced():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.SplicedCounter(path)
+    r = random.Random(3)
+    kana = "".join(chr(r.randint(0x3041, 0x3096) if r.random() < 0.6 else r.randint(0x4E00, 0x9FA5)) for _ in range(72_000))
+    lines = "\n".join("".join(r.choice("abcdef") for _ in range(9)) for _ in range(7_000))
+    emoji = "🎉é" * 30_000
+
+    class Counting:
+        def __init__(self):
+            self.n = 0
+
+        def encode(self, t):
+            self.n += len(t)
+            return lib.encode(t)
+
+    for t in (kana, lines, emoji, kana[:9000] + "x" * 40_000 + kana[9000:]):
+        want, own.model = len(lib.encode(t)), Counting()
+        assert own.count(t) == want
+        assert own.model.n <= (1.2 if "xxx" not in t else 4) * len(t)
+
+
+def test_token_counts_query(spark, edge, tmp_path):
+    from strandloom.llm import queries
+
+    edge.write.parquet(f"{tmp_path}/documents.parquet")
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = sorted((repr(d), len(t.encode()), len(lib.encode(t)), len(lib.encode(t)) > 4096) for d, t in ((r.doc_id, r.text or "") for r in edge.collect()))
+    assert sorted((repr(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op5_token_counts(spark, str(tmp_path)).collect()) == want
+
+
 def test_token_counts_documents(edge):
     rows = token_counts.token_counts(edge, public_tokenizers.path("piece_bpe_32k.model"), limit=5).collect()
     assert len(rows) == len(EDGE) + 2 and all(r.over_limit == (r.n_tokens > 5) for r in rows)
