@@ -21,6 +21,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -43,11 +44,19 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def record_id(page_id: str | None) -> str:
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def page_of(urn: str) -> str | None:
+    """The page id that a record id was made of."""
+    m = re.fullmatch(r"<urn:page(?::([^>]*))?>", urn)
+    if m is None:
+        raise ValueError(f"not the id of a page: {urn!r}")
+    return None if m[1] is None else unquote(m[1])
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC/1.1 record: a response, or a revisit of refers_to that holds the HTTP header alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if refers_to is None else http
@@ -139,9 +148,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
-def read(data: bytes) -> Iterator[tuple[int | None, int, str, str, int | None]]:
+def read(data: bytes) -> Iterator[tuple[str | None, int, str, str, str | None]]:
     """(page_id, payload_bytes, digest, type, refers_to) of the records of an archive, all checked."""
-    number = lambda urn: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", urn)) else None
     for raw in frames(data):
         h, block = parse(raw)
         http, _, payload = block.partition(b"\r\n\r\n")
@@ -152,19 +160,19 @@ def read(data: bytes) -> Iterator[tuple[int | None, int, str, str, int | None]]:
         if h["warc-type"] == "response":
             if len(payload) != n or payload_digest(payload) != digest:
                 raise ValueError(f"payload of {h['warc-record-id']} doesn't match its headers")
-            yield number(h["warc-record-id"]), n, digest, "response", None
+            yield page_of(h["warc-record-id"]), n, digest, "response", None
         else:
-            yield number(h["warc-record-id"]), n, digest, "revisit", number(h["warc-refers-to"])
+            yield page_of(h["warc-record-id"]), n, digest, "revisit", page_of(h["warc-refers-to"])
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
     """archive binary: the pages' records, dedupe decided, in archives of bounded size."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    own = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
     key = F.concat(F.sha1("payload"), F.xxhash64("payload").cast("string"))
     first = own.select("page_id", key.alias("k")).groupBy("k").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     # payloads with one record need no partner, so only repeated ones are looked up
-    marked = own.withColumn("k", key).join(apart(first), "k", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    marked = own.withColumn("k", key).join(apart(first), "k", "left").select(F.col("page_id").cast("string"), "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id").cast("string")).alias("refers_to"))
 
     def run(batches):
         held, size = [], 0
@@ -183,10 +191,10 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; ids are text."""
     L, S = T.LongType(), T.StringType()
-    schema = T.StructType([T.StructField("page_id", L), T.StructField("payload_bytes", L), T.StructField("payload_digest", S), T.StructField("record_type", S), T.StructField("refers_to", L)])
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    schema = T.StructType([T.StructField("page_id", S), T.StructField("payload_bytes", L), T.StructField("payload_digest", S), T.StructField("record_type", S), T.StructField("refers_to", S)])
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches):
         for batch in batches:
@@ -200,7 +208,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archives of all pages, written to the shared folder and read back."""
-    return read_archives(stored(write_archives(pages), "warc"))
+    kind = pages.schema["page_id"].dataType
+    out = read_archives(stored(write_archives(pages), "warc"))
+    return out.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
 
 
 def oracle() -> str:
