@@ -24,12 +24,14 @@ import json
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strandloom.llm.common import map_texts
+from strandloom.llm.common import map_texts, pieces
 
 #: Entries of a worker's cache; the chunk cache keeps one older generation of as many.
 CACHE = 120_000
@@ -45,8 +47,8 @@ SPACE = regex.compile(r"\p{White_Space}+")
 #: Categories of characters that Unicode versions treat differently: unassigned ones and marks.
 UNSURE = {"Cn", "Mn", "Mc", "Me"}
 END = "</w>"
-#: A stretch of nothing but what the normaliser removes.
-EMPTY = ("", 0, "")
+#: Where a long text may be cut: white space for Python and for the tokenizer.
+BORDER = regex.compile("[ \t\n\r]")
 BASE = -1
 
 
@@ -63,6 +65,52 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+#: The nodes after each symbol, (token, length, fits) of the tokens that end here, and the state's number.
+Node = tuple[dict, list, int]
+
+
+class Batch:
+    """Encoded texts: what each distinct stretch gives, which stretches each row has, and which text each row is of.
+
+    A long text is several rows, cut at white space.
+    """
+
+    def __init__(self, told: list[str], n: np.ndarray, decoded: list[str], at: np.ndarray, rows: np.ndarray, owner: np.ndarray, count: int):
+        on = np.concatenate([[0], np.cumsum(n[at] > 0)])  # a stretch of nothing but what is removed leaves no space
+        self.told, self.n, self.decoded, self.owner, self.count = told, n, decoded, owner, count
+        self.at, self.rows = at[n[at] > 0], on[rows]
+
+    def sizes(self) -> np.ndarray:
+        """Tokens of each text."""
+        ends = np.concatenate([[0], np.cumsum(self.n[self.at])])[self.rows]
+        return np.bincount(self.owner, np.diff(ends), self.count).astype(np.int64)
+
+    def digests(self, parts: list[str]) -> list[str]:
+        """SHA-256 of each text's parts, joined by a space."""
+        lists = pa.ListArray.from_arrays(pa.array(self.rows, pa.int32()), pa.array(parts, pa.string()).take(pa.array(self.at)))
+        joined = pc.binary_join(lists, " ")
+        offsets, data = np.frombuffer(joined.buffers()[1], np.int32), memoryview(joined.buffers()[2] or b"")
+        out, held, last, empty = [], hashlib.sha256(), 0, True
+        for r, k in enumerate(self.owner.tolist()):
+            if k != last:
+                out.append(held.hexdigest())
+                held, last, empty = hashlib.sha256(), k, True
+            a, b = int(offsets[r]), int(offsets[r + 1])
+            if b > a:
+                if not empty:
+                    held.update(b" ")
+                held.update(data[a:b])
+                empty = False
+        return [*out, held.hexdigest()] if self.count else out
+
+    def ids(self) -> pa.ListArray:
+        """Token ids of each text."""
+        flat = np.array(" ".join([t for t in self.told if t]).split(), np.int32)
+        begin, n = (np.cumsum(self.n) - self.n)[self.at], self.n[self.at]
+        where = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.sizes())]), pa.int32()), pa.array(flat[where], pa.int32()))
+
+
 class PrefixBPE:
     """The encoder for one tokenizer file of the word-end BPE kind."""
 
@@ -104,15 +152,18 @@ class PrefixBPE:
                 self._add(keys, i)
         self.link: dict[int, int] = {0: 0}
         self.go: dict[int, int] = {}
-        self.ends: dict[int, list[tuple[int, int]]] = {}
+        self.ends: dict[int, list[tuple[int, int, dict[int, bool]]]] = {}
         self.alone: dict[int, bool] = {}
-        self.fits: dict[int, bool] = {}
+        #: By token: whether it fits behind each left token met.
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
+        self.nodes: dict[int, Node] = {}
         self.words: dict[str, tuple[str, int, str]] = {}
-        self.heads: dict[bytes | None, tuple[int, tuple[int, ...], tuple[int, ...]]] = {}
-        self.blank = [0] * 64
+        self.heads: dict[bytes | None, tuple[Node, tuple[int, ...], tuple[int, ...]]] = {}
         #: Characters met that all Unicode versions treat alike.
         self.sure: set[str] = set()
         self.number = {i: str(i) for i in self.text}
+        self.root = self._node(0)
         self.chunks: dict[str, tuple[str, int, str]] = {}
         self.older: dict[str, tuple[str, int, str]] = {}
 
@@ -148,17 +199,28 @@ class PrefixBPE:
             self.go[key] = to
         return to
 
-    def _ending(self, state: int) -> list[tuple[int, int]]:
-        """(token, length) of the tokens that end in this state and can stand by themselves, longest first."""
+    def _ending(self, state: int) -> list[tuple[int, int, dict[int, bool]]]:
+        """(token, length, fits) of the tokens that end in this state and can stand by themselves, longest first."""
         held = self.ends.get(state)
         if held is None:
             own = self.token[state]
-            held = [(own, self.depth[state])] if own >= 0 and self.whole(own) else []
+            held = [(own, self.depth[state], self.fits.setdefault(own, {}))] if own >= 0 and self.whole(own) else []
             if state:
                 held = held + self._ending(self._suffix(state))
             self.ends[state] = held
         return held
 
+    def _node(self, state: int) -> Node:
+        """A state with the nodes after each symbol met, and what ends in it."""
+        held = self.nodes.get(state)
+        if held is None:
+            held = self.nodes[state] = ({}, self._ending(state), state)
+        return held
+
+    def _next(self, node: Node, symbol: int) -> Node:
+        held = node[0][symbol] = self._node(self._step(node[2], symbol))
+        return held
+
     def compatible(self, left: int, right: int, before: int | None = None) -> bool:
         """Whether left and right, each formed by itself, stay apart when they stand side by side.
 
@@ -197,24 +259,22 @@ class PrefixBPE:
         """Ids of one normalised piece."""
         data = word.encode("utf-8")
         n = len(data)
-        fits, go, ends, head = self.fits, self.go, self.ends, data[:HEAD] if n > HEAD else None
+        head = data[:HEAD] if n > HEAD else None
         held = self.heads.get(head)
         if held is None:
-            state, last, size, end = 0, [0] * n, [0] * n, 0
+            node, last, size, end = self.root, [0] * n, [0] * n, 0
         else:  # a prefix has the same tokens whatever follows it
-            state, last, size = held
-            last, size, end = [*last, *self.blank[: n - HEAD]], [*size, *self.blank[: n - HEAD]], HEAD
-            if n - HEAD > len(self.blank):
-                last, size = last + [0] * (n - len(last)), size + [0] * (n - len(size))
+            node, last, size = held
+            last, size, end = [*last, *([0] * (n - HEAD))], [*size, *([0] * (n - HEAD))], HEAD
         for symbol in data[end:-1]:
-            to = go.get(state << 9 | symbol)
-            state = self._step(state, symbol) if to is None else to
-            for token, length in ends[state] if state in ends else self._ending(state):
+            node = node[0].get(symbol) or self._next(node, symbol)
+            for token, length, fits in node[1]:
                 if end < length:
                     break
-                ok = fits.get(last[end - length] << 20 | token)
+                left = last[end - length]
+                ok = fits.get(left)
                 if ok is None:
-                    ok = self.fit(last[end - length], token)
+                    ok = self.fit(left, token, fits)
                 if ok:
                     break
             last[end], size[end] = token, length
@@ -222,12 +282,17 @@ class PrefixBPE:
             if end == HEAD and head is not None:
                 if len(self.heads) >= CACHE:
                     self.heads.clear()
-                self.heads[head] = state, tuple(last[:HEAD]), tuple(size[:HEAD])
+                self.heads[head] = node, tuple(last[:HEAD]), tuple(size[:HEAD])
         symbol = data[-1] + 256
-        to = go.get(state << 9 | symbol)
-        state = self._step(state, symbol) if to is None else to
-        for token, length in ends[state] if state in ends else self._ending(state):
-            if end < length or self.fit(last[end - length], token):
+        node = node[0].get(symbol) or self._next(node, symbol)
+        for token, length, fits in node[1]:
+            if end < length:
+                break
+            left = last[end - length]
+            ok = fits.get(left)
+            if ok is None:
+                ok = self.fit(left, token, fits)
+            if ok:
                 break
         last[end], size[end] = token, length
         out, at = [], n - 1
@@ -237,14 +302,14 @@ class PrefixBPE:
         out.reverse()
         return out
 
-    def fit(self, left: int, right: int) -> bool:
+    def fit(self, left: int, right: int, fits: dict[int, bool]) -> bool:
         """What compatible says, kept."""
-        pair = left << 20 | right
-        ok = self.fits.get(pair)
-        if ok is None:
-            if len(self.fits) > 2 * CACHE:
-                self.fits.clear()
-            ok = self.fits[pair] = self.compatible(left, right)
+        self.pairs += 1
+        if self.pairs > 4 * CACHE:
+            self.pairs = 0
+            for held in self.fits.values():
+                held.clear()
+        ok = fits[left] = self.compatible(left, right)
         return ok
 
     def pieces(self, chunk: str) -> list[str]:
@@ -278,32 +343,48 @@ class PrefixBPE:
             return out[0]
         return " ".join([x[0] for x in out]), sum([x[1] for x in out]), " ".join([x[2] for x in out])
 
-    def spans(self, text: str) -> list[tuple[str, int, str]]:
-        out, chunks = [], self.chunks
-        for k, part in enumerate(self.added_at.split(text) if self.added_at and "<|" in text else [text]):
-            if k % 2:
-                i = self.added[part]
-                out.append((str(i), 1, part))
-                continue
-            own = SPACE.split(part) if NOT_SPACE.search(part) else part.split()
-            found = list(map(chunks.get, own))
-            if None in found:
-                for k2, got in enumerate(found):
-                    if got is None:
-                        c = own[k2]
-                        got = chunks.get(c) or self.older.get(c) or self.chunk(c)
-                        found[k2] = got
-                        if len(c) <= 64:
-                            if len(chunks) >= CACHE:
-                                self.older, self.chunks = chunks, {}
-                                chunks = self.chunks
-                            chunks[c] = got
-            out += [x for x in found if x[1]] if len(own) and EMPTY in found else found
+    def stretches(self, text: str) -> list[str]:
+        """The stretches of a text without white space; an added token is one with a space before it."""
+        if not (self.added_at and "<|" in text):
+            return SPACE.split(text) if NOT_SPACE.search(text) else text.split()
+        out = []
+        for k, part in enumerate(self.added_at.split(text)):
+            out += [" " + part] if k % 2 else SPACE.split(part) if NOT_SPACE.search(part) else part.split()
         return out
 
+    def look(self, stretch: str) -> tuple[str, int, str]:
+        """Ids as text, their number and decoded text of a stretch."""
+        got = self.chunks.get(stretch)
+        if got is None:
+            if stretch[:1] == " ":
+                return str(self.added[stretch[1:]]), 1, stretch[1:]
+            got = self.older.get(stretch) or self.chunk(stretch)
+            if len(stretch) <= 64:
+                if len(self.chunks) >= CACHE:
+                    self.older, self.chunks = self.chunks, {}
+                self.chunks[stretch] = got
+        return got
+
+    def spans(self, text: str) -> list[tuple[str, int, str]]:
+        return [x for x in map(self.look, self.stretches(text)) if x[1]]
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for s in self.spans(text) for i in s[0].split(" ")]
 
+    def batch(self, texts: list[str]) -> Batch:
+        """All of some texts at once: each stretch that they share is looked up once."""
+        each: list[str] = []
+        rows, owner = [0], []
+        for k, t in enumerate(texts):
+            for _, piece in pieces(t, BORDER):
+                each += self.stretches(piece)
+                rows.append(len(each))
+                owner.append(k)
+        held = pa.array(each, pa.string()).dictionary_encode()
+        del each
+        got = [self.look(x) for x in held.dictionary.to_pylist()]
+        return Batch([x[0] for x in got], np.array([x[1] for x in got], np.int64), [x[2] for x in got], held.indices.to_numpy(), np.array(rows), np.array(owner, np.int64), len(texts))
+
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder step, so token strings are joined by one space; unknown ids are left out."""
         held = self.text
@@ -321,19 +402,11 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     schema = T.StructType([*ids, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def factory():
-        bpe, sha = encoder(path), hashlib.sha256
+        bpe = encoder(path)
 
         def work(texts):
-            arrays, n, a, b = [], [], [], []
-            for t in texts:
-                s = bpe.spans(t)
-                told = " ".join([x[0] for x in s])
-                n.append(sum([x[1] for x in s]))
-                a.append(sha(told.encode()).hexdigest())
-                b.append(sha(" ".join([x[2] for x in s]).encode()).hexdigest())
-                if with_ids:  # four bytes an id, not a Python number each
-                    arrays.append(np.array(told.split(), dtype=np.int32))
-            return [arrays, n, a, b] if with_ids else [n, a, b]
+            b = bpe.batch(texts)
+            return [*([b.ids()] if with_ids else []), pa.array(b.sizes()), b.digests(b.told), b.digests(b.decoded)]
 
         return work
 

@@ -80,7 +80,7 @@ def text_batches(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, lis
 
 
 def map_texts(docs: DataFrame, factory: Callable[[], Callable[[list[str]], list[list]]], schema: T.StructType, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: the key and the columns that factory()(texts) returns; other columns of docs are not read."""
+    """One row per document: the key and the columns, lists or Arrow arrays, that factory()(texts) returns; other columns of docs are not read."""
     kind = docs.schema[key].dataType
     full = T.StructType([T.StructField(key, kind), *schema.fields])
     names = full.fieldNames()
@@ -92,7 +92,7 @@ def map_texts(docs: DataFrame, factory: Callable[[], Callable[[list[str]], list[
         types = [f.type for f in to_arrow_schema(full)]
         for batch in batches:
             for ids, texts in text_batches(batch.column(0), batch.column(1)):
-                yield pa.RecordBatch.from_arrays([ids.cast(types[0]), *(pa.array(c, type=t) for c, t in zip(work(texts), types[1:], strict=True))], names=names)
+                yield pa.RecordBatch.from_arrays([ids.cast(types[0]), *(c.cast(t) if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(work(texts), types[1:], strict=True))], names=names)
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, full)
 

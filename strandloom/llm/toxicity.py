@@ -62,7 +62,8 @@ def beginnings(word: str) -> list[str]:
 
 def forms(word: str) -> tuple[int, int, int]:
     """Buckets of a word's first four and five letters and of its first and last two."""
-    return tuple(zlib.crc32(x.encode("utf-8", "replace")) % FORMS for x in (f"4|{word[:4]}", f"5|{word[:5]}", f"{word[:2]}|{word[-2:]}"))
+    crc, mask = zlib.crc32, FORMS - 1
+    return crc(word[:4].encode("utf-8", "replace"), 4) & mask, crc(word[:5].encode("utf-8", "replace"), 5) & mask, crc((word[:2] + "|" + word[-2:]).encode("utf-8", "replace")) & mask
 
 
 def transfers(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -246,20 +247,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 class Tagger:
     def __init__(self, model: Model):
-        self.model, self.held = model, {}
+        self.model, self.word, self.form = model, model.word.tolist(), model.form.tolist()
+        self.held: dict[str, float] = {}
 
     def weights(self, words: list[str]) -> list[float]:
-        held, out = self.held, []
-        for w in words:
-            got = held.get(w)
-            if got is None:
-                m = self.model
-                got = float(m.word[m.vocabulary.get(w, 0)] + m.form[list(forms(w))].sum())
-                if len(w) <= 64:
-                    if len(held) >= CACHE:
-                        held.clear()
-                    held[w] = got
-            out.append(got)
+        out = list(map(self.held.get, words))
+        if None in out:
+            number, word, form = self.model.vocabulary.get, self.word, self.form
+            for k, got in enumerate(out):
+                if got is None:
+                    w = words[k]
+                    a, b, c = forms(w)
+                    out[k] = got = word[number(w, 0)] + form[a] + form[b] + form[c]
+                    if len(w) <= 64:
+                        if len(self.held) >= CACHE:
+                            self.held.clear()
+                        self.held[w] = got
         return out
 
     def tag(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -292,10 +295,15 @@ class Tagger:
 
     def spans(self, texts: list[str], p: np.ndarray, lengths: np.ndarray) -> list[list[list[int]]]:
         """[start, end] in code points of the runs of tokens with a marginal over a half."""
+        if not (p > 0.5).any():
+            return [[] for _ in texts]
         out = []
         for t, a, n in zip(texts, (np.cumsum(lengths) - lengths).tolist(), lengths.tolist(), strict=True):
             on = np.flatnonzero(p[a : a + n] > 0.5)
             own: list[list[int]] = []
+            if not len(on):
+                out.append(own)
+                continue
             for k, joined, (x, y) in zip(on.tolist(), np.diff(on, prepend=-2) == 1, self.places(t, on), strict=True):
                 if joined:
                     own[-1][1] = y

@@ -46,6 +46,27 @@ def test_bpe_matches_the_library():
         assert got == want and own.decode(got) == lib.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("size", [1 << 20, 7])
+def test_bpe_query_matches_the_library(spark, tmp_path, monkeypatch, size):
+    from strandloom.llm import queries
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    lib.no_padding()
+    lib.no_truncation()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    own = [*texts(), "\u0300 a", "a \u200d b", "<|endoftext|> x<|endoftext|>", " "]
+    want = [(ids, sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))) for ids in (lib.encode(t, add_special_tokens=False).ids for t in own)]
+    monkeypatch.setattr(bpe, "pieces", lambda t, b: common.pieces(t, b, size))
+    b = bpe.encoder(path).batch(own)
+    assert b.ids().to_pylist() == [w[0] for w in want] and b.sizes().tolist() == [len(w[0]) for w in want]
+    assert list(zip(b.digests(b.told), b.digests(b.decoded), strict=True)) == [w[1:] for w in want]
+    assert bpe.encoder(path).batch([]).ids().to_pylist() == []
+    spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op1_bpe(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(w[0]), *w[1:]) for k, w in enumerate(want)}
+
+
 def test_bpe_documents(spark, edge):
     rows = bpe.encode_documents(edge, public_tokenizers.path("word_bpe_49k.json")).collect()
     assert len(rows) == len(EDGE) + 2
