@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from strandloom.llm.common import map_texts, pieces
 
 #: Entries of a worker's cache; the chunk cache keeps one older generation of as many.
-CACHE = 120_000
+CACHE = 100_000
 
 #: Bytes of the prefix of a word whose tokens are kept.
 HEAD = 5
@@ -280,7 +280,7 @@ class PrefixBPE:
             last[end], size[end] = token, length
             end += 1
             if end == HEAD and head is not None:
-                if len(self.heads) >= CACHE:
+                if len(self.heads) >= CACHE // 4:
                     self.heads.clear()
                 self.heads[head] = node, tuple(last[:HEAD]), tuple(size[:HEAD])
         symbol = data[-1] + 256

@@ -98,15 +98,17 @@ class Index:
         """win_id, doc_id, h, start, len: every occurrence of every window."""
         term = lambda k, what: F.try_element_at("terms", F.lit(k))[what]
         rarest = self.windows.select("win_id", F.size("win").alias("len"), term(1, "term").alias("term"), term(1, "off").alias("off"), term(2, "term").alias("term2"), term(2, "off").alias("off2"))
-        begun = self.short.join(rarest, "term").select("win_id", "doc_id", "h", (F.col("at") - F.col("off")).alias("start"), "len", "term2", "off2").where("start >= 0")
-        second = named(self.short)
-        here = lambda word, off: F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col(word) == F.col("word")) & (F.col("start") + F.col(off) == F.col("place"))
-        met = begun.where("len > 1").join(second, here("term2", "off2"), "left_semi").unionByName(begun.where("len = 1"))
-        two = stored(met.select("win_id", "doc_id", "h", "start", "len").distinct(), "decontamination-two-terms")
+        begun = self.short.join(rarest, "term").where("at >= off")
+        here = lambda word, place: F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col(word) == F.col("word")) & (F.col(place) == F.col("place"))
+        # a row is sent with the place where the second term must stand; the beginning follows from it
+        sent = begun.where("len > 1").select("win_id", "doc_id", "h", F.expr("at - off + off2").alias("second"), "term2")
+        met = sent.join(named(self.short), here("term2", "second"), "left_semi").join(rarest.select("win_id", "off2", "len"), "win_id").select("win_id", "doc_id", "h", F.expr("second - off2").alias("start"), "len")
+        both = met.unionByName(begun.where("len = 1").select("win_id", "doc_id", "h", F.expr("at - off").alias("start"), "len"))
+        two = stored(both.distinct(), "decontamination-two-terms")
         others = self.windows.select("win_id", F.explode(F.expr("slice(terms, 3, size(terms))")).alias("t")).select("win_id", "t.off", "t.term")
         left = stored(two.select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct(), "decontamination-left")
         lists = named(self.lists().join(left, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left_semi"))
-        more = two.where("len > 2").join(others, "win_id").join(lists, here("term", "off"), "left_semi")
+        more = two.where("len > 2").join(others, "win_id").withColumn("wanted", F.expr("start + off")).join(lists, here("term", "wanted"), "left_semi")
         whole = more.groupBy("win_id", "doc_id", "h", "start", "len").agg(F.count("*").alias("n")).where("n = len - 2").drop("n")
         return whole.unionByName(two.where("len <= 2"))
 

@@ -287,7 +287,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     names = [F.col("doc_id").alias(d), F.col("h").alias(t)]
     match = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t))
     drop = stored(join_hot(rooted, least, ["root"]).where(~keeps).select(*names).distinct(), "simhash-drop")
-    kept = docs.withColumn(h, F.md5(F.coalesce("text", F.lit("")))).join(drop, match, "left_anti")
+    # the texts are dealt by hash at any size: no sort, and the same plan for few and many dropped rows
+    kept = docs.withColumn(h, F.md5(F.coalesce("text", F.lit("")))).join(drop.hint("shuffle_hash"), match, "left_anti")
     twice = stored(rooted.groupBy("doc_id", "h").count().where("count > 1").select(*names), "simhash-repeated")
     if twice.isEmpty():
         return kept.select(*docs.columns)
