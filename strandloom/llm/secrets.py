@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import map_texts
+from strandloom.llm.common import free, map_texts
 
 #: The base patterns, the group and the least length that a match needs.
 KINDS = ("assign", "access", "hex")
@@ -368,7 +368,8 @@ def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     def redact(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else redacted(t, mark))
 
-    out = docs.withColumn("__text", redact("text"))
+    new = free(docs, "redacted")
+    out = docs.withColumn(new, redact("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__text") == F.col("text"), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("text", F.col("__text")).drop("__text").select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(new) == F.col("text"), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("text", F.col(new)).select(*docs.columns)
