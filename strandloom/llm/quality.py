@@ -30,7 +30,7 @@ from strandloom.llm.common import fold, labelled_sample, map_texts, pieces
 BUCKETS, DIM, NGRAMS = 1 << 17, 12, (3, 4)
 PER_CLASS, MAX_CHARS, EPOCHS, RATE = 1200, 12_000, 12, 1.2
 THRESHOLD = 0.3
-CACHE = 100_000
+CACHE = 200_000
 MASK = BUCKETS - 1
 SPACE = re.compile(r"\s")
 #: How often a pair of words counts beside the n-grams of its words.
