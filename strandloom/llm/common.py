@@ -53,15 +53,16 @@ def join_hot(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "lef
     return often.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(apart(other), keys, how))
 
 
-def pieces(text: str, border: re.Pattern, size: int = BATCH_CHARS) -> Iterator[tuple[int, str]]:
-    """(start, piece) of a text, cut before the first border after so many characters; without a border it goes on."""
+def pieces(text: str, border: re.Pattern, size: int = BATCH_CHARS, most: int | None = None) -> Iterator[tuple[int, str]]:
+    """(start, piece) of a text, cut before the first border after so many characters; without a border it goes on, or is cut after `most` characters."""
     at = 0
     while len(text) - at > size:
-        m = border.search(text, at + size)
-        if m is None:
+        m = border.search(text, at + size, len(text) if most is None else at + most)
+        if m is None and (most is None or len(text) - at <= most):
             break
-        yield at, text[at : m.start()]
-        at = m.start()
+        end = at + most if m is None else m.start()
+        yield at, text[at:end]
+        at = end
     yield at, text[at:] if at else text
 
 

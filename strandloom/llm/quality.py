@@ -8,16 +8,18 @@ Vectors and weights are trained by stochastic gradient descent in numpy on a
 bounded, class-balanced sample of labelled documents (PER_CLASS of each class,
 at most MAX_CHARS characters each); the classes' shares among all labels that
 may be learnt from then set the offset. As the score is linear in the average,
-each bucket's part of it is worked out once, and scoring sums over words.
+each bucket's part of it is worked out once, and scoring adds up parts.
 
 Null and empty texts have no words and get the score of the classes' shares.
 Without labels of both classes the score is 0.5 for all. Repeated rows each
-get their row. A word of any length is cut into n-grams whole.
+get their row. A text of over BATCH_CHARS characters is summed over stretches
+cut at white space, or after twice as many characters without any; a pair of
+words over a cut isn't counted.
 """
 
 import math
 import re
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,57 +27,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import fold, labelled_sample, map_texts, pieces
+from strandloom.llm.common import BATCH_CHARS, fold, labelled_sample, map_texts, pieces
 
-BUCKETS, DIM, NGRAMS = 1 << 17, 12, (3, 4)
+BITS, DIM = 17, 12
+BUCKETS = 1 << BITS
 PER_CLASS, MAX_CHARS, EPOCHS, RATE = 1200, 12_000, 12, 1.2
 THRESHOLD = 0.3
-CACHE = 200_000
-MASK = BUCKETS - 1
 SPACE = re.compile(r"\s")
 #: How often a pair of words counts beside the n-grams of its words.
 PAIR_COUNT = 24
-
-
-def buckets(word: str) -> list[int]:
-    """Buckets of a word and of the character n-grams of <word>."""
-    w, crc, mask = f"<{word}>", zlib.crc32, MASK
-    out = [crc(w.encode("utf-8", "replace")) & mask]
-    for n in NGRAMS:
-        out += [crc(w[k : k + n].encode("utf-8", "replace"), n) & mask for k in range(len(w) - n + 1)]
-    return out
-
-
-def kind(word: str) -> int:
-    """A number for a word's length, up to 31, and its first letter."""
-    return min(len(word), 31) << 7 ^ zlib.crc32(word[:1].encode("utf-8", "replace")) & 0xFFF
-
-
-def pair(a: int, b: int) -> int:
-    """The bucket of two neighbouring words of these kinds."""
-    return (a * 40_503 + b * 30_011 + 7) & MASK
+#: Characters whose features are worked out together.
+STRETCH = 1 << 18
+#: Odd factors of the places of an n-gram, of the characters of a word, and of the last mixing.
+PLACES = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
+POWER, MIX = 0x01000193, np.uint32(0x2C1B3C6D)
+
+
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """Buckets of 32-bit numbers."""
+    x = x + np.uint32(salt)
+    x ^= x >> 15
+    x *= MIX
+    x ^= x >> 13
+    x *= PLACES[0]
+    return x >> (32 - BITS)
+
+
+def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bucket, number of its text, count) of all words, n-grams of three and four characters of " word ", and pairs."""
+    spaced = [" ".join(["", *t.split(), ""]) for t in texts]
+    c = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), np.uint32)
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(s) for s in spaced])
+    full = c != 32
+    start = np.flatnonzero(full[1:] & ~full[:-1]) + 1
+    if not len(start):
+        return
+    end = np.flatnonzero(full[:-1] & ~full[1:]) + 1
+    # a word is a polynomial of its characters, whatever its place
+    up, down = (np.multiply.accumulate(np.full(len(c), f, np.uint32), dtype=np.uint32) for f in (POWER, pow(POWER, -1, 1 << 32)))
+    upto = np.cumsum(c * up, dtype=np.uint32)
+    of = text[start]
+    yield mixed((upto[end - 1] - upto[start - 1]) * down[start], 1), of, 1
+    a, b, d, e = (c * f for f in PLACES)
+    three = a[:-2] + b[1:-1] + d[2:]
+    inner = full[1:-1]
+    yield mixed(three[inner], 3), text[1:-1][inner], 1
+    inner = full[1:-2] & full[2:-1]
+    yield mixed((three[:-1] + e[3:])[inner], 4), text[1:-2][inner], 1
+    kind = np.minimum(end - start, 31).astype(np.uint32) << 21 ^ c[start]
+    near = of[1:] == of[:-1]
+    yield mixed((kind[:-1] * PLACES[1] + kind[1:] * PLACES[2])[near], 2), of[1:][near], PAIR_COUNT
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and the share of each."""
+    n = np.zeros(BUCKETS, np.float32)
+    for bucket, _, count in features([text]):
+        n += count * np.bincount(bucket, minlength=BUCKETS).astype(np.float32)
+    own = np.flatnonzero(n)
+    return own, n[own] / max(1.0, float(n.sum()))
 
 
 def train(sample: list[tuple[str, int]], share: float | None, seed: int = 7) -> tuple[np.ndarray, float]:
     """(part of the logit by bucket, offset). share: the share of class 1 among all labels."""
     if share is None or len({y for _, y in sample}) < 2:
-        return np.zeros(BUCKETS, np.float32), 0.0
-    held: dict[str, list[int]] = {}
-    docs = []
-    for text, y in sample:
-        ids: list[int] = []
-        last = None
-        for w in text.split():
-            b = held.get(w)
-            if b is None:
-                b = held[w] = buckets(w)
-            ids += b
-            if last is not None:
-                ids += [pair(kind(last), kind(w))] * PAIR_COUNT
-            last = w
-        if ids:
-            u, n = np.unique(np.array(ids, np.int32), return_counts=True)
-            docs.append((u, (n / len(ids)).astype(np.float32), y))
+        return np.zeros(BUCKETS), 0.0
+    docs = [(*counted(text), y) for text, y in sample]
+    docs = [d for d in docs if len(d[0])]
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, b = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -98,7 +116,7 @@ def train(sample: list[tuple[str, int]], share: float | None, seed: int = 7) ->
             step += 1
     ones = sum(y for _, y in sample) / len(sample)
     offset = float(b[1] - b[0]) + math.log(share / (1 - share)) - math.log(ones / (1 - ones))
-    return e @ (w[:, 1] - w[:, 0]), offset
+    return (e @ (w[:, 1] - w[:, 0])).astype(np.float64), offset
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -108,30 +126,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
 
 class Scorer:
+    """Scores of texts, the same however they are dealt over calls."""
+
     def __init__(self, part: np.ndarray, offset: float):
-        self.part, self.offset, self.words = part.tolist(), offset, {}
-
-    def __call__(self, text: str) -> float:
-        words, part, last = self.words, self.part, None
-        total, n, pairs, count = 0.0, 0, 0.0, 0
-        for _, piece in pieces(text, SPACE):
-            for w in piece.split():
-                got = words.get(w)
-                if got is None:
-                    b = buckets(w)
-                    got = sum([part[k] for k in b]), len(b), kind(w) * 30_011 + 7, kind(w) * 40_503
-                    if len(w) <= 64:
-                        if len(words) >= CACHE:
-                            words.clear()
-                        words[w] = got
-                total += got[0]
-                n += got[1]
-                if last is not None:
-                    pairs += part[last + got[2] & MASK]
-                    count += PAIR_COUNT
-                last = got[3]
-        z = self.offset + ((total + PAIR_COUNT * pairs) / (n + count) if n else 0.0)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        self.part, self.offset = part, offset
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        held: list[str] = []
+        numbers: list[int] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for _, piece in pieces(text, SPACE, most=2 * BATCH_CHARS):
+                held.append(piece)
+                numbers.append(k)
+                size += len(piece)
+                if size >= STRETCH:
+                    self.add(held, numbers, total, count)
+                    held, numbers, size = [], [], 0
+        if held:
+            self.add(held, numbers, total, count)
+        z = self.offset + total / np.maximum(count, 1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def add(self, held: list[str], numbers: list[int], total: np.ndarray, count: np.ndarray) -> None:
+        for bucket, of, times in features(held):
+            np.add.at(total, numbers, times * np.bincount(of, self.part[bucket], len(held)))
+            np.add.at(count, numbers, times * np.bincount(of, minlength=len(held)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
@@ -141,7 +162,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None =
 
     def factory():
         s = Scorer(*model.value)
-        return lambda texts: [[s(t) for t in texts]]
+        return lambda texts: [s(texts).tolist()]
 
     scored = map_texts(docs, factory, T.StructType([T.StructField("score", T.DoubleType())]))
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -157,6 +178,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         s = Scorer(*model.value)
         for batch in batches:
             texts = batch.column(at)
-            yield batch.filter(pa.array([s(texts[k].as_py() or "") >= THRESHOLD for k in range(len(texts))], pa.bool_()))
+            yield batch.filter(pa.array(s([t or "" for t in texts.to_pylist()]) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -581,11 +581,42 @@ def test_quality_matches_a_plain_average():
     r = random.Random(6)
     sample = [(" ".join(w for x in [r.choice(["alpha", "beta", "gamma", "of"])] for w in ([x] if k % 2 else [x, x]) for _ in range(1)) + " " + " ".join(r.choice("one two three four".split()) for _ in range(9)), k % 2) for k in range(80)]
     part, offset = quality.train(sample, 0.4)
-    for t in ["", "alpha", "alpha alpha beta", "x" * 5000 + " of\tof ", " ".join(r.choice(["one", "ñ", "zwei"]) for _ in range(500))]:
-        w = t.split()
-        ids = [b for x in w for b in quality.buckets(x)] + [quality.pair(quality.kind(a), quality.kind(b)) for a, b in zip(w, w[1:], strict=False) for _ in range(quality.PAIR_COUNT)]
+    texts = ["", "alpha", "alpha alpha beta", "x" * 5000 + " of\tof ", "a \U0001f600 \ud800b", " ".join(r.choice(["one", "ñ", "zwei"]) for _ in range(500))]
+    for t in texts:
+        ids = plain_buckets(t.split())
         z = offset + (float(np.mean(part[ids])) if ids else 0.0)
-        assert abs(quality.Scorer(part, offset)(t) - 1 / (1 + np.exp(-z))) < 1e-6
+        assert abs(quality.Scorer(part, offset)([t])[0] - 1 / (1 + np.exp(-z))) < 1e-6
+    together = quality.Scorer(part, offset)(texts * 3).tolist()
+    assert together == [quality.Scorer(part, offset)([t])[0] for t in texts] * 3
+
+
+def plain_buckets(words):
+    low = (1 << 32) - 1
+
+    def mixed(x, salt):
+        x = x + salt & low
+        x = (x ^ x >> 15) * 0x2C1B3C6D & low
+        return ((x ^ x >> 13) * 0x9E3779B1 & low) >> 15
+
+    places = [0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F]
+    out = []
+    for w in words:
+        out.append(mixed(sum(ord(c) * pow(0x01000193, k, 1 << 32) for k, c in enumerate(w)), 1))
+        spaced = f" {w} "
+        for n in (3, 4):
+            out += [mixed(sum(ord(c) * f for c, f in zip(spaced[k : k + n], places, strict=False)), n) for k in range(len(spaced) - n + 1)]
+    kinds = [min(len(w), 31) << 21 ^ ord(w[0]) for w in words]
+    for a, b in zip(kinds, kinds[1:], strict=False):
+        out += [mixed(a * places[1] + b * places[2], 2)] * quality.PAIR_COUNT
+    return out
+
+
+def test_quality_of_texts_longer_than_a_stretch():
+    part = np.random.default_rng(1).normal(size=quality.BUCKETS)
+    score = quality.Scorer(part, 0.1)
+    spaced, solid = "neat words " * 150_000, "x" * 4_500_000
+    assert np.array_equal(score(["a b", spaced, solid, "c"]), np.concatenate([score([t]) for t in ("a b", spaced, solid, "c")]))
+    assert abs(score([spaced])[0] - score(["neat words " * 500])[0]) < 0.02
 
 
 def test_marginals_match_one_pass():
