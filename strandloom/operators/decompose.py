@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +28,21 @@ def spread(reads: DataFrame) -> DataFrame:
     return reads.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def decompose(reads: DataFrame, opts: Options = Options(), key: str = "read_id") -> DataFrame:  # noqa: B008
+def decompose(reads: DataFrame, opts: Options = Options(), key: str = "read_id", further: str | None = None) -> DataFrame:  # noqa: B008
     """key and the decomposition of every read (column seq) that some unit explains; other reads give no row.
 
     Null and empty reads give no row. Letters other than ACGT fail or are
     dropped by opts.on_invalid. clipped_ratio is the share of bases that no
     alignment touches. opts.labels adds labels: the prio of the unit at each
-    base, -1 where it has none.
+    base, -1 where it has none. further: a column with an array of more
+    candidate units of 20 bases and more for the read itself, or null.
     """
     fields = FIELDS + [("labels", T.ArrayType(T.IntegerType()))] * opts.labels
     schema = T.StructType([T.StructField(key, reads.schema[key].dataType), *(T.StructField(n, t) for n, t in fields)])
     seq = F.upper("seq")
+    more = [] if further is None else [further]
     good = dna.valid(seq) & (F.lit(True) if opts.max_read is None else F.length(seq) <= opts.max_read)
-    own = spread(reads.select(key, "seq")).where(F.length("seq") > 0).select(F.col(key), seq.alias("seq"))
+    own = spread(reads.select(key, "seq", *more)).where(F.length("seq") > 0).select(F.col(key), seq.alias("seq"), *more)
     own = own.where(good) if opts.on_invalid == "drop" else own.withColumn("seq", F.when(good, F.col("seq")).otherwise(F.raise_error(F.lit("a read has letters other than A, C, G, T, or is too long")).cast("string")))
 
     def run(found):
@@ -52,7 +52,7 @@ def decompose(reads: DataFrame, opts: Options = Options(), key: str = "read_id")
         for batch in found:
             ids, seqs = batch.column(0), batch.column(1).to_pylist()
             rows, at = [], []
-            for k, r in enumerate(kernel(seqs, opts)):
+            for k, r in enumerate(kernel(seqs, opts, batch.column(2).to_pylist() if more else None)):
                 if r is None:
                     continue
                 n = r.length
@@ -82,17 +82,6 @@ def global_units(results: DataFrame, key: str = "read_id") -> DataFrame:
     return own.groupBy("canon").agg(F.count("*").alias("freq"))
 
 
-def with_library(reads: DataFrame, opts: Options = Options(), key: str = "read_id", least_reads: int = 2) -> DataFrame:  # noqa: B008
-    """Decomposition with a library: the units that a first pass finds in at least `least_reads` reads are candidates of every read in a second one.
-
-    All such units are, so the result does not depend on the order of the
-    reads. The library reaches every task as a whole.
-    """
-    first = global_units(decompose(reads, opts, key), key).where(F.col("freq") >= least_reads)
-    found = [r.canon for r in first.orderBy(F.desc("freq"), "canon").select("canon").collect()]
-    return decompose(reads, replace(opts, units=(*opts.units, *found)), key)
-
-
 def add_haplotypes(results: DataFrame, haps: DataFrame) -> DataFrame:
     """results (sample_id, read_name) with hap, the first line of haps for the sample and the read's number; null without one."""
     first = haps.groupBy("sample_id", "read_no").agg(F.min_by("pair_haps", "ord").alias("hap"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import dna
 from strandloom.operators import blocks, evaluate, report, units
-from strandloom.operators.decompose import add_haplotypes, decompose, global_units, unit_rows, with_library
+from strandloom.operators.decompose import add_haplotypes, decompose, global_units, unit_rows
+from strandloom.operators.library import with_library
 from strandloom.plans.options import Options
 from strandloom.plans import published
 from strandloom.sources import text as sources

@@ -6,7 +6,8 @@ import pytest
 from strandloom.__main__ import main
 from strandloom.functions import kernel, long_units
 from strandloom.operators import report
-from strandloom.operators.decompose import decompose, global_units, with_library
+from strandloom.operators.decompose import decompose, global_units
+from strandloom.operators.library import with_library
 from strandloom.plans.options import Options
 
 UNIT = "ACGGTTACCATGCAATCGGATTC"
@@ -94,18 +95,28 @@ def test_library(spark):
     assert with_library(reads.where("read_id > 9")).collect() == []
 
 
-def test_library_has_no_limit(spark, monkeypatch):
-    import itertools
+def test_library_gives_each_read_the_best_of_all_blocks(spark):
+    """Against one pass with the whole library: the same long units, whatever the block."""
+    rnd = random.Random(5)
+    units = ["".join(rnd.choice("ACGT") for _ in range(20)) for _ in range(4)]
+    rows = [(3 * k + n, u * 6 if n < 2 else noisy(rnd, u * 6, 0.12)) for k, u in enumerate(units) for n in range(3)]
+    rows += [(50, "acgtt" * 5), (51, "ACGTT" * 7), (52, "GTTACCCGA"), (None, units[0] * 3), (None, ""), (53, None)]
+    reads = spark.createDataFrame(rows, "read_id long, seq string")
+    whole = {r.read_id: r.pattern for r in with_library(reads).collect()}
+    assert whole == {r.read_id: r.pattern for r in with_library(reads, block=1).collect()}
+    library = tuple(r.canon for r in global_units(decompose(reads.where("read_id IS NOT NULL"))).where("freq > 1 AND length(canon) >= 20").collect())
+    assert len(library) >= 4 and set(whole) >= {*range(12), 50, 51, None}
+    together = {r.read_id: r.pattern for r in decompose(reads.where("read_id < 12"), Options(units=library)).collect()}
+    assert {k: whole[k] for k in range(12)} == together
 
-    from strandloom.operators import decompose as module
 
-    units = [u for u in map("".join, itertools.product("ACGT", repeat=4)) if u == min(u[k:] + u[:k] for k in range(4)) and u[:2] != u[2:]]
-    units += [u for u in map("".join, itertools.product("ACGT", repeat=5)) if u == min(u[k:] + u[:k] for k in range(5)) and len(set(u)) > 1]
-    reads = spark.createDataFrame([(2 * k + n, u * 8) for k, u in enumerate(units[:140]) for n in (0, 1)], "read_id long, seq string")
-    real, given = module.decompose, []
-    monkeypatch.setattr(module, "decompose", lambda r, opts, key: given.append(opts.units) or real(r, opts, key))
-    with_library(reads)
-    assert given[0] == () and len(given[1]) > 100 and set(given[1]) == {r.canon for r in global_units(real(reads)).where("freq > 1").collect()}
+def test_short_units_of_a_library_change_nothing(spark):
+    rows = [(1, "ACGTT" * 5), (2, "CGTTA" * 6), (3, "GGACGTTCC"), (4, "GACGTTCCACGTTG"), (5, "GGTTCC"), (6, "AACCAACC")]
+    reads = spark.createDataFrame(rows, "read_id long, seq string")
+    got, alone = with_library(reads).collect(), decompose(reads).collect()
+    assert sorted(got) == sorted(alone)
+    together = decompose(reads, Options(units=tuple(r.canon for r in global_units(decompose(reads)).collect()))).collect()
+    assert {(r.read_id, r.discrepancy_ratio) for r in got} == {(r.read_id, r.discrepancy_ratio) for r in together}
 
 
 def test_lines(spark, tmp_path):
