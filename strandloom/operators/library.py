@@ -24,7 +24,8 @@ def with_library(reads: DataFrame, opts: Options = Options(), key: str = "read_i
 
     A unit of under LONG bases pays off only where it stands twice, and the read
     has it as a candidate of its own then; so the library holds units of LONG
-    bases and more, which occur with errors. Blocks of them are weighed against
+    bases and more, which occur with errors (opts.long_mode, which also takes
+    units that don't pay off, gets no short ones from other reads). Blocks of them are weighed against
     all reads, and each read gets the opts.top_units best ones. Neither the
     order of the reads nor the size of a block matters, and no task and no
     driver holds the library as a whole. Rows that share a key stay apart; null
