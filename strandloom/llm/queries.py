@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import bpe, decontamination, media, quality, secrets, sharding, simhash, token_counts, toxicity, warc
+from strandloom.llm import alignment, bpe, conversation_trie, decontamination, media, quality, secrets, sharding, simhash, substring_dedup, token_counts, toxicity, warc
 
 #: Production parameters: the vocabulary files and a shard's bytes of text.
-WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_BPE, PIECE_BPE, BYTE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 SHARD_BYTES = 1 << 20
 
 
@@ -56,5 +56,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_decontamination, op4_toxicity, op5_token_counts, op6_media, op7_simhash, op8_warc, op9_quality, op10_secrets)}
-ORACLES = {"op2_sharding": sharding.oracle(SHARD_BYTES), "op3_decontamination": decontamination.oracle(), "op8_warc": warc.oracle()}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(conversation_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_decontamination, op4_toxicity, op5_token_counts, op6_media, op7_simhash, op8_warc, op9_quality, op10_secrets, op11_alignment, op12_substring_dedup, op13_conversation_trie)}
+ORACLES = {"op2_sharding": sharding.oracle(SHARD_BYTES), "op3_decontamination": decontamination.oracle(), "op8_warc": warc.oracle(), "op12_substring_dedup": substring_dedup.oracle(), "op13_conversation_trie": conversation_trie.oracle()}
