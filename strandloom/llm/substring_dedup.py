@@ -11,8 +11,9 @@ Every window is counted. Each task first works through chunks of documents:
 only the smallest id of a chunk that holds a hash is a question for the others,
 so a window found everywhere is shuffled once a chunk and not once a place; the
 rest is decided on the spot. Questions travel as packed arrays, one row a chunk
-and part of the hashes. Windows to go come back as their places by document,
-where neighbours merge into maximal intervals.
+and part of the hashes, and so do the answers. Those to a chunk meet what it
+decided itself, and neighbouring windows of a document merge into maximal
+intervals.
 
 Null texts have no words. A null doc_id counts as larger than all others; of
 equal ids none is smaller, also in repeated rows, which get the same result
@@ -28,6 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,12 +40,14 @@ WORDS = 13
 #: Odd, so that no power of it vanishes modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Windows that a task works through together, about; one document may hold more.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Distinct words whose hashes a worker keeps.
-KEPT = 300_000
+KEPT = 200_000
 #: Stands for a null id.
 LAST = (1 << 63) - 1
-QUESTIONS = "part int, keys binary, rows binary, sizes binary, steps binary, hashes binary"
+#: docs, sizes and steps tell places: documents of the chunk, how many windows each, and the steps between them.
+ANSWERS = "chunk long, docs binary, sizes binary, steps binary, keys binary, rows binary"
+QUESTIONS = f"part int, {ANSWERS}, hashes binary"
 PLACES = "key long, row long, starts array<int>, ends array<int>"
 
 
@@ -95,48 +99,57 @@ def equal_runs(values: np.ndarray) -> zip:
     return zip(first, np.append(first[1:], len(values))[: len(first)], strict=True)
 
 
+def told(doc: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Places, ascending by document, as docs, sizes and steps."""
+    first = by_run(doc)
+    step = np.diff(place, prepend=0)
+    step[first] = place[first]
+    return tuple(packed(x.astype(np.uint32)) for x in (doc[first], np.diff(np.append(first, len(doc))), step))
+
+
+def heard(docs: bytes, sizes: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What told() packed, and how many documents precede each place."""
+    doc, size, step = (unpacked(x, np.uint32).astype(np.int64) for x in (docs, sizes, steps))
+    at = np.repeat(np.arange(len(doc)), size)
+    upto = np.cumsum(step)
+    first = np.cumsum(size) - size
+    return doc[at], upto - (upto[first] - step[first])[at] if len(at) else upto, at
+
+
 def ask(parts: int, words: int):
-    """(key, row, text) -> rows of QUESTIONS; a row without hashes holds decided places: their starts in sizes, their ends in steps."""
+    """(key, row, text) -> QUESTIONS, and for each chunk a row without hashes: keys and rows of its documents, and the places it decided."""
 
-    def chunk(keys: list[int], rows: list[int], hashes: list[np.ndarray]):
+    def chunk(number: int, keys: list[int], rows: list[int], hashes: list[np.ndarray]):
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         key, row = np.array(keys, np.int64)[order], np.array(rows, np.int64)[order]
         size = np.array([len(hashes[k]) for k in order], np.int64)
         h = np.concatenate([hashes[k] for k in order])
-        begin = np.cumsum(size) - size
-        doc = np.repeat(np.arange(len(key)), size)
-        rank = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))[doc]  # equal ids, equal ranks
+        doc = np.repeat(np.arange(len(key), dtype=np.int32), size)
+        place = (np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        rank = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])).astype(np.int32)[doc]  # equal ids, equal ranks
         by_hash = np.argsort(h)
         first = by_run(h[by_hash])
-        least = np.minimum.reduceat(rank[by_hash], first)
+        count = np.diff(np.append(first, len(h)))
         later = np.zeros(len(h), bool)
-        later[by_hash] = rank[by_hash] > np.repeat(least, np.diff(np.append(first, len(h))))
+        later[by_hash] = rank[by_hash] > np.repeat(np.minimum.reduceat(rank[by_hash], first), count)
         # of a window that a document repeats the first place is asked for
-        open_ = np.flatnonzero(~later)
         again = np.zeros(len(h), bool)
-        twice = np.diff(np.append(first, len(h))) > 1
-        many = by_hash[np.repeat(twice, np.diff(np.append(first, len(h))))]
+        many = by_hash[np.repeat(count > 1, count)]
         many = many[np.lexsort((many, doc[many], h[many]))]
         again[many[1:][(h[many[1:]] == h[many[:-1]]) & (doc[many[1:]] == doc[many[:-1]])]] = True
-        open_ = open_[~again[open_]]
-        part = ((h[open_] * BASE) >> np.uint64(40)) % np.uint64(parts)
+        gone = np.flatnonzero(later)
+        yield number % parts, number, *told(doc[gone], place[gone]), packed(key), packed(row), None
+        asked = np.flatnonzero(~later & ~again)
+        part = (((h[asked] * BASE) >> np.uint64(40)) % np.uint64(parts)).astype(np.uint32)
         by_part = np.argsort(part, kind="stable")
         for a, b in equal_runs(part[by_part]):
-            at = open_[by_part[a:b]]
-            runs = by_run(doc[at])
-            step = np.diff(at - begin[doc[at]], prepend=0)
-            step[runs] = (at - begin[doc[at]])[runs]
-            yield int(part[by_part[a]]), packed(key[doc[at][runs]]), packed(row[doc[at][runs]]), packed(np.diff(np.append(runs, len(at)))), packed(step.astype(np.uint32)), h[at].tobytes()
-        gone = np.flatnonzero(later)
-        for a, b in equal_runs(doc[gone]):
-            d = doc[gone[a]]
-            start, end = stretches(gone[a:b] - begin[d])
-            yield int(row[d] % parts), packed(key[d : d + 1]), packed(row[d : d + 1]), start.astype(np.uint32).tobytes(), end.astype(np.uint32).tobytes(), b""
+            at = asked[by_part[a:b]]
+            yield int(part[by_part[a]]), number, *told(doc[at], place[at]), packed(key[doc[at][by_run(doc[at])]]), b"", h[at].tobytes()
 
     def run(batches):
         known = WordHashes()
+        number = TaskContext.get().partitionId() << 32
         keys, rows, hashes, held = [], [], [], 0
-
         for batch in batches:
             for key, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 h = rolling((text.as_py() or "").encode("utf-8").split(), known, words)
@@ -146,99 +159,116 @@ def ask(parts: int, words: int):
                     hashes.append(h)
                     held += len(h)
                 if held >= CHUNK:
-                    yield from chunked(chunk(keys, rows, hashes))
-                    keys, rows, hashes, held = [], [], [], 0
+                    yield from as_batches(chunk(number, keys, rows, hashes), QUESTIONS)
+                    keys, rows, hashes, held, number = [], [], [], 0, number + 1
         if keys:
-            yield from chunked(chunk(keys, rows, hashes))
+            yield from as_batches(chunk(number, keys, rows, hashes), QUESTIONS)
 
     return run
 
 
-def chunked(rows, most: int = 2000):
-    """Rows of QUESTIONS as batches."""
-    names, held = [c.split()[0] for c in QUESTIONS.split(", ")], []
-    kinds = [pa.int32(), *[pa.binary()] * 5]
+def as_batches(rows, schema: str, most: int = 1 << 24):
+    """Rows in batches of about `most` bytes."""
+    names, kinds = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
+    types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}[k] for k in kinds]
+    held, size = [], 0
 
     def batch():
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], kinds[k]) for k in range(len(names))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate(types)], names=names)
 
     for r in rows:
         held.append(r)
-        if len(held) >= most:
+        size += 100 + sum(len(x) for x in r if isinstance(x, bytes | np.ndarray))
+        if size >= most:
             yield batch()
-            held = []
+            held, size = [], 0
     if held:
         yield batch()
 
 
 def answer(batches):
-    """All questions of some parts, sorted by part -> places of windows that a smaller id has too."""
-    held: list[tuple] = []
-    out: list[tuple] = []
+    """QUESTIONS sorted by part -> ANSWERS: places of windows that a smaller id has too; rows without hashes go through."""
 
-    def batch():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)] + [pa.array([r[k] for r in out], pa.list_(pa.int32())) for k in (2, 3)], names=["key", "row", "starts", "ends"]
-        )
-
-    def judge():
-        key, row, size, step = (np.concatenate([unpacked(r[k], kind) for r in held]) for k, kind in enumerate((np.int64, np.int64, np.int64, np.uint32)))
-        h = np.concatenate([np.frombuffer(r[4], np.uint64) for r in held])
-        doc = np.repeat(np.arange(len(key)), size)
+    def judge(held):
+        places = [heard(*r[1:4]) for r in held]
+        key = np.concatenate([unpacked(r[4], np.int64)[at] for r, (_, _, at) in zip(held, places, strict=True)])
+        h = np.concatenate([np.frombuffer(r[6], np.uint64) for r in held])
         order = np.argsort(h)
         first = by_run(h[order])
-        least = np.minimum.reduceat(key[doc[order]], first)
         gone = np.zeros(len(h), bool)
-        gone[order] = key[doc[order]] > np.repeat(least, np.diff(np.append(first, len(h))))
-        upto = np.cumsum(step, dtype=np.int64)
-        begin = np.cumsum(size) - size
-        place = upto - (upto[begin] - step[begin])[doc]  # a step of a document's first window is its place
-        at = np.flatnonzero(gone)
-        for a, b in equal_runs(doc[at]):
-            start, end = stretches(place[at[a:b]])
-            out.append((key[doc[at[a]]], row[doc[at[a]]], start, end))
-            if len(out) >= 5000:
-                yield batch()
-                out.clear()
-
-    part = None
-    for b in batches:
-        for own, *fields in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if not fields[4]:
-                out.append((unpacked(fields[0], np.int64)[0], unpacked(fields[1], np.int64)[0], np.frombuffer(fields[2], np.uint32), np.frombuffer(fields[3], np.uint32)))
-                continue
-            if own != part and held:
-                yield from judge()
-                held = []
-            part = own
-            held.append(fields)
-    if held:
-        yield from judge()
-    if out:
-        yield batch()
+        gone[order] = key[order] > np.repeat(np.minimum.reduceat(key[order], first), np.diff(np.append(first, len(h))))
+        begin = 0
+        for r, (doc, place, _) in zip(held, places, strict=True):
+            on = gone[begin : begin + len(doc)]
+            begin += len(doc)
+            if on.any():
+                yield r[0], *told(doc[on], place[on]), b"", b""
+
+    def rows():
+        part, held = None, []
+        for b in batches:
+            for own, *fields in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if fields[6] is None:
+                    yield tuple(fields[:6])
+                    continue
+                if own != part and held:
+                    yield from judge(held)
+                    held = []
+                part = own
+                held.append(fields)
+        if held:
+            yield from judge(held)
+
+    yield from as_batches(rows(), ANSWERS)
+
+
+def settle(batches):
+    """ANSWERS sorted by chunk -> PLACES, a row for each document that loses some windows."""
+
+    def merge(held):
+        doc, place, _ = (np.concatenate(x) for x in zip(*(heard(*r[1:4]) for r in held), strict=True))
+        key, row = (np.concatenate([unpacked(r[k], np.int64) for r in held]) for k in (4, 5))
+        both = np.sort(doc << 32 | place)
+        doc, place = both >> 32, both & 0xFFFFFFFF
+        for a, b in equal_runs(doc):
+            yield int(key[doc[a]]), int(row[doc[a]]), *stretches(place[a:b])
+
+    def rows():
+        chunk, held = None, []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[0] != chunk and held:
+                    yield from merge(held)
+                    held = []
+                chunk = r[0]
+                held.append(r)
+        if held:
+            yield from merge(held)
+
+    yield from as_batches(rows(), PLACES)
 
 
 def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """key (doc_id, LAST for null), row (xxhash64 of the text), starts and ends of intervals of windows that a smaller id has too; several rows a document.
+    """key (doc_id, LAST for null), row (xxhash64 of the text), starts and ends of intervals of windows that a smaller id has too.
 
-    Of a window that a document repeats one place may stand for all.
+    Of a window that a document repeats one place may stand for all. Repeated
+    rows give equal rows.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = keyed(docs).select("key", "row", "text").mapInArrow(ask(parts, words), QUESTIONS)
-    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(answer, PLACES)
+    answered = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(answer, ANSWERS)
+    return answered.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(settle, PLACES)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64("text").alias("row"), "text")
 
 
-def dropped(own: list[bytes], starts: list[list[int]], ends: list[list[int]], known: WordHashes, words: int) -> np.ndarray:
+def dropped(own: list[bytes], starts: list[int], ends: list[int], known: WordHashes, words: int) -> np.ndarray:
     """Which words go, given intervals of windows; a window stands for all its equals in the document."""
-    n = len(own) - words + 1
-    edge = np.zeros(n + 1, np.int64)
-    for a, b in zip(starts, ends, strict=True):
-        np.add.at(edge, a, 1)
-        np.add.at(edge, b, -1)
+    edge = np.zeros(len(own) - words + 2, np.int64)
+    edge[starts] += 1
+    edge[ends] -= 1
     gone = np.cumsum(edge[:-1]) > 0
     h = rolling(own, known, words)
     gone = np.isin(h, h[gone])
@@ -251,7 +281,7 @@ def dropped(own: list[bytes], starts: list[list[int]], ends: list[list[int]], kn
 
 def deduplicated(docs: DataFrame, words: int = WORDS, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row, and if asked for the kept words (kept_text) and the removed intervals of words (removed)."""
-    places = repeated_windows(docs, words).groupBy("key", "row").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+    places = repeated_windows(docs, words).groupBy("key", "row").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
     joined = keyed(docs).join(apart(places), ["key", "row"], "left").select("doc_id", "text", "starts", "ends")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
