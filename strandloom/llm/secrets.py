@@ -1,8 +1,11 @@
 """Secret scans with a worklist of decoded layers.
 
 A text is scanned as it is. Its URL escapes are replaced, all together, and
-its Unicode escapes; base64 is unwrapped, also through gzip, zlib, bz2 and xz;
-each new layer is scanned and unwrapped in turn until nothing new appears.
+its Unicode escapes; base64 is unwrapped, and gzip, zlib, bz2 and xz streams at
+any byte of what it holds and of one another; each new layer is scanned and
+unwrapped in turn until nothing new appears. Of layers inside one another one
+is held at a time each, and compressed streams are read in pieces, anew for
+what lies inside them where they are long, so nothing is written to disk.
 Every character of a layer knows the stretch of the text that it came from,
 so what is found in a layer is reported by its place in the text. A layer
 seen before at the same place is not unwrapped again.
@@ -16,9 +19,9 @@ import bz2
 import hashlib
 import lzma
 import re
-import tempfile
 import zlib
-from collections.abc import Iterator
+from functools import partial
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,8 +50,10 @@ MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0",
 #: Bytes without any of these hold nothing: no pattern, escape, run of base64 or UTF-16.
 TELLING = re.compile(rb"\0|AKIA|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#|[A-Za-z0-9+/_\r\n-]{16}")
 SURROGATE = re.compile("[\ud800-\udfff]")
-#: Bytes of an unpacked layer that are held in memory and scanned at once; a larger one lies in a temporary file and is scanned whole, piece by piece.
-MOST_UNPACKED = 16 << 20
+#: Bytes of a decoded layer that are scanned at once; a larger one is scanned whole, piece by piece.
+MOST_UNPACKED = 1 << 20
+#: Bytes of a stream inside another that are kept while the outer one is read; a longer one is read again by itself.
+KEPT_INSIDE = 1 << 16
 #: Bytes that a decompressor takes or gives at a time.
 READ = 1 << 16
 #: Characters that no pattern, escape or run of base64 holds.
@@ -78,15 +83,22 @@ class Layer:
 
 def moved(layer: Layer, text: str, starts: np.ndarray, ends: np.ndarray) -> Layer:
     """A layer of text whose characters came from these places of layer."""
+    starts, ends = starts.astype(np.int32), ends.astype(np.int32)
     return Layer(text, starts, ends) if layer.starts is None else Layer(text, layer.starts[starts], layer.ends[ends - 1])
 
 
+def within(layer: Layer, text: str, a: int, b: int) -> Layer:
+    """A layer of text that came as a whole from a stretch of layer."""
+    a, b = layer.place(a, b)
+    return Layer(text, np.broadcast_to(np.int32(a), len(text)), np.broadcast_to(np.int32(b), len(text)))
+
+
 def build(layer: Layer, pieces: list[tuple[str, int, int]]) -> Layer:
     """A layer of (characters, start, end) in layer, each piece's characters from that stretch."""
     n, a, b = (np.array(x, np.int64) for x in ([len(s) for s, _, _ in pieces], [x for _, x, _ in pieces], [x for _, _, x in pieces]))
     same = np.repeat(n == b - a, n)  # character by character
-    within = np.arange(len(same)) - np.repeat(np.cumsum(n) - n, n)
-    starts = np.repeat(a, n) + np.where(same, within, 0)
+    step = np.arange(len(same)) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(a, n) + np.where(same, step, 0)
     return moved(layer, "".join([s for s, _, _ in pieces]), starts, np.where(same, starts + 1, np.repeat(b, n)))
 
 
@@ -139,7 +151,7 @@ def opened(head: bytes):
     """A decompressor for a stream that starts so, or None."""
     if head[:2] == b"\x1f\x8b":
         return zlib.decompressobj(31)
-    if head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+    if head[:1] == b"\x78" and len(head) > 1 and (head[0] << 8 | head[1]) % 31 == 0:
         return zlib.decompressobj()
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
@@ -174,65 +186,92 @@ def inflated(source: Iterator[bytes]):
         rest, number = d.unused_data.lstrip(b"\0"), number + 1
 
 
+Source = Callable[[], Iterator[bytes]]
+
+
 def pieces_read(data) -> Iterator[bytes]:
-    """The bytes of data, a buffer or a file, in pieces."""
-    if hasattr(data, "read"):
-        data.seek(0)
-        yield from iter(lambda: data.read(READ), b"")
-    else:
-        for k in range(0, len(data), READ):
-            yield bytes(data[k : k + READ])
-
-
-def unpacked(data):
-    """What all members of a compressed stream hold, as a temporary file that lies in memory up to MOST_UNPACKED bytes; None if it isn't one.
-
-    Both may be bytes or files. The file's members are the digests of what each member holds.
-    """
-    out, digests, last = None, [], None
-    for number, piece in inflated(pieces_read(data)):
-        if out is None:
-            out = tempfile.SpooledTemporaryFile(MOST_UNPACKED)
-        if number != last:
-            digests.append(hashlib.blake2b())
-            last = number
-        digests[-1].update(piece)
-        out.write(piece)
-    if out is not None:
-        out.members = {d.digest() for d in digests}
-    return out
-
-
-def digest(data) -> bytes:
-    h = hashlib.blake2b()
-    for piece in pieces_read(data):
-        h.update(piece)
-    return h.digest()
-
-
-def innermost(data):
-    """What the compressed streams inside one another hold in the end, or None if data is no stream."""
-    packed = unpacked(data)
-    if packed is None:
-        return None
-    met = {digest(data)}
-    while True:
-        own, members = digest(packed), getattr(packed, "members", set())
-        if own in met or members and members <= met:  # a stream may unpack to itself
-            return packed
-        met |= {own, *members}
-        inner = unpacked(packed)
-        if inner is None:
-            return packed
-        if hasattr(packed, "close"):
-            packed.close()
-        packed = inner
-
-
-def cuts(data) -> Iterator[bytes]:
-    """data in pieces of MOST_UNPACKED bytes and more, cut only where no pattern, escape or run of base64 can go on, so nothing is lost at a cut."""
+    """The bytes of a buffer, in pieces."""
+    for k in range(0, len(data), READ):
+        yield bytes(data[k : k + READ])
+
+
+def unpacked(source: Source, at: int) -> Iterator[bytes]:
+    """What all members of a compressed stream at a byte of a source hold."""
+    def rest():
+        skip = at
+        for piece in source():
+            if skip < len(piece):
+                yield piece[skip:]
+            skip = max(0, skip - len(piece))
+
+    for _, out in inflated(rest()):
+        yield out
+
+
+class Streams:
+    """Finds compressed streams at every byte of what is fed: by unpacking from each magic number on, as long as that goes well."""
+
+    def __init__(self):
+        self.live: dict[int, tuple] = {}
+        self.found: dict[int, bytearray | None] = {}  # what a short stream holds; None for a longer one
+        self.tail, self.at = b"", 0
+
+    def feed(self, piece: bytes) -> None:
+        for at, d in list(self.live.items()):
+            if not self.more(at, d, piece):
+                del self.live[at]
+        data, before = self.tail + piece, self.at - len(self.tail)
+        for m in MAGIC.finditer(data):
+            if m.end() > len(self.tail) and (d := opened(data[m.start() : m.start() + 8])) and self.more(before + m.start(), d, data[m.start() :]):
+                self.live[before + m.start()] = d
+        self.tail, self.at = data[-5:], self.at + len(piece)
+
+    def more(self, at: int, d, data: bytes) -> bool:
+        """Whether a stream goes on after data."""
+        try:
+            while not d.eof:
+                out = d.decompress(data, READ)
+                held = self.found.setdefault(at, bytearray()) if out else None
+                if held is not None:
+                    held += out
+                if self.found.get(at, b"") is None or len(self.found.get(at, b"")) > KEPT_INSIDE:
+                    self.found[at] = None  # it will be read by itself
+                    return False
+                if isinstance(d, bz2.BZ2Decompressor | lzma.LZMADecompressor):
+                    data, hungry = b"", d.needs_input
+                else:
+                    data = d.unconsumed_tail
+                    hungry = not data and len(out) < READ
+                if hungry and not d.eof:
+                    return True
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            return False
+        if d.unused_data.lstrip(b"\0"):
+            self.found[at] = None  # maybe more members
+        return False
+
+
+def opened_layers(source: Source, seen: set[bytes]) -> Iterator[bytes]:
+    """The bytes of a source and of all streams inside one another in it, each in pieces that hold whole patterns. One that was seen is not opened again, as a stream may unpack to itself."""
+    h, streams = hashlib.blake2b(), Streams()
+
+    def fed():
+        for piece in source():
+            h.update(piece)
+            streams.feed(piece)
+            yield piece
+
+    yield from cuts(fed())
+    if h.digest() not in seen:
+        seen.add(h.digest())
+        for at, held in streams.found.items():
+            yield from opened_layers(partial(unpacked, source, at) if held is None else partial(pieces_read, held), seen)
+
+
+def cuts(read: Iterator[bytes]) -> Iterator[bytes]:
+    """What is read in pieces of MOST_UNPACKED bytes and more, cut only where no pattern, escape or run of base64 can go on, so nothing is lost at a cut."""
     held = bytearray()
-    for piece in pieces_read(data):
+    for piece in read:
         new = max(0, len(held) - 2)
         held += piece
         if len(held) < MOST_UNPACKED:
@@ -270,13 +309,13 @@ def runs(text: str):
             continue
         lines = [x.span() for x in LINE.finditer(text, m.start(), m.end())]
         if sum(b - a for a, b in lines) >= LEAST_RUN:
-            yield np.concatenate([np.arange(a, b) for a, b in lines])
+            yield np.concatenate([np.arange(a, b, dtype=np.int32) for a, b in lines])
         if len(lines) > 1:
-            yield from (np.arange(a, b) for a, b in lines if b - a >= LEAST_RUN)
+            yield from (np.arange(a, b, dtype=np.int32) for a, b in lines if b - a >= LEAST_RUN)
 
 
 def base64_layers(layer: Layer):
-    """What base64 holds: a blob may follow other characters of its alphabet, so all four ways to group a stretch are tried, and a compressed stream is looked for at every group."""
+    """What base64 holds: a blob may follow other characters of its alphabet, so all four ways to group a stretch are tried, and a compressed stream is looked for at every byte."""
     text = layer.text
     for at in runs(text):
         core = "".join([text[k] for k in at]) if at[-1] - at[0] >= len(at) else text[at[0] : at[-1] + 1]
@@ -286,42 +325,52 @@ def base64_layers(layer: Layer):
             own = core[skip:]
             own = own[:-1] if len(own) % 4 == 1 else own
             data = base64.b64decode(own + "=" * (-len(own) % 4))
-            for start in sorted({0} | {x.start() for x in MAGIC.finditer(data) if x.start() % 3 == 0}):
-                packed = innermost(memoryview(data)[start:] if start else data)
-                if packed is None:
-                    continue
-                x = int(at[skip + start // 3 * 4])
-                for piece in cuts(packed):
+            streams = Streams()
+            for piece in pieces_read(data):
+                streams.feed(piece)
+            source, seen = partial(pieces_read, data), set()
+            for start, held in streams.found.items():
+                x = int(at[skip + start * 4 // 3])
+                for piece in opened_layers(partial(unpacked, source, start) if held is None else partial(pieces_read, held), seen):
                     if TELLING.search(piece):
                         for s, _, _ in readings(piece):
-                            yield moved(layer, s, np.broadcast_to(np.int64(x), len(s)), np.broadcast_to(np.int64(last), len(s)))
-                if hasattr(packed, "close"):
-                    packed.close()
-            if TELLING.search(data):
-                for s, starts, ends in readings(data):
-                    yield moved(layer, s, at[skip + starts * 4 // 3], at[skip - 1 - (-ends * 4 // 3)] + 1)
+                            yield within(layer, s, x, last)
+            before = 0
+            for piece in cuts(pieces_read(data)):
+                if TELLING.search(piece):
+                    for s, starts, ends in readings(piece):
+                        yield moved(layer, s, at[skip + (before + starts) * 4 // 3], at[skip - 1 - (-(before + ends) * 4 // 3)] + 1)
+                before += len(piece)
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
     """base and what the layers add, by start and kind."""
-    found, seen, work = set(base), set(), [Layer(text)]
+    found, seen = set(base), set()
+    work = [unwrapped(Layer(text))]  # layers inside one another, the innermost last
     while work:
-        layer = work.pop()
-        for decode in (url_layers, unicode_layers, base64_layers):
-            for new in decode(layer):
-                if not new.text:
-                    continue
-                key = (hashlib.blake2b(new.text.encode("utf-8", "replace"), digest_size=16).digest(), *new.place(0, len(new.text)))
-                if key in seen:
-                    continue
-                seen.add(key)
-                for a, kind, b in base_spans(new.text):
-                    x, y = new.place(a, b)
-                    found.add((x, kind, y))
-                work.append(new)
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        if not new.text:
+            continue
+        key = (hashlib.blake2b(new.text.encode("utf-8", "replace"), digest_size=16).digest(), *new.place(0, len(new.text)))
+        if key in seen:
+            continue
+        seen.add(key)
+        for a, kind, b in base_spans(new.text):
+            x, y = new.place(a, b)
+            found.add((x, kind, y))
+        work.append(unwrapped(new))
     return sorted(found)
 
 
+def unwrapped(layer: Layer) -> Iterator[Layer]:
+    """All layers right under one."""
+    for decode in (url_layers, unicode_layers, base64_layers):
+        yield from decode(layer)
+
+
 def told(spans: list[Span]) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in spans])
 
