@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -17,12 +18,13 @@ def tolerance(length: int, ratio: float) -> int:
     return math.ceil(float(np.float32(length) * np.float32(ratio)))
 
 
-def extents(codes: np.ndarray, unit: np.ndarray, ratio: float) -> np.ndarray:
+def extents(codes: np.ndarray, unit: np.ndarray, ratio: float, phases: Iterable[int] | None = None) -> np.ndarray:
     """By start: bases of the whole copies that follow an exact seed there, in the phase where they are most.
 
     Copies are laid along the read without gaps; each may differ in
     tolerance() bases. Every phase is one diagonal, and the copies that follow
-    a place are counted from the end of the read.
+    a place are counted from the end of the read. phases: the diagonals to look
+    at, all by default.
     """
     n, size = len(codes), len(unit)
     best = np.zeros(n, np.int64)
@@ -30,7 +32,7 @@ def extents(codes: np.ndarray, unit: np.ndarray, ratio: float) -> np.ndarray:
         return best
     most = tolerance(size, ratio)
     rows = -(-n // size) + 2
-    for phase in range(size):
+    for phase in range(size) if phases is None else phases:
         same = codes == np.resize(np.roll(unit, phase), n)
         wrong = np.concatenate([[0], np.cumsum(~same)])
         good = np.zeros(rows * size, bool)
@@ -43,9 +45,9 @@ def extents(codes: np.ndarray, unit: np.ndarray, ratio: float) -> np.ndarray:
     return best
 
 
-def coverage(codes: np.ndarray, unit: np.ndarray, reps: int, ratio: float) -> np.ndarray | None:
+def coverage(codes: np.ndarray, unit: np.ndarray, reps: int, ratio: float, phases: Iterable[int] | None = None) -> np.ndarray | None:
     """Which bases lie in stretches of reps copies and more, taken from the left without overlap; None if there are none."""
-    found = extents(codes, unit, ratio)
+    found = extents(codes, unit, ratio, phases)
     out = np.zeros(len(codes), bool)
     at = 0
     for start in np.flatnonzero(found >= reps * len(unit)).tolist():

@@ -38,6 +38,14 @@ def runs(labels: DataFrame) -> DataFrame:
     return marked.groupBy("read_id", "grp", "label").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("len")).drop("grp")
 
 
+def joined_runs(parts: DataFrame) -> DataFrame:
+    """From (read_id, start, end, label) of stretches [start, end) that fill a read: neighbours of one label as one."""
+    w = Window.partitionBy("read_id").orderBy("start")
+    new = F.when(F.lag("label").over(w) == F.col("label"), 0).otherwise(1)
+    marked = parts.withColumn("new", new).withColumn("grp", F.sum("new").over(w))
+    return marked.groupBy("read_id", "grp", "label").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("read_id", "start", "end", "label")
+
+
 def merge_raw(found: DataFrame, reps: int = 2) -> DataFrame:
     """Runs (with unit_len) as blocks: neighbours shorter than reps copies become one raw block."""
     w = Window.partitionBy("read_id").orderBy("start")

@@ -2,73 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import batched
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions import kernel
 from strandloom.functions.long_units import LONG
-from strandloom.operators.decompose import decompose, global_units, spread
+from strandloom.operators import seeds
+from strandloom.operators.decompose import decompose, global_units
 from strandloom.plans.options import Options
 from strandloom.sources.shared import stored
 
-#: Long units of the library that one pass over the reads weighs; no task holds more.
-BLOCK = 1000
-
 
-def with_library(reads: DataFrame, opts: Options = Options(), key: str = "read_id", least_reads: int = 2, block: int = BLOCK) -> DataFrame:  # noqa: B008
+def with_library(reads: DataFrame, opts: Options = Options(), key: str = "read_id", least_reads: int = 2) -> DataFrame:  # noqa: B008
     """Decomposition with a library: units that a first pass finds in at least `least_reads` reads are further candidates in a second one.
 
     A unit of under LONG bases pays off only where it stands twice, and the read
     has it as a candidate of its own then; so the library holds units of LONG
     bases and more, which occur with errors (opts.long_mode, which also takes
-    units that don't pay off, gets no short ones from other reads). Blocks of them are weighed against
-    all reads, and each read gets the opts.top_units best ones. Neither the
-    order of the reads nor the size of a block matters, and no task and no
-    driver holds the library as a whole. Rows that share a key stay apart; null
-    and empty reads give no row.
+    units that don't pay off, gets no short ones from other reads). They meet the
+    reads by their seeds (module seeds), so a unit is weighed only against reads
+    that share seeds.HITS seeds with it on a diagonal, and each read gets the
+    opts.top_units best ones. The order of the reads doesn't matter, and no task
+    and no driver holds the library as a whole. Rows that share a key stay
+    apart; null and empty reads give no row.
     """
     number = F.monotonically_increasing_id().alias("row")
     numbered = stored(reads.select(F.struct(number, F.col(key).alias("key")).alias("id"), F.upper("seq").alias("seq")), "library-reads")
     first = stored(decompose(numbered, opts, "id"), "library-first")
-    library = stored(global_units(first, "id").where((F.col("freq") >= least_reads) & (F.length("canon") >= LONG)).select("canon"), "library")
-    plain = spread(numbered.select(F.col("id.row").alias("read_id"), "seq").where(F.length("seq") > 0))
-    found = None
-    for units in batched((r.canon for r in library.sort("canon").toLocalIterator()), block):
-        more = members(plain, units, opts)
-        found = stored(best(more if found is None else found.unionByName(more), opts.top_units), "library-members")
-    if found is None:
-        return first.select(F.col("id.key").alias(key), *[c for c in first.columns if c != "id"])
-    extra = found.groupBy("read_id").agg(F.sort_array(F.collect_set("unit")).alias("further"))
+    library = global_units(first, "id").where((F.col("freq") >= least_reads) & (F.length("canon") >= LONG)).select(F.col("canon").alias("unit"))
+    plain = numbered.select(F.col("id.row").alias("read_id"), "seq")
+    found = seeds.diagonals(plain, seeds.seed_index(library))
+    costs = seeds.weighed(stored(seeds.laid(plain, found, opts.max_ratio), "library-laid"), opts.max_ratio)
+    chosen = seeds.best_units(costs, opts.top_units)
+    extra = stored(chosen.groupBy("read_id").agg(F.sort_array(F.collect_set("unit")).alias("further")), "library-members")
     given = numbered.join(extra, F.col("id.row") == F.col("read_id"), "left").select("id", "seq", "further")
     again = decompose(given, opts, "id", "further")
     return again.select(F.col("id.key").alias(key), *[c for c in again.columns if c != "id"])
-
-
-def members(reads: DataFrame, units: tuple[str, ...], opts: Options) -> DataFrame:
-    """read_id, reps, cost, unit: the opts.top_units best of a block of long units for a read, at two repetitions and at one."""
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = [(len(u), kernel.code_of(u)) for u in units]
-        for batch in found:
-            rows = []
-            for row, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for reps in (2, 1):
-                    own = [(row, reps, cost, kernel.text_of(code, length)) for cost, length, code, cov in kernel.best(kernel.encode(seq), codes, reps, opts) if cov is not None]
-                    rows += own
-                    if own:  # single copies count only for reads without two in a row
-                        break
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["read_id", "reps", "cost", "unit"])
-
-    return reads.mapInArrow(run, "read_id long, reps int, cost int, unit string")
-
-
-def best(found: DataFrame, top: int) -> DataFrame:
-    """Of each read the top members by cost, length and spelling at two repetitions, or at one where there are none at two."""
-    by = Window.partitionBy("read_id", "reps")
-    ranked = found.withColumn("rank", F.row_number().over(by.orderBy("cost", F.length("unit"), "unit"))).withColumn("most", F.max("reps").over(Window.partitionBy("read_id")))
-    return ranked.where((F.col("rank") <= top) & (F.col("reps") == F.col("most"))).drop("rank", "most")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna, kernel, long_units
+from strandloom.functions.long_units import LONG
+from strandloom.operators import cover, seeds
 from strandloom.operators.decompose import spread
 
 
@@ -86,20 +88,14 @@ def prune(units: DataFrame, share: float = 0.95) -> DataFrame:
 def explained_bases(reads: DataFrame, units: DataFrame, reps: int = 2, ratio: float = 0.3) -> DataFrame:
     """read_id, unit, covered, explained: bases in runs of reps copies of the unit, and those that remain when a run may bear some uncovered ones.
 
-    Units of 20 bases and more are found with errors, shorter ones exactly.
+    Units of 20 bases and more are found with errors, shorter ones, which must
+    be unbordered, exactly.
     """
-
-    @F.pandas_udf("struct<covered: int, explained: int>")
-    def scan(seqs: pd.Series, own: pd.Series) -> pd.DataFrame:
-        rows = []
-        for seq, unit in zip(seqs, own, strict=True):
-            codes, size = kernel.encode(seq), len(unit)
-            cov = next(kernel.coverage(codes, [(size, kernel.code_of(unit))], reps, ratio))
-            rows.append((0, 0) if cov is None else (int(cov.sum()), kernel.run_scan(cov, size, reps, ratio, None, False)))
-        return pd.DataFrame(rows, columns=["covered", "explained"])
-
-    both = units.join(reads, "read_id").select("read_id", "unit", scan("seq", "unit").alias("s"))
-    return both.select("read_id", "unit", "s.covered", "s.explained")
+    own = units.select("read_id", "unit").distinct()
+    short = cover.unit_spans(reads, own.where(F.length("unit") < LONG), reps)
+    long = seeds.laid(reads, own.where(F.length("unit") >= LONG), ratio, (reps,)).drop("reps")
+    told = cover.explained(short.unionByName(long), reps, ratio).select("read_id", "unit", "covered", "explained")
+    return own.join(reads.select("read_id"), "read_id").join(told, ["read_id", "unit"], "left").fillna(0, ["covered", "explained"])
 
 
 def similar_units(pairs: DataFrame, ratio: float = 0.3) -> DataFrame:

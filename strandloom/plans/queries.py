@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
-from strandloom.operators import blocks, evaluate, report, units
+from strandloom.operators import blocks, cover, evaluate, report, seeds, suffixes, units
 from strandloom.operators.decompose import add_haplotypes, decompose, global_units, unit_rows
 from strandloom.operators.library import with_library
+from strandloom.operators.long_reads import align_long
 from strandloom.plans.options import Options
 from strandloom.plans import published
 from strandloom.sources import text as sources
@@ -190,6 +191,47 @@ def long_exact(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("read_id"), F.expr(f"repeat('{LONG_UNIT}', cast(p_partkey % 8 + 4 AS int))").alias("seq"))
 
 
+def erring_copies(spark, sf):
+    """read_id, seq: 4 to 11 copies of the long unit, in each of which the same 0 to 8 bases from the 13th on are replaced; 7 are tolerated."""
+    e = (F.col("p_partkey") % 9).cast("int")
+    copy = F.concat(F.lit(LONG_UNIT[:12]), F.translate(F.substring(F.lit(LONG_UNIT), F.lit(13), e), "ACGT", "CGTA"), F.substring(F.lit(LONG_UNIT), e + 13, F.lit(24)))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("read_id"), F.repeat(copy, (F.col("p_partkey") % 8 + 4).cast("int")).alias("seq"))
+
+
+def unit_library(spark, sf):
+    """unit: one of 24 bases of each supplier, and the long unit."""
+    made = F.translate(F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 24), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return table(spark, sf, "supplier").select(made.alias("unit")).unionByName(table(spark, sf, "region").select(F.lit(LONG_UNIT).alias("unit")))
+
+
+def long_unit_seeds(spark, sf):
+    reads = erring_copies(spark, sf)
+    found = seeds.laid(reads, seeds.diagonals(reads, seeds.seed_index(unit_library(spark, sf))))
+    return found.select("read_id", "unit", "reps", F.inline("spans"))
+
+
+def beside_taken(spark, sf):
+    """read_id, unit, covered, explained of two units when the copies of AC are taken."""
+    own = mosaic(spark, sf)
+    pairs = own.select("read_id", F.explode(F.array(F.lit("CA"), F.lit("AG"), F.lit("GA"))).alias("unit"))
+    taken = own.select("read_id", F.array(F.struct(F.lit(0).alias("a"), (2 * F.col("i")).cast("int").alias("b"))).alias("taken"))
+    return cover.explained(cover.unit_spans(own, pairs).join(taken, "read_id"), taken="taken").select("read_id", "unit", "covered", "explained")
+
+
+def key_units(spark, sf):
+    own = mosaic(spark, sf).select("read_id", "seq")
+    return cover.key_units(own, suffixes.candidate_units(own)).select("read_id", F.array_join("chosen", ",").alias("chosen"))
+
+
+def long_alignment(spark, sf):
+    """Runs of labels of one read a brand, all its mosaics in a row."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("read_id"), "p_brand")
+    own = mosaic(spark, sf).join(part, "read_id").groupBy(F.col("p_brand").alias("read_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("read_id").alias("k"), "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    reads = stored(own, "long-reads")
+    given = reads.select("read_id", F.explode(F.array(*(F.struct(F.lit(k).alias("label"), F.lit(u).alias("unit")) for k, u in enumerate(("AC", "AG"))))).alias("u")).select("read_id", "u.label", "u.unit")
+    return align_long(reads, given, 2_000)
+
+
 def some_clean(spark, sf):
     """read_id, seq: copies of one unit of 20 bases; in every other read each copy has one base replaced."""
     k = F.col("read_id")
@@ -308,6 +350,8 @@ QUERIES = {
     "trim_dup": lambda s, d: table(s, d, "part").select("p_partkey", dna.trim_suffix(F.concat_ws("_", "p_brand", F.col("p_size").cast("string"))).alias("name")),
     "fasta_records": lambda s, d: sources.records(fasta_lines(s, d)),
     "candidate_units": candidates,
+    "suffix_candidates": lambda s, d: suffixes.candidate_units(mosaic(s, d).select("read_id", "seq")),
+    "suffix_array": lambda s, d: suffixes.suffix_array(mosaic(s, d).select("read_id", "seq")),
     "candidate_units_canon": lambda s, d: units.canonical_units(candidates(s, d)),
     "all_substrings": lambda s, d: units.all_substrings(mosaic(s, d).select("read_id", "seq")),
     "compression_ratio": lambda s, d: units.compression(mosaic(s, d).select("read_id", "seq")),
@@ -338,6 +382,10 @@ QUERIES = {
     "fallback_reps1": lambda s, d: decompose(qualification(s, d)).select("read_id", "min_reps", "pattern"),
     "base_labels": lambda s, d: units.base_labels(results(s, d, Options(labels=True))),
     "explained_bases": lambda s, d: units.explained_bases(mosaic(s, d).select("read_id", "seq"), two_units(s, d)),
+    "beside_taken": beside_taken,
+    "key_units": key_units,
+    "long_alignment": long_alignment,
+    "long_unit_seeds": long_unit_seeds,
     "long_unit_coverage": lambda s, d: units.explained_bases(long_exact(s, d), table(s, d, "part").select(F.col("p_partkey").alias("read_id"), F.lit(LONG_UNIT).alias("unit"))),
     "banded_align_match": lambda s, d: units.similar_units(unit_pairs(s, d)).select("read_id", "kind", "similar"),
     "haplotype_lines": lambda s, d: sources.parse_haplotypes(haplotype_lines(s, d)),
@@ -370,6 +418,8 @@ ORACLES = {
     "trim_dup": "SELECT p_partkey, split_part(p_brand || '_' || p_size, '_', 1) AS name FROM part",
     "fasta_records": "SELECT 'doc ' || doc_id || ' pattern=<A>1' AS header, seq FROM (SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents) WHERE seq <> ''",
     "candidate_units": f"WITH {CANDS} SELECT * FROM cands",
+    "suffix_candidates": f"WITH {CANDS} SELECT * FROM cands",
+    "suffix_array": f"WITH {MOSAIC} SELECT read_id, pos::INTEGER AS pos, (row_number() OVER (PARTITION BY read_id ORDER BY substr(seq, pos)) - 1)::INTEGER AS place FROM (SELECT read_id, seq, unnest(range(1, length(seq) + 1)) AS pos FROM mosaic)",
     "candidate_units_canon": f"WITH {CANDS} SELECT read_id, {CANON} AS canon, min(unit) AS unit FROM cands GROUP BY ALL",
     "all_substrings": f"WITH {MOSAIC}, {ALL} SELECT canon FROM alls",
     "compression_ratio": f"WITH {CANDS}, {ALL} SELECT a AS units, b AS substrings, a / b AS ratio FROM (SELECT (SELECT count(DISTINCT {CANON}) FROM cands) AS a, (SELECT count(*) FROM alls) AS b)",
@@ -399,6 +449,10 @@ ORACLES = {
     "fallback_reps1": f"WITH {MOSAIC} SELECT read_id, CASE read_id % 3 WHEN 1 THEN 1 ELSE 2 END AS min_reps, CASE read_id % 3 WHEN 1 THEN '<ACGT>3' ELSE '<AC>' || i END AS pattern FROM mosaic WHERE read_id % 3 <> 0",
     "base_labels": f"WITH {MOSAIC} SELECT read_id, p::INTEGER AS pos, CASE WHEN (p < 2 * i) = (i >= j) THEN 0 ELSE 1 END AS prio FROM (SELECT *, unnest(range(0, length(seq))) AS p FROM mosaic)",
     "explained_bases": f"WITH {MOSAIC} SELECT read_id, 'AC' AS unit, 2 * i AS covered, 2 * i AS explained FROM mosaic UNION ALL SELECT read_id, 'AG', 2 * j, 2 * j FROM mosaic",
+    "beside_taken": f"WITH {MOSAIC} SELECT read_id, 'CA' AS unit, 2 * i AS covered, 2 * i AS explained FROM mosaic UNION ALL SELECT read_id, 'AG', 2 * j, 2 * i + 2 * j FROM mosaic UNION ALL SELECT read_id, 'GA', 2 * j - 2, 2 * i + 2 * j - 2 FROM mosaic",
+    "key_units": f"WITH {MOSAIC} SELECT read_id, CASE WHEN i >= j THEN 'AC,AG' ELSE 'AG,AC' END AS chosen FROM mosaic",
+    "long_alignment": f"WITH {MOSAIC}, m AS (SELECT p_brand AS read_id, p_partkey AS k, i, j, (sum(2 * (i + j)) OVER (PARTITION BY p_brand ORDER BY p_partkey) - 2 * (i + j))::INTEGER AS o FROM mosaic JOIN part ON p_partkey = read_id) SELECT read_id, o AS start, o + 2 * i AS \"end\", 0 AS label FROM m UNION ALL SELECT read_id, o + 2 * i, o + 2 * i + 2 * j, 1 FROM m",
+    "long_unit_seeds": f"SELECT p_partkey AS read_id, '{LONG_UNIT}' AS unit, 2 AS reps, 0 AS a, (23 * (p_partkey % 8 + 3) + 3)::INTEGER AS b FROM part WHERE p_partkey % 9 < 8",
     "long_unit_coverage": f"SELECT p_partkey AS read_id, '{LONG_UNIT}' AS unit, (23 * (p_partkey % 8 + 3) + 3)::INTEGER AS covered, (23 * (p_partkey % 8 + 3) + 3)::INTEGER AS explained FROM part",
     "banded_align_match": "SELECT p_partkey AS read_id, kind, kind IN ('turned', 'replaced', 'lost') AS similar FROM part, (VALUES ('turned'), ('replaced'), ('lost'), ('other'), ('longer')) v(kind)",
     "haplotype_lines": "SELECT 's' || k AS sample_id, CASE WHEN k % 5 = 0 THEN NULL ELSE k % 50 END::INTEGER AS read_no, CASE WHEN k % 5 = 0 THEN NULL ELSE k || '|1' END AS pair_haps, k AS ord FROM (SELECT s_suppkey AS k FROM supplier) WHERE k % 5 <> 1",
