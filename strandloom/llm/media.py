@@ -314,9 +314,9 @@ def probe_media(media: DataFrame, key: str = "media_id", data: str = "data") ->
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Store every text in a container, probe it, read the payload back and compare digests."""
+    """Store every text in a container, probe it, read the payload back and compare digests; key_ranges: [start, end) of each keyframe's bytes."""
     L, S = T.LongType(), T.StringType()
-    names = [("n_bytes", L), ("payload_bytes", L), ("payload_sha256", S), ("tail_crc32", L), ("media_bytes", L), ("media_sha256", S), ("feature", S)]
+    names = [("n_bytes", L), ("payload_bytes", L), ("payload_sha256", S), ("tail_crc32", L), ("media_bytes", L), ("media_sha256", S), ("feature", S), ("key_ranges", T.ArrayType(T.ArrayType(L)))]
 
     def factory():
         def work(texts):
@@ -326,7 +326,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
                 media = write(padded(raw))
                 track = probe(media)[0]
                 back = extract(media, track)
-                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), describe(media, track))
+                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), describe(media, track), [list(x) for x in track.ranges(True)])
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
             return out
