@@ -3,7 +3,8 @@
 A document is the average of learned vectors of its words, of the character
 n-grams of words and of pairs of neighbouring words, each hashed to a bucket;
 a softmax over the average gives the classes. Most pairs of words are rare, so
-a pair is hashed by the lengths and first letters of its two words.
+the two words of a pair are hashed to a few classes each (PAIR_BITS); a pair
+counts as often as a word has n-grams, about (PAIR_COUNT).
 Vectors and weights are trained by stochastic gradient descent in numpy on a
 bounded, class-balanced sample of labelled documents (PER_CLASS of each class,
 at most MAX_CHARS characters each); the classes' shares among all labels that
@@ -13,8 +14,8 @@ each bucket's part of it is worked out once, and scoring adds up parts.
 Null and empty texts have no words and get the score of the classes' shares.
 Without labels of both classes the score is 0.5 for all. Repeated rows each
 get their row. A text of over BATCH_CHARS characters is summed over stretches
-cut at white space, or after twice as many characters without any; a pair of
-words over a cut isn't counted.
+cut at white space, and a pair of words over a cut is counted too; a word of over
+a million characters without white space may count as several.
 """
 
 import math
@@ -34,8 +35,7 @@ BUCKETS = 1 << BITS
 PER_CLASS, MAX_CHARS, EPOCHS, RATE = 1200, 12_000, 12, 1.2
 THRESHOLD = 0.3
 SPACE = re.compile(r"\s")
-#: How often a pair of words counts beside the n-grams of its words.
-PAIR_COUNT = 24
+PAIR_BITS, PAIR_COUNT = 5, 8
 #: Characters whose features are worked out together.
 STRETCH = 1 << 18
 #: Odd factors of the places of an n-gram, of the characters of a word, and of the last mixing.
@@ -67,14 +67,15 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     up, down = (np.multiply.accumulate(np.full(len(c), f, np.uint32), dtype=np.uint32) for f in (POWER, pow(POWER, -1, 1 << 32)))
     upto = np.cumsum(c * up, dtype=np.uint32)
     of = text[start]
-    yield mixed((upto[end - 1] - upto[start - 1]) * down[start], 1), of, 1
+    word = (upto[end - 1] - upto[start - 1]) * down[start]
+    yield mixed(word, 1), of, 1
     a, b, d, e = (c * f for f in PLACES)
     three = a[:-2] + b[1:-1] + d[2:]
     inner = full[1:-1]
     yield mixed(three[inner], 3), text[1:-1][inner], 1
     inner = full[1:-2] & full[2:-1]
     yield mixed((three[:-1] + e[3:])[inner], 4), text[1:-2][inner], 1
-    kind = np.minimum(end - start, 31).astype(np.uint32) << 21 ^ c[start]
+    kind = mixed(word, 5) >> (BITS - PAIR_BITS)
     near = of[1:] == of[:-1]
     yield mixed((kind[:-1] * PLACES[1] + kind[1:] * PLACES[2])[near], 2), of[1:][near], PAIR_COUNT
 
@@ -137,7 +138,12 @@ class Scorer:
         numbers: list[int] = []
         size = 0
         for k, text in enumerate(texts):
+            before = None
             for _, piece in pieces(text, SPACE, most=2 * BATCH_CHARS):
+                if len(piece) < len(text) and not piece.isspace():
+                    if before is not None:
+                        self.add_pair(before, piece.split(None, 1)[0], k, total, count)
+                    before = piece.rsplit(None, 1)[-1]
                 held.append(piece)
                 numbers.append(k)
                 size += len(piece)
@@ -149,10 +155,15 @@ class Scorer:
         z = self.offset + total / np.maximum(count, 1)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def add(self, held: list[str], numbers: list[int], total: np.ndarray, count: np.ndarray) -> None:
+    def add(self, held: list[str], numbers: list[int], total: np.ndarray, count: np.ndarray, sign: int = 1) -> None:
         for bucket, of, times in features(held):
-            np.add.at(total, numbers, times * np.bincount(of, self.part[bucket], len(held)))
-            np.add.at(count, numbers, times * np.bincount(of, minlength=len(held)))
+            np.add.at(total, numbers, sign * times * np.bincount(of, self.part[bucket], len(held)))
+            np.add.at(count, numbers, sign * times * np.bincount(of, minlength=len(held)))
+
+    def add_pair(self, a: str, b: str, k: int, total: np.ndarray, count: np.ndarray) -> None:
+        """What two words have together beyond what each has."""
+        for text, sign in ((f"{a} {b}", 1), (a, -1), (b, -1)):
+            self.add([text], [k], total, count, sign)
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
