@@ -14,10 +14,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandloom.sources.shared import stored
 
-__all__ = ["apart", "fold", "free", "join_hot", "labelled_sample", "map_texts", "pieces", "stored"]
+__all__ = ["apart", "fold", "free", "join_hot", "labelled_sample", "map_texts", "pieces", "sifted", "stored"]
 
 #: A key is hot if it has more than this part of the rows.
 HOT = 10_000
+#: Words of the filter that tells rows apart before a join.
+SIEVE = 1 << 20
 #: Characters of text that one Python call handles at once; a longer text is handled alone.
 BATCH_CHARS = 1_000_000
 
@@ -53,6 +55,24 @@ def join_hot(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "lef
     return often.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(apart(other), keys, how))
 
 
+def sifted(rows: DataFrame, keys: DataFrame, of_rows: list[F.Column], of_keys: list[F.Column]) -> tuple[DataFrame, DataFrame]:
+    """rows that surely have none of the keys, and the others, by a Bloom filter of at most SIEVE words of 64 bits, whatever the tables' sizes.
+
+    With more keys than it can tell apart all rows are among the others.
+    """
+    block, mask, word = (free(rows, n) for n in ("block", "mask", "word"))
+
+    def place(cols: list[F.Column]) -> tuple[F.Column, F.Column]:
+        x = F.xxhash64(*cols)
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, k).bitwiseAND(63).cast("int")) for k in (40, 46, 52)]
+        return x.bitwiseAND(SIEVE - 1).alias(block), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias(mask)
+
+    held = keys.select(*place(of_keys)).groupBy(block).agg(F.bit_or(mask).alias(word))
+    marked = rows.select("*", *place(of_rows)).join(F.broadcast(held), block, "left")
+    maybe = F.coalesce(F.col(word).bitwiseAND(F.col(mask)) == F.col(mask), F.lit(False))
+    return marked.where(~maybe).select(*rows.columns), marked.where(maybe).select(*rows.columns)
+
+
 def pieces(text: str, border: re.Pattern, size: int = BATCH_CHARS, most: int | None = None) -> Iterator[tuple[int, str]]:
     """(start, piece) of a text, cut before the first border after so many characters; without a border it goes on, or is cut after `most` characters."""
     at = 0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import apart, free, join_hot, map_texts, stored
+from strandloom.llm.common import apart, free, join_hot, map_texts, sifted, stored
 
 WORDS = 3
 SEED = 42
@@ -287,8 +287,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     names = [F.col("doc_id").alias(d), F.col("h").alias(t)]
     match = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t))
     drop = stored(join_hot(rooted, least, ["root"]).where(~keeps).select(*names).distinct(), "simhash-drop")
-    # the texts are dealt by hash at any size: no sort, and the same plan for few and many dropped rows
-    kept = docs.withColumn(h, F.md5(F.coalesce("text", F.lit("")))).join(drop.hint("shuffle_hash"), match, "left_anti")
+    # only texts that may have to go are dealt by hash, at any size: no sort, and the same plan for few and many dropped rows
+    stay, doubtful = sifted(docs.withColumn(h, F.md5(F.coalesce("text", F.lit("")))), drop, [F.col("doc_id"), F.col(h)], [F.col(d), F.col(t)])
+    kept = stay.unionByName(doubtful.join(drop.hint("shuffle_hash"), match, "left_anti"))
     twice = stored(rooted.groupBy("doc_id", "h").count().where("count > 1").select(*names), "simhash-repeated")
     if twice.isEmpty():
         return kept.select(*docs.columns)
