@@ -142,6 +142,8 @@ def test_media_query_by_hand(spark, edge, tmp_path):
         m = media.write(p)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(m), hashlib.sha256(m).hexdigest()) and m.endswith(p) and f"samples={len(p) // 64};" in r.feature
+        # every sixteenth frame is a key
+        assert r.key_ranges == [[len(m) - len(p) + 64 * k, len(m) - len(p) + 64 * k + 64] for k in range(0, len(p) // 64, 16)]
 
 
 def test_probe_never_fails_but_with_value_errors():
@@ -677,7 +679,7 @@ def plain_buckets(words):
         spaced = f" {w} "
         for n in (3, 4):
             out += [mixed(sum(ord(c) * f for c, f in zip(spaced[k : k + n], places, strict=False)), n) for k in range(len(spaced) - n + 1)]
-    kinds = [min(len(w), 31) << 21 ^ ord(w[0]) for w in words]
+    kinds = [mixed(sum(ord(c) * pow(0x01000193, k, 1 << 32) for k, c in enumerate(w)), 5) >> (quality.BITS - quality.PAIR_BITS) for w in words]
     for a, b in zip(kinds, kinds[1:], strict=False):
         out += [mixed(a * places[1] + b * places[2], 2)] * quality.PAIR_COUNT
     return out
@@ -691,6 +693,15 @@ def test_quality_of_texts_longer_than_a_stretch():
     assert abs(score([spaced])[0] - score(["neat words " * 500])[0]) < 0.02
 
 
+def test_quality_counts_pairs_over_cuts(monkeypatch):
+    r = random.Random(13)
+    part = np.random.default_rng(1).normal(size=quality.BUCKETS)
+    texts = [" ".join(r.choice(["a", "neat", "ñandú", "words"]) + r.choice(["", " ", "\n"]) for _ in range(r.randint(0, 60))) for _ in range(60)]
+    whole = quality.Scorer(part, 0.1)(texts)
+    monkeypatch.setattr(quality, "pieces", lambda t, b, most: common.pieces(t, b, 20, most))
+    assert np.allclose(quality.Scorer(part, 0.1)(texts), whole, atol=1e-12)
+
+
 def test_marginals_match_one_pass():
     r = np.random.default_rng(3)
     emit, first = r.normal(0, 2, 300), np.zeros(300, bool)
@@ -711,15 +722,102 @@ def test_marginals_match_one_pass():
         assert np.allclose(got[a:b], p[:, 1] / p.sum(1))
 
 
+def pipeline_tables(spark, where):
+    docs, labels = labelled(spark, ["neat"], ["rubbish***"], "bad", 120)
+    labels.select("doc_id", (1 - F.col("bad")).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{where}/labels.parquet")
+    docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars")).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta of the alpha of the beta gamma")], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
-    docs, labels = labelled(spark, ["neat"], ["rubbish***"], "bad", 120)
-    labels.select("doc_id", (1 - F.col("bad")).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
-    docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, "alpha beta gamma delta of the alpha of the beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pipeline_tables(spark, tmp_path)
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, now, str(tmp_path))
         assert after.columns == now.columns and 0 < after.count() <= now.count(), name
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Every stage after the classifier by plain loops over what the classifier keeps, to the tokens of what remains."""
+    import corpus_pipeline
+
+    r = random.Random(14)
+    pipeline_tables(spark, tmp_path / "x")
+    base = [tuple(x) for x in spark.read.parquet(f"{tmp_path}/x/documents.parquet").collect()]
+    say = lambda n: " ".join(r.choice("neat the of alpha beta gamma delta words one two three four five six".split()) + str(r.randint(0, 30)) for _ in range(n))
+    item = "the very passage of a benchmark that nobody may learn from at all"
+    own = [say(60) for _ in range(30)]
+    rows = base + [(5000 + k, t, "en", "s", len(t)) for k, t in enumerate(own)]
+    rows += [(6000 + k, own[k], "en", "s", 1) for k in range(10)] + [(6100 + k, own[k] + " " + item, "en", "s", 1) for k in range(20, 25)]
+    rows += [(6200 + k, own[k] + f" password = hunter{k}00000 " + say(5), "en", "s", 1) for k in range(10, 15)] + [(7000, None, "en", "s", None), (7001, "", "en", "s", 0), (None, say(50), "en", "s", 3), (None, say(50), "en", "s", 3)]
+    r.shuffle(rows)
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, "too short")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.read.parquet(f"{tmp_path}/x/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [(x.doc_id, x.text) for x in corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()]
+    order = lambda x: (x[0] is None, x[0] or 0)
+    fp = [simhash.fingerprint(t or "") for _, t in kept]
+    root = list(range(len(kept)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(kept)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= 3:
+                root[top(i)] = top(j)
+    first = {}
+    for k, row in enumerate(kept):
+        held = first.get(top(k))
+        if held is None or order(row) < order(held):
+            first[top(k)] = row
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[k : k + 10]) for w in [split(item)] for k in range(len(w) - 9)} | {("too", "short")}
+    clean = [row for row in first.values() if not any(tuple(w[k : k + n]) in windows for w in [split(row[1])] for n in (2, 10) for k in range(len(w) - n + 1))]
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lib.no_padding()
+    lib.no_truncation()
+    want = sorted(repr((d, lib.encode(re.sub(r"password = hunter\d+", "[SECRET]", t or ""), add_special_tokens=False).ids)) for d, t in clean)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert 40 < len(got) < len(kept) and sorted(repr((x.doc_id, x.token_ids)) for x in got) == want
+
+
+def test_operators_on_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    from strandloom.llm import queries
+
+    pipeline_tables(spark, tmp_path)
+    for name, kind in (("documents", DOCS), ("pages", PAGES)):
+        spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("op1_bpe", "op2_sharding", "op3_decontamination", "op4_toxicity", "op5_token_counts", "op6_media", "op7_simhash", "op8_warc", "op9_quality", "op10_secrets"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_hot_and_other_keys_are_joined_alike(spark, monkeypatch, hot):
+    """With HOT = 1 no key is hot, and all rows go through the shuffled join."""
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(200)] + [(None, -1)], "k long, v long")
+    other = spark.createDataFrame([(k, f"w{k}") for k in range(1, 6)], "k long, w string")
+    for how in ("left", "inner"):
+        got = sorted((r.v, r.w) for r in common.join_hot(rows, other, ["k"], how).collect())
+        assert got == sorted((r.v, r.w) for r in rows.join(other, "k", how).collect())
+
+
+@pytest.mark.parametrize("words", [1 << 20, 1])
+def test_sifted_rows_have_no_key(spark, monkeypatch, words):
+    monkeypatch.setattr(common, "SIEVE", words)
+    rows = spark.createDataFrame([(k if k % 5 else None, f"t{k % 50}", k) for k in range(500)], "doc_id long, text string, mask int")
+    keys = spark.createDataFrame([(k if k % 5 else None, f"t{k % 50}") for k in range(0, 500, 3)], "d long, t string")
+    stay, doubtful = common.sifted(rows, keys, [F.col("doc_id"), F.col("text")], [F.col("d"), F.col("t")])
+    own = {(r.d, r.t) for r in keys.collect()}
+    assert not any((r.doc_id, r.text) in own for r in stay.collect()) and stay.columns == rows.columns
+    assert sorted(r.mask for r in stay.unionByName(doubtful).collect()) == list(range(500))
+    assert stay.count() > 200 if words > 1 else doubtful.count() > 200
