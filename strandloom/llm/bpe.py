@@ -35,6 +35,8 @@ from strandloom.llm.common import map_texts, pieces
 
 #: Entries of a worker's cache; the chunk cache keeps one older generation of as many.
 CACHE = 100_000
+#: The same where token ids are given out and other stages have used the worker before.
+SMALL_CACHE = 40_000
 
 #: Bytes of the prefix of a word whose tokens are kept.
 HEAD = 5
@@ -114,11 +116,14 @@ class Batch:
 class PrefixBPE:
     """The encoder for one tokenizer file of the word-end BPE kind."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        own = tokenizers.Tokenizer.from_file(path)
+        # only its normalizer and cutter are used; without the vocabulary it takes little memory
+        bare = spec | {"added_tokens": [], "post_processor": None, "model": spec["model"] | {"vocab": {}, "merges": []}}
+        own = tokenizers.Tokenizer.from_str(json.dumps(bare))
         self.normalizer, self.cutter = own.normalizer, own.pre_tokenizer
         self.symbols = byte_symbols()
         number = {s: b for b, s in enumerate(self.symbols)}
@@ -280,7 +285,7 @@ class PrefixBPE:
             last[end], size[end] = token, length
             end += 1
             if end == HEAD and head is not None:
-                if len(self.heads) >= CACHE // 4:
+                if len(self.heads) >= self.cache // 4:
                     self.heads.clear()
                 self.heads[head] = node, tuple(last[:HEAD]), tuple(size[:HEAD])
         symbol = data[-1] + 256
@@ -305,7 +310,7 @@ class PrefixBPE:
     def fit(self, left: int, right: int, fits: dict[int, bool]) -> bool:
         """What compatible says, kept."""
         self.pairs += 1
-        if self.pairs > 4 * CACHE:
+        if self.pairs > 4 * self.cache:
             self.pairs = 0
             for held in self.fits.values():
                 held.clear()
@@ -335,7 +340,7 @@ class PrefixBPE:
                 ids = self.word(w)
                 got = " ".join([self.number[i] for i in ids]), len(ids), self.decode(ids)
                 if len(w) <= 64:
-                    if len(self.words) >= CACHE:
+                    if len(self.words) >= self.cache:
                         self.words.clear()
                     self.words[w] = got
             out.append(got)
@@ -345,7 +350,7 @@ class PrefixBPE:
 
     def stretches(self, text: str) -> list[str]:
         """The stretches of a text without white space; an added token is one with a space before it."""
-        if not (self.added_at and "<|" in text):
+        if not any(t in text for t in self.added):
             return SPACE.split(text) if NOT_SPACE.search(text) else text.split()
         out = []
         for k, part in enumerate(self.added_at.split(text)):
@@ -360,7 +365,7 @@ class PrefixBPE:
                 return str(self.added[stretch[1:]]), 1, stretch[1:]
             got = self.older.get(stretch) or self.chunk(stretch)
             if len(stretch) <= 64:
-                if len(self.chunks) >= CACHE:
+                if len(self.chunks) >= self.cache:
                     self.older, self.chunks = self.chunks, {}
                 self.chunks[stretch] = got
         return got
@@ -392,8 +397,8 @@ class PrefixBPE:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> PrefixBPE:
-    return PrefixBPE(path)
+def encoder(path: str, cache: int = CACHE) -> PrefixBPE:
+    return PrefixBPE(path, cache)
 
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
@@ -402,7 +407,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     schema = T.StructType([*ids, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def factory():
-        bpe = encoder(path)
+        bpe = encoder(path, SMALL_CACHE if with_ids else CACHE)
 
         def work(texts):
             b = bpe.batch(texts)
