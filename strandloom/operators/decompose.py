@@ -1,4 +1,4 @@
-"""Decomposition of reads: one Arrow stage without a shuffle, and what follows from its results."""
+"""Decomposition of reads: they are dealt evenly and aligned in one Arrow stage; and what follows from its results."""
 
 from __future__ import annotations
 
@@ -20,12 +20,22 @@ FIELDS = [
 ]
 
 
+#: Bytes of the files that reads come from, for each task that aligns them.
+TASK_BYTES = 4 << 20
+#: What Spark gives as the size of a source that it knows nothing of.
+UNKNOWN = 1 << 60
+
+
 def spread(reads: DataFrame) -> DataFrame:
-    """reads dealt evenly over at least as many partitions as there are cores: a read costs far more to align than to move."""
+    """reads dealt evenly over as many partitions as there are cores at least, and more for larger sources: a read costs far more to align than to move."""
     if reads.isStreaming:
         return reads
     spark = reads.sparkSession
-    return reads.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    leaves = reads._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    size = sum(x for x in sizes if x < UNKNOWN)
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return reads.repartition(max(least, size // TASK_BYTES))
 
 
 def decompose(reads: DataFrame, opts: Options = Options(), key: str = "read_id", further: str | None = None) -> DataFrame:  # noqa: B008

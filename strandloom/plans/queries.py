@@ -15,8 +15,9 @@ from strandloom.operators import blocks, cover, evaluate, report, seeds, suffixe
 from strandloom.operators.decompose import add_haplotypes, decompose, global_units, unit_rows
 from strandloom.operators.library import with_library
 from strandloom.operators.long_reads import align_long
-from strandloom.plans.options import Options
+from strandloom.operators.staged import decompose_staged
 from strandloom.plans import published
+from strandloom.plans.options import Options
 from strandloom.sources import text as sources
 from strandloom.sources.shared import stored
 
@@ -401,7 +402,10 @@ QUERIES = {
     "decompose_noisy": lambda s, d: decompose(noisy(s, d)).select("read_id", "pattern", "discrepancy_ratio"),
     "decompose_complex": lambda s, d: decompose(noisy(s, d), Options(smooth=False)).select("read_id", "pattern", "discrepancy_ratio"),
     "decompose_long": lambda s, d: decompose(noisy(s, d), Options(long_mode=True)).select("read_id", "pattern", "mode", "discrepancy_ratio"),
-    "simulate_copies": lambda s, d: sources.simulate(s, ["AC", "AGG"], 1000, error=0.05),
+    "simulate_copies": lambda s, d: sources.mosaics(table(s, d, "customer").select(F.col("c_custkey").alias("read_id")), ["AC", "AGG"], error=0.05),
+    "decompose_staged": lambda s, d: decompose_staged(mosaic(s, d).select("read_id", "seq")).select("read_id", "pattern", "num_key_units", "min_reps", "mode"),
+    "staged_one_error": lambda s, d: decompose_staged(one_error(s, d)).select("read_id", "pattern", "mismatch_ratio", "insertion_ratio", "deletion_ratio"),
+    "staged_fallback": lambda s, d: decompose_staged(qualification(s, d)).select("read_id", "min_reps", "pattern"),
     **published.QUERIES,
 }
 
@@ -460,7 +464,7 @@ ORACLES = {
     "repeatmasker_score": f"WITH {MOSAIC} SELECT CASE WHEN read_id % 7 <> 6 AND read_id % 7 <= ceil(j * 0.1) + 1 THEN 'Yes' ELSE 'No' END || chr(9) || 'AC ' || i || ' AG ' || j || chr(9) || 'AC ' || i || CASE WHEN read_id % 7 = 6 THEN '' ELSE ' GA ' || (j + read_id % 7) END AS value FROM mosaic",
     "trf_score": f"WITH {MOSAIC} SELECT count(*) FILTER (WHERE read_id % 4 = 3 AND read_id % 7 <= ceil(j * 0.1) + 1) AS hits, count(*) AS total FROM mosaic",
     "noisy_reads": f"WITH {MOSAIC} SELECT read_id, {errors_sql(0.15)} AS seq FROM mosaic",
-    "simulate_copies": f"SELECT read_id, '(AC)' || a || '(AGG)' || b AS header, {errors_sql(0.05)} AS seq FROM (SELECT read_id, a, b, repeat('AC', a::INTEGER) || repeat('AGG', b::INTEGER) AS seq FROM (SELECT read_id, 10 + {draw_sql('read_id * 1009 + 42', 0)} % 190 AS a, 10 + {draw_sql('read_id * 1009 + 42', 1)} % 190 AS b FROM (SELECT unnest(range(0, 1000)) AS read_id)))",
+    "simulate_copies": f"SELECT read_id, '(AC)' || a || '(AGG)' || b AS header, {errors_sql(0.05)} AS seq FROM (SELECT read_id, a, b, repeat('AC', a::INTEGER) || repeat('AGG', b::INTEGER) AS seq FROM (SELECT read_id, 10 + {draw_sql('read_id * 1009 + 42', 0)} % 190 AS a, 10 + {draw_sql('read_id * 1009 + 42', 1)} % 190 AS b FROM (SELECT c_custkey AS read_id FROM customer)))",
     **published.ORACLES,
     "decompose_twenty": f"WITH {MOSAIC} SELECT read_id, '<{TWENTY}>' || (i // 3) AS pattern FROM mosaic",
     "haplotype_left_join": "WITH h AS (SELECT 's' || (s_suppkey % 7) AS sample_id, s_suppkey % 50 AS read_no, arg_min(s_suppkey || '|' || (s_suppkey + 100), s_suppkey) AS hap FROM supplier GROUP BY ALL) SELECT p_partkey AS read_id, 's' || (p_partkey % 7) AS sample_id, 'read' || p_partkey AS read_name, hap FROM part LEFT JOIN h ON h.sample_id = 's' || (p_partkey % 7) AND h.read_no = p_partkey",
@@ -469,3 +473,4 @@ ORACLES = {
     "repeatmasker_parse": "SELECT 'read' || k AS id, (k % 9 + 40 + k % 13)::INTEGER AS total_len, (k % 9 + 1)::INTEGER AS begin, (k % 9 + 40)::INTEGER AS \"end\", 40 AS len, 'AC' AS unit, 'Simple_repeat' AS \"class\" FROM (SELECT p_partkey AS k FROM part) WHERE k % 4 <> 0",
     "trf_parse": "SELECT '(AC)' || (k % 20) AS truth, (k % 9 + 1)::INTEGER AS begin, (k % 9 + 40)::INTEGER AS \"end\", 2 AS period, (k % 20 + 2)::INTEGER AS copies, 2 AS consensus, 'AC' AS unit FROM (SELECT p_partkey AS k FROM part) WHERE k % 10 <> 0",
 }
+ORACLES |= {"decompose_staged": ORACLES["decompose_mosaic"], "staged_one_error": ORACLES["decompose_one_error"], "staged_fallback": ORACLES["fallback_reps1"]}

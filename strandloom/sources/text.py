@@ -107,15 +107,20 @@ def draw(x: Column, what: int) -> Column:
     return y
 
 
-def simulate(spark: SparkSession, units: list[str], n: int, low: int = 10, high: int = 200, error: float = 0.0, seed: int = 42) -> DataFrame:
-    """n mosaic reads: read_id, header `(U)i(V)j`, seq. Copies are uniform in [low, high); each base errs with probability `error`: a third each inserted after, deleted, replaced."""
-    own = spark.range(n).select(F.col("id").alias("read_id"), *((low + draw(F.col("id") * 1_009 + seed, k) % (high - low)).cast("int").alias(f"n{k}") for k in range(len(units))))
+def mosaics(keys: DataFrame, units: list[str], low: int = 10, high: int = 200, error: float = 0.0, seed: int = 42) -> DataFrame:
+    """A mosaic read for each read_id of keys, which is not negative: read_id, header `(U)i(V)j`, seq. Copies are uniform in [low, high); each base errs with probability `error`: a third each inserted after, deleted, replaced."""
+    own = keys.select("read_id", *((low + draw(F.col("read_id") * 1_009 + seed, k) % (high - low)).cast("int").alias(f"n{k}") for k in range(len(units))))
     header = F.concat(*(F.concat(F.lit(f"({u})"), F.col(f"n{k}").cast("string")) for k, u in enumerate(units)))
     clean = F.concat(*(F.repeat(F.lit(u), F.col(f"n{k}")) for k, u in enumerate(units)))
     out = own.select("read_id", header.alias("header"), clean.alias("seq"))
     return with_errors(out, error, seed) if error > 0 else out
 
 
+def simulate(spark: SparkSession, units: list[str], n: int, low: int = 10, high: int = 200, error: float = 0.0, seed: int = 42) -> DataFrame:
+    """n mosaic reads."""
+    return mosaics(spark.range(n).withColumnRenamed("id", "read_id"), units, low, high, error, seed)
+
+
 def with_errors(reads: DataFrame, error: Column | float, seed: int = 42) -> DataFrame:
     """reads (read_id, not negative, and seq of ACGT) with errors at a share of the bases."""
     share = F.round((F.lit(error) if isinstance(error, float) else error) * 1_000_000)
