@@ -521,7 +521,7 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op2_sharding", "op3_decontamination", "op8_warc"])
+@pytest.mark.parametrize("name", ["op2_sharding", "op3_decontamination", "op8_warc", "op12_substring_dedup", "op13_conversation_trie"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
@@ -531,7 +531,7 @@ def test_queries_match_their_sql(spark, name):
     if not os.path.isdir(where):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet'")
     got = queries.QUERIES[name](spark, where)
     cols = ", ".join(f'"{c}"' for c in got.columns)
