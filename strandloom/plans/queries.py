@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import dna
 from strandloom.operators import blocks, cover, evaluate, report, seeds, suffixes, units
+from strandloom.operators.classes import class_frequencies
 from strandloom.operators.decompose import add_haplotypes, decompose, global_units, unit_rows
 from strandloom.operators.library import with_library
 from strandloom.operators.long_reads import align_long
@@ -389,6 +390,7 @@ QUERIES = {
     "long_unit_seeds": long_unit_seeds,
     "long_unit_coverage": lambda s, d: units.explained_bases(long_exact(s, d), table(s, d, "part").select(F.col("p_partkey").alias("read_id"), F.lit(LONG_UNIT).alias("unit"))),
     "banded_align_match": lambda s, d: units.similar_units(unit_pairs(s, d)).select("read_id", "kind", "similar"),
+    "class_frequencies": lambda s, d: class_frequencies(unit_pairs(s, d).select("read_id", F.col("b").alias("unit"))),
     "haplotype_lines": lambda s, d: sources.parse_haplotypes(haplotype_lines(s, d)),
     "annotated_score": lambda s, d: evaluate.verdicts(evaluate.annotated_patterns(annotated_headers(s, d)), 0.0).select("header", "verdict"),
     "repeatmasker_score": lambda s, d: evaluate.verdict_lines(evaluate.verdicts(evaluate.named_patterns(repeatmasker_hits(s, d)), 0.1, "truth")),
@@ -459,6 +461,7 @@ ORACLES = {
     "long_unit_seeds": f"SELECT p_partkey AS read_id, '{LONG_UNIT}' AS unit, 2 AS reps, 0 AS a, (23 * (p_partkey % 8 + 3) + 3)::INTEGER AS b FROM part WHERE p_partkey % 9 < 8",
     "long_unit_coverage": f"SELECT p_partkey AS read_id, '{LONG_UNIT}' AS unit, (23 * (p_partkey % 8 + 3) + 3)::INTEGER AS covered, (23 * (p_partkey % 8 + 3) + 3)::INTEGER AS explained FROM part",
     "banded_align_match": "SELECT p_partkey AS read_id, kind, kind IN ('turned', 'replaced', 'lost') AS similar FROM part, (VALUES ('turned'), ('replaced'), ('lost'), ('other'), ('longer')) v(kind)",
+    "class_frequencies": f"WITH turns AS (SELECT p_partkey AS read_id, p_partkey % 19 AS k, substr('{TWENTY}', p_partkey % 19 + 2) || left('{TWENTY}', p_partkey % 19 + 1) AS t FROM part), own AS (SELECT read_id, 0 AS c, t AS unit FROM turns UNION ALL SELECT read_id, 0, substr(t, 1, k) || 'T' || substr(t, k + 2) FROM turns UNION ALL SELECT read_id, 3, '{TWENTY[:7] + TWENTY[8:]}' FROM turns UNION ALL SELECT read_id, 1, '{'A' * 20}' FROM turns UNION ALL SELECT read_id, 2, '{TWENTY * 2}' FROM turns) SELECT min({CANON}) AS \"class\", count(DISTINCT read_id) AS freq FROM own GROUP BY c",
     "haplotype_lines": "SELECT 's' || k AS sample_id, CASE WHEN k % 5 = 0 THEN NULL ELSE k % 50 END::INTEGER AS read_no, CASE WHEN k % 5 = 0 THEN NULL ELSE k || '|1' END AS pair_haps, k AS ord FROM (SELECT s_suppkey AS k FROM supplier) WHERE k % 5 <> 1",
     "annotated_score": f"WITH {MOSAIC} SELECT read_id || ' #Info (' || length(seq) || ',1,0.000) #Pat <CA>' || i || '<AG>' || (j + read_id % 4) || ' #Annotation (AC)' || i || '(AG)' || j AS header, CASE WHEN read_id % 4 <= 1 THEN 'Yes' ELSE 'No' END AS verdict FROM mosaic WHERE read_id % 9 <> 0",
     "repeatmasker_score": f"WITH {MOSAIC} SELECT CASE WHEN read_id % 7 <> 6 AND read_id % 7 <= ceil(j * 0.1) + 1 THEN 'Yes' ELSE 'No' END || chr(9) || 'AC ' || i || ' AG ' || j || chr(9) || 'AC ' || i || CASE WHEN read_id % 7 = 6 THEN '' ELSE ' GA ' || (j + read_id % 7) END AS value FROM mosaic",
