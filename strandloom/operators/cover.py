@@ -22,7 +22,7 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def unit_spans(reads: DataFrame, units: DataFrame, reps: int = 2) -> DataFrame:
     """read_id, unit, n (bases of the read), spans: where reps copies and more of an unbordered unit of the read stand in a row, exactly."""
-    both = units.select("read_id", "unit").join(reads.select("read_id", "seq"), "read_id")
+    both = units.select("read_id", "unit").hint("merge").join(reads.select("read_id", "seq"), "read_id")
     return both.select("read_id", "unit", F.length("seq").alias("n"), spans.exact(F.col("seq"), F.col("unit"), reps).alias("spans"))
 
 

@@ -3,7 +3,9 @@
 A name is a number for the first bases of a suffix: equal for equal ones, in
 their order, over all reads together. Names of h bases in pairs give those of
 2 * h bases in one round of joins, so n bases have n rows, whatever the length
-of the substrings that are sought.
+of the substrings that are sought. Rows a base compress well, so the joins of
+them say that they are merged: by the size of their files they would be sent
+through the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
+from strandloom.operators.texts import sent
 from strandloom.sources.shared import stored
 
 #: Bases that a first name is made of, as digits to the base 5 with 0 after the end.
@@ -28,11 +31,11 @@ def first_names(reads: DataFrame) -> DataFrame:
 def doubled(named: DataFrame, h: int) -> DataFrame:
     """Names of 2 * h bases from names of h: pairs of names, numbered in their order."""
     after = named.select("read_id", (F.col("pos") - h).alias("pos"), F.col("name").alias("next")).where("pos > 0")
-    both = stored(named.join(after, ["read_id", "pos"], "left").select("read_id", "pos", "name", F.coalesce("next", F.lit(-1).cast("long")).alias("next")), "suffix-pairs")
+    both = stored(named.join(after.hint("merge"), ["read_id", "pos"], "left").select("read_id", "pos", "name", F.coalesce("next", F.lit(-1).cast("long")).alias("next")), "suffix-pairs")
     order = both.select("name", "next").distinct().orderBy("name", "next")
     # rows of a sorted table are numbered in their order, with gaps between its partitions
     numbers = stored(order.select("name", "next", F.monotonically_increasing_id().alias("new")), "suffix-names")
-    return stored(both.join(numbers, ["name", "next"]).select("read_id", "pos", F.col("new").alias("name")), "suffix-order")
+    return stored(both.join(sent(numbers), ["name", "next"]).select("read_id", "pos", F.col("new").alias("name")), "suffix-order")
 
 
 def suffix_names(reads: DataFrame, depth: int | None = None) -> DataFrame:
@@ -69,7 +72,7 @@ def repeats(reads: DataFrame, low: int = 2, high: int = 20) -> DataFrame:
     twice the result.
     """
     named = suffix_names(reads, high + 1)
-    heads = named.join(reads.select("read_id", "seq"), "read_id").select("read_id", "name", "pos", F.substring("seq", F.col("pos"), F.lit(high)).alias("head"))
+    heads = named.join(reads.select("read_id", "seq").hint("merge"), "read_id").select("read_id", "name", "pos", F.substring("seq", F.col("pos"), F.lit(high)).alias("head"))
     w = Window.partitionBy("read_id").orderBy("name", "pos")
     own = heads.select("read_id", "name", "pos", "head", F.row_number().over(w).alias("k"), common(F.col("head"), F.lag("head").over(w), high).alias("shared"))
     own = own.withColumns({"before": F.lag("shared", 1, 0).over(w), "after": F.lead("shared", 1, 0).over(w)}).where(F.col("shared") >= low)
