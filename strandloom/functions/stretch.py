@@ -26,13 +26,13 @@ class Cells:
         self.unit = np.repeat(np.arange(len(units)), size)
         bases = np.concatenate(units)
         self.count = len(bases)
-        self.gain = [np.where(bases == b, 2, 0).astype(np.int64) for b in range(4)]
+        self.gain = np.stack([np.where(bases == b, 2, 0).astype(np.int64) for b in range(4)])
         self.ramp = np.arange(self.count, dtype=np.int64) + self.unit * STEP
         #: For each cell the first cell of its unit.
         self.head = self.first[self.unit]
 
-    def step(self, state: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores after one more base (rows: several begins), those of pairing it, and sums whose running maximum tells gaps."""
+    def step(self, state: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores after one more base of each row, those of pairing it, and sums whose running maximum tells gaps."""
         d = np.empty_like(state)
         d[:, 1:] = state[:, :-1]
         d[:, self.first] = state[:, self.last].max(axis=1)[:, None]
@@ -43,12 +43,17 @@ class Cells:
 
     def matrix(self, codes: np.ndarray) -> np.ndarray:
         """Scores at the end of a stretch (columns) from each cell alone at its begin (rows)."""
+        return self.matrices(codes[None])[0]
+
+    def matrices(self, codes: np.ndarray) -> np.ndarray:
+        """The matrix of each of several stretches of one length (rows of codes)."""
         state = np.full((self.count, self.count), NONE, np.int64)
         np.fill_diagonal(state, 0)
-        for b in codes.tolist():
+        state = np.tile(state, (len(codes), 1))
+        for b in np.repeat(codes.T, self.count, axis=1):
             state = self.step(state, b)[0]
             np.maximum(state, NONE, out=state)
-        return state
+        return state.reshape(len(codes), self.count, self.count)
 
     def traced(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[int], list[list[tuple[int, int]]]]:
         """From scores at the begin: scores at the end, and for each cell there the cell at the begin that its best path comes from, and the path's runs (bases, unit).
@@ -57,16 +62,25 @@ class Cells:
         before a base without a place; of units that end equally well the last
         is taken.
         """
-        n, width = len(codes), self.count
-        other, gap = np.zeros((n, width), bool), np.zeros((n, width), bool)
-        owner = np.zeros(n, np.int64)
-        state = begin[None]
-        for i, b in enumerate(codes.tolist()):
-            tips = state[0, self.last]
-            owner[i] = len(tips) - 1 - int(np.argmax(tips[::-1]))
+        return self.traced_all(codes[None], begin[None])[0]
+
+    def traced_all(self, codes: np.ndarray, begin: np.ndarray) -> list[tuple[np.ndarray, list[int], list[list[tuple[int, int]]]]]:
+        """What traced gives, for several stretches of one length."""
+        (count, n), width = codes.shape, self.count
+        other, gap = np.zeros((count, n, width), bool), np.zeros((count, n, width), bool)
+        owner = np.zeros((count, n), np.int64)
+        state = begin
+        for i, b in enumerate(codes.T):
+            tips = state[:, self.last]
+            owner[:, i] = tips.shape[1] - 1 - np.argmax(tips[:, ::-1], axis=1)
             state, d, x = self.step(state, b)
-            other[i] = state[0] != d[0]
-            gap[i, 1:] = x[0, 1:] == x[0, :-1]
+            np.not_equal(state, d, out=other[:, i])
+            np.equal(x[:, 1:], x[:, :-1], out=gap[:, i, 1:])
+        return [(state[k], *self.paths(other[k], gap[k], owner[k])) for k in range(count)]
+
+    def paths(self, other: np.ndarray, gap: np.ndarray, owner: np.ndarray) -> tuple[list[int], list[list[tuple[int, int]]]]:
+        """Where the best path to each cell comes from, and its runs, by the noted moves."""
+        n, width = other.shape
         steps, gaps, tails, heads, unit = other.tobytes(), gap.tobytes(), self.last[owner].tolist(), set(self.first.tolist()), self.unit.tolist()
         come, runs = [], []
         for cell in range(width):
@@ -87,4 +101,4 @@ class Cells:
                 at -= width
             come.append(cell)
             runs.append([(m, u) for m, u in reversed(own)])
-        return state[0], come, runs
+        return come, runs

@@ -23,6 +23,8 @@ from strandloom.sources.shared import stored
 
 #: Bases of a stretch.
 STRETCH = 20_000
+#: Cells of the stretches that are aligned side by side.
+TOGETHER = 1 << 20
 
 
 def cells_of(units: list[str], held: dict[tuple[str, ...], stretch.Cells]) -> stretch.Cells:
@@ -38,13 +40,25 @@ def ints(rows: list) -> pa.Array:
     return pa.array(rows, pa.list_(pa.int64()))
 
 
+def alike(batch: pa.RecordBatch, held: dict, square: bool = False) -> Iterator[tuple[stretch.Cells, np.ndarray, list[int]]]:
+    """Cells, codes and rows of the stretches of a batch that share units and length, as many together as bounded notes hold."""
+    groups: dict = {}
+    for r, (units, part) in enumerate(zip(batch["units"].to_pylist(), batch["part"].to_pylist(), strict=True)):
+        groups.setdefault((tuple(units), len(part)), []).append((r, part))
+    for (units, n), own in groups.items():
+        cells = cells_of(units, held)
+        most = max(1, TOGETHER // (cells.count * (cells.count if square else n)))
+        for at in range(0, len(own), most):
+            yield cells, np.stack([kernel.encode(part) for _, part in own[at : at + most]]), [r for r, _ in own[at : at + most]]
+
+
 def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(read_id, k, part, units) -> (read_id, k, matrix, row by row)."""
     held: dict = {}
     for b in batches:
-        for r in range(b.num_rows):
-            m = cells_of(b["units"][r].as_py(), held).matrix(kernel.encode(b["part"][r].as_py()))
-            yield pa.RecordBatch.from_arrays([b["read_id"].slice(r, 1), b["k"].slice(r, 1), ints([m.ravel()])], names=["read_id", "k", "matrix"])
+        for cells, codes, rows in alike(b, held, square=True):
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([b["read_id"].take(at), b["k"].take(at), ints([m.ravel() for m in cells.matrices(codes)])], names=["read_id", "k", "matrix"])
 
 
 def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,15 +81,18 @@ def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict = {}
     kinds = pa.list_(pa.struct([("len", pa.int32()), ("label", pa.int32())]))
     for b in batches:
-        for r in range(b.num_rows):
-            cells, scores = cells_of(b["units"][r].as_py(), held), b["scores"][r].values
-            begin = np.zeros(cells.count, np.int64) if scores is None else scores.to_numpy()
-            end, come, runs = cells.traced(kernel.encode(b["part"][r].as_py()), begin)
-            at = len(end) - 1 - int(np.argmax(end[::-1]))
-            # scores have the number of bases added: below it the read is better left without units
-            done = (at if end[at] >= b["n"][r].as_py() else -1) if b["last"][r].as_py() else None
-            told = [[{"len": n, "label": u} for n, u in own] for own in runs]
-            yield pa.RecordBatch.from_arrays([b["read_id"].slice(r, 1), b["k"].slice(r, 1), b["start"].slice(r, 1), ints([come]), pa.array([told], pa.list_(kinds)), pa.array([done], pa.int32())], names=["read_id", "k", "start", "come", "ways", "done"])
+        for cells, codes, rows in alike(b, held):
+            scores = [b["scores"][r].values for r in rows]
+            begin = np.stack([np.zeros(cells.count, np.int64) if x is None else x.to_numpy() for x in scores])
+            comes, told, ends = [], [], []
+            for r, (end, come, runs) in zip(rows, cells.traced_all(codes, begin), strict=True):
+                at = len(end) - 1 - int(np.argmax(end[::-1]))
+                # scores have the number of bases added: below it the read is better left without units
+                ends.append((at if end[at] >= b["n"][r].as_py() else -1) if b["last"][r].as_py() else None)
+                comes.append(come)
+                told.append([[{"len": n, "label": u} for n, u in own] for own in runs])
+            taken = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([*(b[c].take(taken) for c in ("read_id", "k", "start")), ints(comes), pa.array(told, pa.list_(kinds)), pa.array(ends, pa.int32())], names=["read_id", "k", "start", "come", "ways", "done"])
 
 
 def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +121,12 @@ def align_long(reads: DataFrame, units: DataFrame, size: int = STRETCH) -> DataF
     no rows. read_id is distinct.
     """
     own = units.groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "unit"))), lambda x: x["unit"]).alias("units"))
-    cut = reads.where(F.length("seq") > 0).select("read_id", F.upper("seq").alias("seq"), F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size).cast("int"))).alias("k"))
+    # cut in one pass: a substring from each place would go through the read from its begin every time
+    pieces = F.regexp_extract_all(F.upper("seq"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    cut = reads.where(F.length("seq") > 0).select("read_id", F.length("seq").alias("n"), F.posexplode(pieces).alias("k", "part"))
     start = (F.col("k") * size).alias("start")
-    last = ((F.col("k") + 1) * size >= F.length("seq")).alias("last")
-    parts = cut.select("read_id", "k", start, last, F.length("seq").alias("n"), F.substring("seq", start + 1, F.lit(size)).alias("part")).join(own, "read_id")
+    last = ((F.col("k") + 1) * size >= F.col("n")).alias("last")
+    parts = cut.select("read_id", "k", start, last, "n", "part").join(own, "read_id")
     parts = stored(parts.hint("rebalance"), "stretches")
     spark, kind = reads.sparkSession, reads.schema["read_id"].dataType.simpleString()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
