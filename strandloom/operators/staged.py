@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from strandloom.functions import dna, kernel
 from strandloom.operators import blocks, cover, suffixes
 from strandloom.operators.cover import once
+from strandloom.operators.texts import by_text
 from strandloom.plans.options import Options
 from strandloom.sources.shared import stored
 
@@ -138,21 +139,26 @@ def described(reads: DataFrame, reps: int) -> DataFrame:
 def passed(reads: DataFrame, units: DataFrame, opts: Options, reps: int) -> DataFrame:
     """The decomposition of the reads that some units explain at so many repetitions."""
     chosen = cover.key_units(reads, units, opts, reps).where(F.size("chosen") > 0).select("read_id", F.col("chosen").alias("key_units"))
-    first = stored(labelled(reads.join(chosen, "read_id"), opts), "staged-labels")
+    first = stored(labelled(reads.join(chosen.hint("merge"), "read_id"), opts), "staged-labels")
     again = stored(labelled(pruned(first, opts), opts), "staged-labels")
     return described(again, reps)
 
 
 def decompose_staged(reads: DataFrame, opts: Options = Options(max_unit=19)) -> DataFrame:  # noqa: B008
-    """What operators.decompose gives for automatic units under 20 bases without long mode: read_id, which is distinct, and the decomposition of every read that some unit explains.
+    """What operators.decompose gives for automatic units under 20 bases without long mode: read_id and the decomposition of every read that some unit explains.
 
     Reads that no unit explains at two repetitions are tried at one. Null and
     empty reads give no row.
     """
     if opts.max_unit > 19 or opts.long_mode or opts.units:
         raise ValueError("stages take automatic units of up to 19 bases, without long mode")
-    own = stored(reads.where(F.length("seq") > 0).select("read_id", F.upper("seq").alias("seq")), "staged-reads")
+    own = reads.where(F.length("seq") > 0).select("read_id", F.upper("seq").alias("seq"))
+    return by_text(own, lambda texts: staged(texts, opts))
+
+
+def staged(own: DataFrame, opts: Options) -> DataFrame:
+    """decompose_staged of distinct texts in a written table."""
     units = stored(suffixes.candidate_units(own, 2, opts.max_unit).select("read_id", "unit"), "staged-candidates")
     two = stored(passed(own, units, opts, 2), "staged-two")
-    rest = own.join(two.select("read_id"), "read_id", "left_anti")
+    rest = own.join(two.select("read_id").hint("merge"), "read_id", "left_anti")
     return two.unionByName(passed(rest, units, opts, 1))
