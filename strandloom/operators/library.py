@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.long_units import LONG
 from strandloom.operators import seeds
 from strandloom.operators.decompose import decompose, global_units
+from strandloom.operators.texts import by_text
 from strandloom.plans.options import Options
 from strandloom.sources.shared import stored
 
@@ -30,10 +31,14 @@ def with_library(reads: DataFrame, opts: Options = Options(), key: str = "read_i
     first = stored(decompose(numbered, opts, "id"), "library-first")
     library = global_units(first, "id").where((F.col("freq") >= least_reads) & (F.length("canon") >= LONG)).select(F.col("canon").alias("unit"))
     plain = numbered.select(F.col("id.row").alias("read_id"), "seq")
-    found = seeds.diagonals(plain, seeds.seed_index(library))
-    costs = seeds.weighed(stored(seeds.laid(plain, found, opts.max_ratio), "library-laid"), opts.max_ratio)
-    chosen = seeds.best_units(costs, opts.top_units)
-    extra = stored(chosen.groupBy("read_id").agg(F.sort_array(F.collect_set("unit")).alias("further")), "library-members")
+    index = seeds.seed_index(library)
+
+    def further(texts: DataFrame) -> DataFrame:
+        found = seeds.diagonals(texts, index)
+        costs = seeds.weighed(stored(seeds.laid(texts, found, opts.max_ratio), "library-laid"), opts.max_ratio)
+        return seeds.best_units(costs, opts.top_units).groupBy("read_id").agg(F.sort_array(F.collect_set("unit")).alias("further"))
+
+    extra = by_text(plain, further).hint("merge")
     given = numbered.join(extra, F.col("id.row") == F.col("read_id"), "left").select("id", "seq", "further")
     again = decompose(given, opts, "id", "further")
     return again.select(F.col("id.key").alias(key), *[c for c in again.columns if c != "id"])
