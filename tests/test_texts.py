@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import suffixes
+import strandloom.operators.decompose as decompose
+from strandloom.operators import classes, seeds, staged, suffixes, units
 from strandloom.operators.texts import by_text, once_each
 from strandloom.plans import queries
+from strandloom.sources import text
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +54,21 @@ def rows_given(monkeypatch, module, name, run):
 def test_suffixes_of_distinct_reads(spark, tables, monkeypatch, query, rows):
     given, n = rows_given(monkeypatch, suffixes, "suffix_names", lambda: queries.QUERIES[query](spark, tables))
     assert given == [4] and (n >= 48 if rows is None else n == rows)
+
+
+@pytest.mark.parametrize("query, module, name", [("candidate_units_canon", units, "canonical_units"), ("unit_penalty_top5", units, "top_units"), ("prune_95", units, "prune"), ("long_unit_seeds", seeds, "diagonals"), ("decompose_staged", staged, "staged"), ("decompose_blocks", decompose, "aligned"), ("class_frequencies", classes, "unit_classes")])
+def test_steps_get_distinct_texts(spark, tables, monkeypatch, query, module, name):
+    given, _ = rows_given(monkeypatch, module, name, lambda: queries.QUERIES[query](spark, tables))
+    assert len(given) == 1 and given[0] < 48
+
+
+@pytest.mark.parametrize("error", [0.0, 0.3, 1.0])
+def test_drawn_errors_match_the_expression(spark, error):
+    reads = spark.createDataFrame([(k, "ACGT" * (k % 7) + "CA") for k in range(50)] + [(99, None)], "read_id long, seq string")
+    got = {r.read_id: r.seq for r in text.with_errors(reads, error).collect()}
+    other = {c: "ACGT".replace(c, "") for c in "ACGT"}
+    told = F.transform(F.split("seq", ""), lambda c, p: F.array(*(text.draw(F.col("read_id") * 1_000_003 + p * 7_919 + 42, w) for w in (100, 101, 102, 103))))
+    for r in reads.where("seq is not null").withColumn("draws", told).collect():
+        one = lambda c, d: c if d[0] % 1_000_000 >= error * 1_000_000 else [c + "ACGT"[d[3] % 4], "", other[c][d[2] % 3]][d[1] % 3]  # noqa: B023, E731
+        assert got[r.read_id] == "".join(map(one, r.seq, r.draws))
+    assert got[99] is None
