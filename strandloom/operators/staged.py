@@ -9,6 +9,7 @@ numpy code on Arrow batches. Results are those of operators.decompose.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,12 +40,12 @@ def with_column(df: DataFrame, name: str, kind: str, work) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def labels_of(batch: pa.RecordBatch) -> list:
+def labels_of(batch: pa.RecordBatch, stay: bool) -> list:
     """The number of the unit at every base of each read, by its alignment with all its units."""
     seqs, units = batch["seq"].to_pylist(), batch["key_units"].to_pylist()
     out: list = [None] * len(seqs)
     for own in kernel.batches([len(s) for s in seqs], [sum(map(len, u)) for u in units]):
-        for k, labels in zip(own, kernel.label_batch([kernel.encode(seqs[k]) for k in own], [[kernel.encode(u) for u in units[k]] for k in own], False), strict=True):
+        for k, labels in zip(own, kernel.label_batch([kernel.encode(seqs[k]) for k in own], [[kernel.encode(u) for u in units[k]] for k in own], False, stay), strict=True):
             out[k] = labels
     return out
 
@@ -58,7 +59,7 @@ def counts_of(batch: pa.RecordBatch) -> list:
 
 def labelled(reads: DataFrame, opts: Options) -> DataFrame:
     """reads (seq, key_units) with labels, voted on if asked for."""
-    own = with_column(reads, "labels", "array<int>", labels_of)
+    own = with_column(reads, "labels", "array<int>", partial(labels_of, stay=opts.smooth))
     return blocks.smooth(own, 2) if opts.smooth else own
 
 
